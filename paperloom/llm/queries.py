@@ -7,17 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cuckoo, packing
+from . import bpe, cuckoo, packing, quality, simhash, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.digests(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,12 +38,40 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_packing, op5_exact_dedup, op9_bpe)
+    for f in (op1_warc, op2_packing, op3_windows, op4_quality, op5_exact_dedup, op9_bpe, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        b AS (SELECT page_id, hex, strlen(html) AS payload_bytes,
+                     array_to_string(list_transform(range(40), lambda i: lpad(bin(instr('123456789abcdef', hex[i + 1])), 4, '0')), '') AS bits
+              FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+                   16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT + 1]), '') AS payload_digest,
+               CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+        FROM b WINDOW w AS (PARTITION BY hex)
+    """,
+    "op3_windows": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS h
+              FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM d WHERE len(words) >= 50)),
+        f AS (SELECT h, min(doc_id) AS first_doc FROM w GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM w JOIN f USING (h) WHERE doc_id > first_doc),
+        r AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 50)))) AS gone FROM g GROUP BY doc_id),
+        k AS (SELECT doc_id, words, coalesce(len(gone), 0) AS n_removed,
+                     CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END AS kept
+              FROM d LEFT JOIN r USING (doc_id))
+        SELECT doc_id, len(words) AS n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+    """,
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id,
