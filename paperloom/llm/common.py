@@ -87,6 +87,16 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    """A record batch of ``schema``; without columns an empty one."""
+    columns = columns or tuple([] for _ in schema)
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of results that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,9 +1,9 @@
 """Supervised subword embeddings as a quality classifier (operator 4).
 
 A document is the mean of the learned vectors of its features: every word and every character
-3-gram and 4-gram inside a word (with one blank as its border), hashed into ``BUCKETS`` rows. A
-softmax over the two labels follows; numpy stochastic gradient descent trains vectors and output
-together. Labels come from a bounded sample of ``SAMPLE`` labelled rows, taken by hash order so that it
+3-gram and 4-gram inside a word (with one blank as its border), hashed into ``BUCKETS`` rows, and for each
+run of three words one of two rows for fresh and repeated runs. A softmax over the two labels follows; numpy
+stochastic gradient descent trains vectors and output together. Labels come from a bounded sample of ``SAMPLE`` labelled rows, taken by hash order so that it
 is spread over the corpus. The model that is sent to the executors has a fixed size: with two labels the
 softmax of a mean is a logistic function of the mean of one number per bucket, so scoring gathers these
 numbers instead of vectors.
@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts
+from .common import batch, byte_texts, planes, unplanes
 
 #: Rows of the hashed embedding table, its width, and the most labelled rows that training takes.
 BUCKETS, WIDTH, SAMPLE = 1 << 18, 16, 6000
@@ -29,10 +30,13 @@ EPOCHS, RATE, SEED = 8, 20.0, 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x100000001B3)
+#: Features of a run of three words that the document has (had) before, or not.
+_REPEAT = np.array([0x1234567, 0x89ABCDE], np.uint64)
 
 
 def features(text: bytes) -> np.ndarray:
-    """Bucket of every feature occurrence of a text (n-grams of 3 and 4, then words)."""
+    """Bucket of every feature occurrence of a text: n-grams of 3 and 4, words, and for every run of
+    three words whether the text repeats it."""
     if not text:
         return np.zeros(0, np.int32)
     raw = np.frombuffer(b" " + text + b" ", np.uint8)
@@ -54,7 +58,12 @@ def features(text: bytes) -> np.ndarray:
         at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         powers = _powers(int(lengths.max()))
         weighted = (codes[solid] + np.uint64(1)) * powers[at]
-        out.append(np.add.reduceat(weighted, np.cumsum(lengths) - lengths))
+        words = np.add.reduceat(weighted, np.cumsum(lengths) - lengths)
+        out.append(words)
+        if len(words) >= 3:
+            runs = (words[:-2] * _P + words[1:-1]) * _P + words[2:]
+            fresh = len(np.unique(runs))
+            out.append(np.repeat(_REPEAT, [len(runs) - fresh, fresh]))
     if not out:
         return np.zeros(0, np.int32)
     keys = np.concatenate(out)
@@ -123,18 +132,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     schema = pa.schema([("label", pa.int32()), ("id", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             rows = []
             for label, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), strict=True):
                 buckets, counts = np.unique(features(text), return_counts=True)
-                rows.append((label, i, buckets.astype("<i4").tobytes(), counts.astype("<i4").tobytes()))
+                rows.append((label, i, press.compress(planes(np.diff(buckets, prepend=0).astype("<i4"))), press.compress(planes(counts.astype("<i4")))))
             yield batch(schema, *zip(*rows, strict=True))
 
     # the chosen rows are at most ``sample``: a proven bound for the broadcast
     matched = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", F.col("l_id"), "text")
     got = matched.mapInArrow(run, "label int, id long, buckets binary, counts binary").collect()
     got.sort(key=lambda r: (r["id"], r["buckets"]))
-    return train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["label"]) for r in got])
+    press = zstandard.ZstdDecompressor()
+
+    def numbers(raw: bytes) -> np.ndarray:
+        return unplanes(press.decompress(raw) if raw else b"", np.int32)
+
+    return train([(np.cumsum(numbers(r["buckets"]), dtype=np.int32), numbers(r["counts"]), r["label"]) for r in got])
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], extra: list[str] | None = None) -> DataFrame:
