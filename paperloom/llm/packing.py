@@ -17,64 +17,98 @@ their own. An empty table gives an empty result. Other columns are ignored, what
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, shuffle_parts, stored, texts
+from .common import batch, byte_texts, mix64, shuffle_parts, stored
+from .windows import BASE, _power
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_MAX = 700_000
-_CLOSING = ".,!?;:|"
-#: White space to str.split() that the tokenizer's \s does not know, or may not: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿<]")
+CACHE_MAX = 500_000
+_CLOSING, _ALNUM, _BLANK = np.zeros((3, 256), bool)
+_CLOSING[list(b".,!?;:|")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, bytes) of what is encoded apart: words, less closing punctuation after an ASCII letter
+    or digit, which the tokenizer parts too and which is a part of its own. ASCII words become lower case, as
+    they do in the tokenizer; so the many spellings of a word are one."""
+    solid = ~_BLANK[raw]
+    edge = np.diff(np.concatenate([[False], solid]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return starts, ends, raw
+    last = np.maximum.accumulate(np.where(_CLOSING[raw], 0, np.arange(len(raw))))[ends - 1]
+    closed = (last < ends - 1) & (last >= starts) & _ALNUM[raw[last]]
+    borders = last[closed] + 1
+    wide = np.maximum.reduceat(raw, starts) > 127
+    upper = (raw >= 65) & (raw <= 90)
+    upper[upper] = ~wide[np.searchsorted(starts, np.flatnonzero(upper), "right") - 1]
+    return np.sort(np.concatenate([starts, borders])), np.sort(np.concatenate([ends, borders])), raw + np.uint8(32) * upper
 
 
 class WordTokenizer:
-    """ids of texts by a tokenizer file. The tokenizer never joins across white space, so words are
-    encoded once and their ids kept in a bounded cache."""
+    """ids of texts by a tokenizer file. The tokenizer never joins across ASCII white space, so the distinct
+    words of a group of texts are encoded once; their ids stay in a bounded cache of two generations."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        """A word in ASCII is its lower-case core and closing punctuation, which the tokenizer parts
-        too; so the many spellings of a core cost one call."""
-        cores = {w: w for w in words}
-        for w in words:
-            if w.isascii():
-                core = w.rstrip(_CLOSING)  # must end in a letter or digit, else the closing is part of a longer run
-                cores[w] = (core if core and core[-1].isalnum() else w).lower()
-        new = list(set(cores.values()) - self.cache.keys() | {w[len(c) :] for w, c in cores.items()} - self.cache.keys() - {""})
-        self.cache[""] = b""
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update((w, array("I", c.ids).tobytes()) for w, c in zip(part, coded, strict=True))
-        get = self.cache.__getitem__
-        self.cache.update([(w, get(c) + get(w[len(c) :])) for w, c in cores.items() if len(c) != len(w) or c != w])
-
-    def encode(self, strings: list[str]) -> list[bytes]:
-        whole = {i for i, s in enumerate(strings) if _ODD.search(s)}
-        split = [[] if i in whole else s.split() for i, s in enumerate(strings)]
-        if len(self.cache) > CACHE_MAX:
-            self.cache.clear()
-        self._learn(set().union(*split) - self.cache.keys())
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(strings[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words."""
+        if len(self.young) > CACHE_MAX:
+            self.young, self.old = {}, self.young
+        missing = list(filterfalse(self.young.__contains__, words))
+        aged = [w for w in missing if w in self.old]
+        self.young.update((w, self.old[w]) for w in aged)
+        new = list(filterfalse(self.young.__contains__, missing)) if aged else missing
+        self.young.update(zip(new, self._encode(new), strict=True))
+        return list(map(self.young.__getitem__, words))
+
+    def encode(self, strings: list[bytes]) -> list[np.ndarray]:
+        """ids of each text as unsigned 32-bit integers."""
+        raw = np.frombuffer(b" ".join(strings) + b" ", np.uint8)
+        starts, ends, raw = word_parts(raw)
+        joined = raw.tobytes()
+        if not len(starts):
+            return [np.zeros(0, np.uint32)] * len(strings)
+        lengths = ends - starts
+        first = np.cumsum(lengths) - lengths
+        solid = ~_BLANK[raw]
+        at = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+        hashes = np.add.reduceat((raw[solid] + np.uint64(1)) * _power(BASE, int(lengths.max()))[at], first)
+        hashes = mix64(hashes * np.uint64(2) + lengths.astype(np.uint64))
+        _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        coded = self.ids_of(words)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        table = np.frombuffer(b"".join(coded), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        done = np.cumsum(n)
+        flat = table[np.arange(done[-1]) + np.repeat(begin[which] - (done - n), n)]
+        text_ends = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)) + 1)
+        words_before = np.searchsorted(starts, text_ends)
+        cuts = np.concatenate([[0], done])[words_before]
+        return np.split(flat, cuts[:-1])
 
 
 @lru_cache(2)
@@ -99,10 +133,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         t = word_tokenizer(tokenizer)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for first, part in groups(texts(b.column(1))):
+            for first, part in groups(list(byte_texts(b.column(1)))):
                 rows = []
-                for d, coded in zip(doc_ids[first : first + len(part)], t.encode(part), strict=True):
-                    coded += end
+                for d, ids in zip(doc_ids[first : first + len(part)], t.encode(part), strict=True):
+                    coded = ids.tobytes() + end
                     for k, at in enumerate(range(0, len(coded), step)):
                         cut = coded[at : at + step]
                         rows.append((d, k, at // 4, len(cut) // 4, zlib.crc32(cut), cut))
