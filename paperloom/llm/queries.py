@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cuckoo, packing, quality, simhash, warc, windows
+from . import bpe, cuckoo, packing, quality, simhash, suffixes, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -44,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_packing, op3_windows, op4_quality, op5_exact_dedup, op9_bpe, op10_simhash)
+    for f in (op1_warc, op2_packing, op3_windows, op4_quality, op5_exact_dedup, op8_suffixes, op9_bpe, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -72,6 +76,23 @@ ORACLE_SQL: dict[str, str] = {
               FROM d LEFT JOIN r USING (doc_id))
         SELECT doc_id, len(words) AS n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
     """,
+    "op8_suffixes": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, md5(x[2 * p + 1:2 * p + 200]) AS h
+              FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS p FROM d WHERE len(x) >= 200)),
+        f AS (SELECT h, min((doc_id, p)) AS first_at FROM w GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT doc_id, p, p > 100 + lag(p, 1, -1000000) OVER (PARTITION BY doc_id ORDER BY p) AS new
+              FROM w JOIN f USING (h) WHERE (doc_id, p) > first_at),
+        i AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+        r AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY ALL),
+        k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n FROM r),
+        c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+                     string_agg(CASE WHEN n = 1 THEN x[1:2 * a] ELSE '' END || CASE WHEN next_a IS NULL THEN x[2 * b + 1:] ELSE x[2 * b + 1:2 * next_a] END, '' ORDER BY a) AS kept
+              FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, x))) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)
+    """,
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id,
