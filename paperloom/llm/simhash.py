@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = stored(fingerprints(docs), "fingerprints")
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(points, radius))
-    named = points.join(found, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # stored, so that the last join stands alone and adaptive execution can split a common fingerprint
+    named = stored(points.join(found, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
