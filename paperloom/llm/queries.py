@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cuckoo, neighbours, packing, quality, simhash, suffixes, warc, windows
+from . import bpe, brown, cuckoo, neighbours, packing, quality, simhash, suffixes, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_packing, op3_windows, op4_quality, op5_exact_dedup, op7_neighbours, op8_suffixes, op9_bpe, op10_simhash)
+    for f in (op1_warc, op2_packing, op3_windows, op4_quality, op5_exact_dedup, op6_brown, op7_neighbours, op8_suffixes, op9_bpe, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
