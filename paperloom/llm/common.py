@@ -100,3 +100,69 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+# ---- documents and what is known about them, brought together -----------------------------
+
+
+def buckets(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket, from 0 to parts - 1, in which a document meets its pieces."""
+    return (mix64(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def by_bucket(ids: np.ndarray, parts: int, *values: np.ndarray):
+    """(bucket, ids, values ...) for every bucket that has any, ids in order."""
+    own = buckets(ids, parts)
+    order = np.lexsort((ids, own))
+    own, ids, values = own[order], ids[order], [v[order] for v in values]
+    cut = np.flatnonzero(np.diff(own)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(own)], strict=True):
+        if b > a:
+            yield int(own[a]), ids[a:b], *(v[a:b] for v in values)
+
+
+def with_bucket(docs: DataFrame, parts: int, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the column ``_bucket`` in front (a null id has bucket 0)."""
+    from pyspark.sql import types as T
+
+    at = docs.columns.index(id_col)
+
+    def run(batches):
+        for b in batches:
+            own = buckets(np.asarray(pc.fill_null(b.column(at).cast(pa.int64()), 0)), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *b.columns], names=["_bucket", *b.schema.names])
+
+    return docs.mapInArrow(run, T.StructType([T.StructField("_bucket", T.IntegerType()), *docs.schema.fields]))
+
+
+def met(docs: DataFrame, pieces: DataFrame, parts: int) -> DataFrame:
+    """Documents (with ``_bucket``) and packed pieces (``_bucket`` and binary columns ``_...``, all null in
+    documents) in one partition per bucket, the pieces first."""
+    from pyspark.sql import functions as F
+
+    extra = [c for c in pieces.columns if c != "_bucket"]
+    rows = docs.withColumn("_doc", F.lit(True)).unionByName(pieces.withColumn("_doc", F.lit(False)), allowMissingColumns=True)
+    return rows.repartitionById(parts, F.col("_bucket")).sortWithinPartitions("_doc").select(*[c for c in docs.columns if c != "_bucket"], *extra, "_doc")
+
+
+class Pieces:
+    """Packed pieces of a partition, by document."""
+
+    def __init__(self):
+        self.found: list[tuple] = []
+        self.table: tuple | None = None
+
+    def add(self, *arrays: np.ndarray) -> None:
+        self.found.append(arrays)
+
+    def of(self, i: int | None) -> tuple[np.ndarray, ...] | None:
+        """The values of a document, or None. After the first call nothing more is added."""
+        if self.table is None:
+            columns = [np.concatenate(x) for x in zip(*self.found, strict=True)] if self.found else [np.zeros(0, np.int64)]
+            order = np.argsort(columns[0], kind="stable")
+            self.table = tuple(c[order] for c in columns)
+            self.found = []
+        if i is None:
+            return None
+        a, b = np.searchsorted(self.table[0], [i, i + 1])
+        return tuple(c[a:b] for c in self.table[1:]) if b > a else None

@@ -30,11 +30,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, mix64, planes, release, shuffle_parts, stored, unplanes
+from .common import Pieces, batch, by_bucket, byte_texts, met, mix64, planes, release, shuffle_parts, stored, unplanes, with_bucket
 from .windows import BASE, INVERSE, _power, compressed, expand
 
 LENGTH, ANCHOR = 100, 48
@@ -88,16 +89,6 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 16, (packed >> 8) & 0xFF, packed & 0xFF
 
 
-def _by_doc(ids: np.ndarray, *values: np.ndarray):
-    """(id, values of that id ...) for every id."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], [v[order] for v in values]
-    cut = np.flatnonzero(np.diff(ids)) + 1
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)], strict=True):
-        if b > a:
-            yield int(ids[a]), *(v[a:b] for v in values)
-
-
 def _ranges(hashes: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     """(part, from, to) of sorted hashes."""
     bounds = np.searchsorted(hashes, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)).tolist()
@@ -107,11 +98,13 @@ def _ranges(hashes: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
 
 # ---- 1: which anchors repeat --------------------------------------------------------------
 
-_ENTRY = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("packed", pa.binary())])
-_ENTRY_DDL = "part int, doc_id long, hashes binary, docs binary, packed binary"
+_ENTRY = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("packed", pa.binary())])
+_ENTRY_DDL = "part int, hashes binary, docs binary, packed binary"
 
 
 def _anchor_runs(docs: DataFrame, parts: int) -> DataFrame:
+    """Runs by range of the hash; without hashes, anchors of a bucket of documents that the block itself repeats."""
+
     def block(ids, found):
         sizes = np.array([len(f[0]) for f in found])
         hashes = np.concatenate([f[0] for f in found])
@@ -124,9 +117,9 @@ def _anchor_runs(docs: DataFrame, parts: int) -> DataFrame:
         often = ~new
         often[:-1] |= ~new[1:]
         # what the block itself repeats needs no answer; its hash still goes out once, unasked (packed -1)
-        rows = [(i % parts, i, None, None, planes(p)) for i, p in _by_doc(doc[often], packed[often])]
+        rows = [(k, None, planes(i), planes(p)) for k, i, p in by_bucket(doc[often], parts, packed[often])]
         h, d, p = hashes[new], doc[new], np.where(often, -1, packed)[new]
-        rows += [(k, None, planes(h[a:b]), planes(d[a:b]), planes(p[a:b])) for k, a, b in _ranges(h, parts)]
+        rows += [(k, planes(h[a:b]), planes(d[a:b]), planes(p[a:b])) for k, a, b in _ranges(h, parts)]
         return batch(_ENTRY, *zip(*rows, strict=True))
 
     def run(batches):
@@ -149,18 +142,18 @@ def _anchor_runs(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _repeated(runs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, packed): the anchors of each document that occur elsewhere too, in pieces."""
-    schema = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+    """(_bucket, _ids, _packed): the anchors that occur elsewhere too, packed by bucket of documents."""
+    schema = pa.schema([("_bucket", pa.int32()), ("_ids", pa.binary()), ("_packed", pa.binary())])
 
     def run(batches):
         pieces: dict[int, list] = {}
         for b in batches:
             done = []
-            for part, i, *entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if i is None:
+            for part, *entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if entry[0] is not None:
                     pieces.setdefault(part, []).append(entry)
                 else:
-                    done.append((i, entry[2]))
+                    done.append((part, *entry[1:]))
             if done:
                 yield batch(schema, *zip(*done, strict=True))
         while pieces:
@@ -175,11 +168,11 @@ def _repeated(runs: DataFrame, parts: int) -> DataFrame:
             same[1:] = h[1:] == h[:-1]
             same[:-1] |= same[1:]
             same &= p >= 0
-            rows = [(i, planes(x)) for i, x in _by_doc(d[same], p[same])]
+            rows = [(k, planes(i), planes(x)) for k, i, x in by_bucket(d[same], parts, p[same])]
             if rows:
                 yield batch(schema, *zip(*rows, strict=True))
 
-    return runs.repartitionById(parts, F.col("part")).mapInArrow(run, "doc_id long, packed binary")
+    return runs.repartitionById(parts, F.col("part")).mapInArrow(run, "_bucket int, _ids binary, _packed binary")
 
 
 # ---- 2: sorted, front-coded runs ----------------------------------------------------------
@@ -217,12 +210,13 @@ def suffix_keys(text: bytes, place: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes.astype(">u8").view(np.uint8).reshape(-1, 8), right, left], 1)
 
 
-_RUN = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("shared", pa.binary()), ("rests", pa.binary()), ("docs", pa.binary()), ("packed", pa.binary())])
-_RUN_DDL = "part int, doc_id long, shared binary, rests binary, docs binary, packed binary"
+_RUN = pa.schema([("part", pa.int32()), ("shared", pa.binary()), ("rests", pa.binary()), ("docs", pa.binary()), ("packed", pa.binary())])
+_RUN_DDL = "part int, shared binary, rests binary, docs binary, packed binary"
 
 
 def _suffix_runs(candidates: DataFrame, parts: int) -> DataFrame:
-    """Runs by range of the order (doc_id null), and the settled string starts of documents (doc_id, packed)."""
+    """Runs by range of the order; without shared lengths, settled string starts of a bucket of documents (packed: first
+    and last of each range)."""
 
     def block(keys, doc, packed):
         keys, doc, packed = np.concatenate(keys), np.concatenate(doc), np.concatenate(packed)
@@ -236,26 +230,30 @@ def _suffix_runs(candidates: DataFrame, parts: int) -> DataFrame:
         span = packed & 0xFFFF
         equal = np.zeros(len(keys), bool)
         equal[1:] = (shared[1:] == KEY) & (span[1:] == span[:-1])
-        place, near, far = _unpack(packed[equal])
         own = (doc[1:] == doc[:-1]) & (packed[1:] == packed[:-1])
         settled = equal.copy()
         settled[1:] &= ~own
         place, near, far = _unpack(packed[settled])
-        rows = [(i % parts, i, None, None, None, planes(np.concatenate([a, b]))) for i, a, b in _by_doc(doc[settled], place - far, place - near)]
+        rows = [(k, None, None, planes(i), planes(np.concatenate([a, b]))) for k, i, a, b in by_bucket(doc[settled], parts, place - far, place - near)]
         keys, doc, packed = keys[~equal], doc[~equal], packed[~equal]
         hashes = np.ascontiguousarray(keys[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
         for k, a, b in _ranges(hashes, parts):
             lengths, rests = front_code(keys[a:b])
-            rows.append((k, None, lengths.tobytes(), rests, planes(doc[a:b]), planes(packed[a:b])))
+            rows.append((k, lengths.tobytes(), rests, planes(doc[a:b]), planes(packed[a:b])))
         return batch(_RUN, *zip(*rows, strict=True))
 
     def run(batches):
-        press = zstandard.ZstdDecompressor()
+        press, pieces = zstandard.ZstdDecompressor(), Pieces()
         keys, doc, packed, size = [], [], [], 0
         for b in batches:
-            for i, frame, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, frame, ids, spans_, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not is_doc:
+                    pieces.add(unplanes(ids, np.int64), unplanes(spans_, np.int64))
+                    continue
+                if (mine := pieces.of(i)) is None:
+                    continue
                 text = expand(frame, press)
-                p = np.unique(np.concatenate([unplanes(x, np.int64) for x in pieces]))
+                p = np.unique(mine[0])
                 for k in range(0, len(p), BLOCK_SUFFIXES):
                     part = p[k : k + BLOCK_SUFFIXES]
                     keys.append(suffix_keys(text, part >> 16))
@@ -383,8 +381,8 @@ def lost_strings(keys: np.ndarray, shared: np.ndarray, doc: np.ndarray, packed:
 
 
 def _merged(runs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, starts): planes of first and last starts of lost strings, in pieces."""
-    schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
+    """(_bucket, _ids, _starts): first and last starts of ranges of lost strings, packed by bucket of documents."""
+    schema = pa.schema([("_bucket", pa.int32()), ("_ids", pa.binary()), ("_starts", pa.binary())])
 
     def finish(entries):
         runs_, shared = [decode_run(e[0], e[1]) for e in entries], [e[0] for e in entries]
@@ -410,7 +408,7 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
         edge = np.diff(np.pad(lost, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
         _, last = np.nonzero(edge == -1)
-        rows = [(i, planes(np.concatenate([a, b]))) for i, a, b in _by_doc(doc[row], place[row] - (last - 1), place[row] - first)]
+        rows = [(k, planes(i), planes(np.concatenate([a, b]))) for k, i, a, b in by_bucket(doc[row], parts, place[row] - (last - 1), place[row] - first)]
         if rows:
             yield batch(schema, *zip(*rows, strict=True))
 
@@ -418,44 +416,39 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
         pieces: dict[int, list] = {}
         for b in batches:
             done = []
-            for part, i, *entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if i is None:
+            for part, *entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if entry[0] is not None:
                     pieces.setdefault(part, []).append(entry)
                 else:
-                    done.append((i, entry[3]))
+                    done.append((part, *entry[2:]))
             if done:
                 yield batch(schema, *zip(*done, strict=True))
         while pieces:
             yield from finish(pieces.popitem()[1])
 
-    return runs.repartitionById(parts, F.col("part")).mapInArrow(run, "doc_id long, starts binary")
+    return runs.repartitionById(parts, F.col("part")).mapInArrow(run, "_bucket int, _ids binary, _starts binary")
 
 
 # ---- 4: cutting ---------------------------------------------------------------------------
 
 
-def lost_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts array<binary>): ranges of lost string starts for each document that has any."""
-    parts = shuffle_parts(docs.sparkSession)
+def lost_starts(docs: DataFrame, parts: int) -> DataFrame:
+    """(_bucket, _ids, _starts): ranges of lost string starts, packed by bucket of documents."""
     repeated = stored(_repeated(_anchor_runs(docs, parts), parts), "anchors")
     release(docs.sparkSession)
-    pieces = repeated.groupBy("doc_id").agg(F.collect_list("packed").alias("pieces"))
-    candidates = compressed(docs).join(pieces, "doc_id").select("doc_id", "text", "pieces")
+    candidates = met(with_bucket(compressed(docs), parts), repeated, parts)
     lost = stored(_merged(_suffix_runs(candidates, parts), parts), "lost")
     release(docs.sparkSession)
-    return lost.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    return lost
 
 
-def spans(starts: list[bytes] | None) -> np.ndarray:
-    """Maximal removed runs as rows (from, to)."""
-    if not starts:
+def spans(starts: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Maximal removed runs as rows (from, to), of ranges of lost starts."""
+    if starts is None:
         return np.zeros((0, 2), np.int64)
-    pairs = np.concatenate([unplanes(x, np.int64).reshape(2, -1) for x in starts], 1)
-    order = np.argsort(pairs[0], kind="stable")
-    a, b = pairs[0][order], np.maximum.accumulate(pairs[1][order] + LENGTH)
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] > b[:-1]
-    first = np.flatnonzero(new)
+    order = np.argsort(starts[0], kind="stable")
+    a, b = starts[0][order], np.maximum.accumulate(starts[1][order] + LENGTH)
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
     return np.stack([a[first], b[np.concatenate([first[1:], [len(a)]]) - 1]], 1)
 
 
@@ -469,38 +462,49 @@ def cut(text: bytes, removed: np.ndarray) -> bytes:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs``."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
-        press = zstandard.ZstdDecompressor()
+        press, pieces = zstandard.ZstdDecompressor(), Pieces()
         for b in batches:
             rows = []
-            for i, frame, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text, removed = expand(frame, press), spans(starts)
+            for i, frame, ids, starts, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not is_doc:
+                    pieces.add(unplanes(ids, np.int64), *unplanes(starts, np.int64).reshape(2, -1))
+                    continue
+                text, removed = expand(frame, press), spans(pieces.of(i))
                 rows.append((i, len(text), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(cut(text, removed)).hexdigest()))
             yield batch(schema, *zip(*rows, strict=True))
 
-    joined = compressed(docs).join(lost_starts(docs), "doc_id", "left").select("doc_id", "text", "starts")
+    parts = shuffle_parts(docs.sparkSession)
+    joined = met(with_bucket(compressed(docs), parts), lost_starts(docs, parts), parts)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated strings cut out of their texts; all columns stay, n_chars follows the text."""
     names = docs.columns
-    joined = docs.join(lost_starts(docs).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select(*names, F.col("starts").alias("_starts"))
-    at = names.index("text")
+    parts = shuffle_parts(docs.sparkSession)
+    joined = met(with_bucket(docs, parts), lost_starts(docs, parts), parts)
+    at, own = names.index("text"), names.index("doc_id")
 
     def run(batches):
+        pieces = Pieces()
         for b in batches:
+            is_doc = b.column(len(names) + 2)
+            packed = b.filter(pc.invert(is_doc))
+            for ids, starts in zip(packed.column(len(names)).to_pylist(), packed.column(len(names) + 1).to_pylist(), strict=True):
+                pieces.add(unplanes(ids, np.int64), *unplanes(starts, np.int64).reshape(2, -1))
+            b = b.filter(is_doc)
+            if not b.num_rows:
+                continue
             column = b.column(at)
-            starts = b.column(len(names)).to_pylist()
-            out = [
-                raw.decode() if not s else cut(raw, spans(s)).decode("utf-8", "ignore")
-                for raw, s in zip(byte_texts(column), starts, strict=True)
-            ]
-            fresh = pa.array([None if not ok else t for ok, t in zip(column.is_valid().to_pylist(), out, strict=True)], column.type)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], fresh, *b.columns[at + 1 : len(names)]], names=names)
+            out = []
+            for i, text, valid in zip(b.column(own).to_pylist(), byte_texts(column), column.is_valid().to_pylist(), strict=True):
+                removed = spans(pieces.of(i))
+                out.append(cut(text, removed).decode("utf-8", "ignore") if valid else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, column.type), *b.columns[at + 1 : len(names)]], names=names)
 
     cut_docs = joined.mapInArrow(run, docs.schema)
     return cut_docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else cut_docs
