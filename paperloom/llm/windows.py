@@ -19,8 +19,6 @@ empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, mix64, planes, shuffle_parts, unplanes, words_of
+from .common import Pieces, batch, by_bucket, byte_texts, met, mix64, planes, shuffle_parts, unplanes, with_bucket, words_of
 
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -82,36 +80,35 @@ def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
-    """(part, doc_id, body, more): with doc_id null, a run of a block's entries for one range of hashes (body:
-    hashes, more: documents); else the settled intervals of a document."""
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary()), ("more", pa.binary())])
+    """(part, settled, a, b): a run of a block's entries for one range of hashes (a: hashes, b: documents), or, if
+    settled, what a block settles for a bucket of documents (a: documents, b: first and last covered word)."""
+    schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
 
     def block(ids: list[int], hashes: list[np.ndarray]):
         order = sorted(range(len(ids)), key=ids.__getitem__)
         ids_sorted = np.array([ids[k] for k in order], np.int64)
         sizes = np.array([len(hashes[k]) for k in order])
         flat = np.concatenate([hashes[k] for k in order])
-        doc = np.repeat(ids_sorted, sizes)
+        begin = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(len(order)), sizes)
         at = np.argsort(flat, kind="stable")
-        flat_s, doc_s = flat[at], doc[at]
+        flat_s, doc_s = flat[at], ids_sorted[row[at]]
         new = np.ones(len(flat), bool)
         new[1:] = flat_s[1:] != flat_s[:-1]
         least = doc_s[np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]
         lost = np.sort(at[doc_s > least])
         rows = []
         if len(lost):
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            cut = np.flatnonzero(np.diff(row[lost])) + 1
-            for part in np.split(lost, cut):
-                k = row[part[0]]
-                a, b = covered(part - begin[k], window)
-                i = int(ids_sorted[k])
-                rows.append((i % parts, i, np.stack([a, b]).astype("<i8").tobytes(), None))
+            # windows of one document whose starts are no further apart than a window cover one interval
+            gap = (np.diff(lost) > window) | (np.diff(row[lost]) != 0)
+            first, last = lost[np.concatenate([[True], gap])], lost[np.concatenate([gap, [True]])]
+            doc = ids_sorted[row[first]]
+            spans = by_bucket(doc, parts, first - begin[row[first]], last - begin[row[first]] + window)
+            rows += [(k, True, planes(i), planes(np.concatenate([a, b]))) for k, i, a, b in spans]
         h, d = flat_s[new], doc_s[new]
         bounds = np.searchsorted(h, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)))
         edges = [0, *bounds.tolist(), len(h)]
-        rows += [(p, None, planes(h[a:b]), planes(d[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        rows += [(p, False, planes(h[a:b]), planes(d[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return batch(schema, *zip(*rows, strict=True))
 
     def run(batches):
@@ -130,24 +127,24 @@ def _candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
         if ids:
             yield block(ids, hashes)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, body binary, more binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, settled boolean, a binary, b binary")
 
 
 def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, settled, hashes): per reducer, what each document loses."""
-    schema = pa.schema([("doc_id", pa.int64()), ("settled", pa.binary()), ("hashes", pa.binary())])
+    """(_bucket, _ids, _spans, _hashes): what documents lose, packed by bucket of documents."""
+    schema = pa.schema([("_bucket", pa.int32()), ("_ids", pa.binary()), ("_spans", pa.binary()), ("_hashes", pa.binary())])
 
     def run(batches):
         runs: dict[int, list] = {}
         for b in batches:
             settled = []
-            for part, i, body, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if i is None:
-                    runs.setdefault(part, []).append((body, more))
+            for part, done, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if done:
+                    settled.append((part, x, y, None))
                 else:
-                    settled.append((i, body))
+                    runs.setdefault(part, []).append((x, y))
             if settled:
-                yield batch(schema, [i for i, _ in settled], [x for _, x in settled], [None] * len(settled))
+                yield batch(schema, *zip(*settled, strict=True))
         while runs:
             _, entries = runs.popitem()
             h = np.concatenate([unplanes(x, np.uint64) for x, _ in entries])
@@ -161,23 +158,18 @@ def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
             if len(first) == len(h):
                 continue
             least = np.minimum.reduceat(d, first)[np.cumsum(new) - 1]
-            lost = np.flatnonzero(d > least)
-            lost = lost[np.argsort(d[lost], kind="stable")]
-            if not len(lost):
-                continue
-            cut = np.flatnonzero(np.diff(d[lost])) + 1
-            groups = np.split(h[lost], cut)
-            ids = d[lost][np.concatenate([[0], cut])]
-            yield batch(schema, ids, [None] * len(ids), [g.astype("<u8").tobytes() for g in groups])
+            lost = d > least
+            rows = [(k, planes(i), None, planes(x)) for k, i, x in by_bucket(d[lost], parts, h[lost])]
+            if rows:
+                yield batch(schema, *zip(*rows, strict=True))
 
-    return candidates.repartitionById(parts, F.col("part")).mapInArrow(run, "doc_id long, settled binary, hashes binary")
+    return candidates.repartitionById(parts, F.col("part")).mapInArrow(run, "_bucket int, _ids binary, _spans binary, _hashes binary")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, settled, hashes): every row of ``docs`` (text compressed) with all that it loses."""
+    """Every row of ``docs`` (doc_id, text compressed) in one partition with what it loses, as ``met`` gives them."""
     parts = shuffle_parts(docs.sparkSession)
-    lost = _repeated(_candidates(docs, window, parts), parts).groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("hashes").alias("hashes"))
-    return compressed(docs).join(lost, "doc_id", "left")
+    return met(with_bucket(compressed(docs), parts), _repeated(_candidates(docs, window, parts), parts), parts)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -196,38 +188,52 @@ def expand(frame: bytes, press: zstandard.ZstdDecompressor) -> bytes:
     return press.decompress(frame) if frame else b""
 
 
-def removed_words(text: bytes, settled: list[bytes], hashes: list[bytes], known: WordHashes, window: int = WINDOW) -> tuple[list[bytes], np.ndarray]:
-    """The words of a document and which of them go."""
+def removed_words(text: bytes, spans: tuple | None, hashes: tuple | None, known: WordHashes, window: int = WINDOW) -> tuple[list[bytes], np.ndarray]:
+    """The words of a document and its maximal removal intervals, as rows (from, to)."""
     words = words_of(text)
-    edges = np.zeros(len(words) + 1, np.int64)
-    for raw in settled or []:
-        a, b = np.frombuffer(raw, "<i8").reshape(2, -1)
-        np.add.at(edges, a, 1)
-        np.add.at(edges, b, -1)
+    a, b = spans or (np.zeros(0, np.int64),) * 2
     if hashes:
-        own = window_hashes(known.of(words), window)
-        lost = np.flatnonzero(np.isin(own, np.concatenate([np.frombuffer(x, "<u8") for x in hashes])))
-        a, b = covered(lost, window)
-        np.add.at(edges, a, 1)
-        np.add.at(edges, b, -1)
-    return words, np.cumsum(edges[:-1]) > 0
-
-
-def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, intervals): intervals are the maximal runs of
-    removed words, as [from, to) pairs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+        lost = np.flatnonzero(np.isin(window_hashes(known.of(words), window), hashes[0]))
+        x, y = covered(lost, window)
+        a, b = np.concatenate([a, x]), np.concatenate([b, y])
+    if not len(a):
+        return words, np.zeros((0, 2), np.int64)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return words, np.stack([a[first], b[np.concatenate([first[1:], [len(a)]]) - 1]], 1)
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, intervals array<array<long>>, kept): intervals are the maximal runs of
+    removed words as [from, to), kept the other words joined by one space."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.list_(pa.int64()))), ("kept", pa.string())])
 
     def run(batches):
-        press, known = zstandard.ZstdDecompressor(), WordHashes()
+        press, known, spans, hashes = zstandard.ZstdDecompressor(), WordHashes(), Pieces(), Pieces()
         for b in batches:
             rows = []
-            for i, text, settled, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, gone = removed_words(expand(text, press), settled, hashes, known, window)
-                n = int(gone.sum())
-                kept = words if not n else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((i, len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
+            for i, text, ids, x, h, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not is_doc:
+                    if x is not None:
+                        spans.add(unplanes(ids, np.int64), *unplanes(x, np.int64).reshape(2, -1))
+                    else:
+                        hashes.add(unplanes(ids, np.int64), unplanes(h, np.uint64))
+                    continue
+                words, gone = removed_words(expand(text, press), spans.of(i), hashes.of(i), known, window)
+                kept, at = [], 0
+                for start, end in gone.tolist():
+                    kept += words[at:start]
+                    at = end
+                kept += words[at:]
+                rows.append((i, len(words), len(words) - len(kept), gone.tolist(), b" ".join(kept).decode()))
             if rows:
                 yield batch(schema, *zip(*rows, strict=True))
 
-    return removals(docs, window).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    ddl = "doc_id long, n_words long, n_removed long, intervals array<array<long>>, kept string"
+    return removals(docs, window).mapInArrow(run, ddl)
+
+
+def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs``."""
+    return deduplicate(docs, window).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
