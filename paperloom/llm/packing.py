@@ -20,7 +20,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from .windows import BASE, _power
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_MAX = 500_000
+CACHE_MAX, JOINED = 600_000, 50
+_MARK, _BETWEEN = b"\x01", b" \x01 "
 _CLOSING, _ALNUM, _BLANK = np.zeros((3, 256), bool)
 _CLOSING[list(b".,!?;:|")] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -65,12 +66,31 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the tokenizer has no single id for the mark between words")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array("I", c.ids).tobytes() for c in coded]
+        """Packed ids of words; ``JOINED`` of them share a call, with a control character between them that
+        has an id of its own (words that hold it are encoded alone)."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 50_000):
+            part = words[k : k + 50_000]
+            if any(_MARK in w for w in part):
+                out += [self._alone(w) for w in part]
+                continue
+            lines = [_BETWEEN.join(part[i : i + JOINED]).decode() for i in range(0, len(part), JOINED)]
+            coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+            flat = array("I", chain.from_iterable(chain(c.ids, self.mark) for c in coded))
+            raw, ends = flat.tobytes(), np.flatnonzero(np.frombuffer(flat, np.uint32) == self.mark[0]) * 4
+            begins = np.concatenate([[0], ends[:-1] + 4]).tolist()
+            out += [raw[a:b] for a, b in zip(begins, ends.tolist(), strict=True)]
+        return out
+
+    def _alone(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of distinct words."""
@@ -133,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         t = word_tokenizer(tokenizer)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for first, part in groups(list(byte_texts(b.column(1)))):
+            for first, part in groups(list(byte_texts(b.column(1))), 2_000_000):
                 rows = []
                 for d, ids in zip(doc_ids[first : first + len(part)], t.encode(part), strict=True):
                     coded = ids.tobytes() + end
