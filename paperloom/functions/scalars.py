@@ -100,7 +100,11 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(c: Column, order: str = "MDY") -> Column:
     """ISO date of a text, else null. The first form that matches decides, even if its date is invalid."""
-    s = strip_chars(strip(c), ".,:;")
+    # a lambda's variable holds the stripped text: as a plain expression it would be repeated in every branch
+    return F.get(F.transform(F.array(strip_chars(strip(c), ".,:;")), lambda s: _parsed_date(s, order)), 0)
+
+
+def _parsed_date(s: Column, order: str) -> Column:
     iso, short = r"([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", r"([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4})"
 
     def part(pattern: str, k: int) -> Column:

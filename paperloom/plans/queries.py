@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import scalars as S
 from ..operators import fields, layout, table, totals
+from ..ship import ship
 from . import render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 def _query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
