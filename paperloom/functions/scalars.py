@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import patterns as P
 
@@ -179,7 +180,7 @@ def truth_close(a: Column, b: Column, tolerance: float = 0.015) -> Column:
     return F.coalesce(F.abs(a - b) < tolerance, F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts (already normalised)."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -249,7 +249,7 @@ _WEIGHED = f"""
                  CASE WHEN line % 7 = 3 THEN 10 ELSE 1 END * net / 100.0::DOUBLE AS n, CASE WHEN line % 6 = 2 THEN NULL ELSE gross / 100.0::DOUBLE END AS g, vat::DOUBLE AS vat FROM m),
     w AS (SELECT *, q >= 1000 AND p IS NOT NULL AND NOT ({_close_sql('q * p', 'n')}) AND {_close_sql('q / 1000 * p', 'n')} AS heavy FROM i),
     r AS (SELECT l_orderkey, line, CASE WHEN heavy THEN q / 1000 ELSE q END AS q, p, n, g, vat FROM w),
-    d AS (SELECT l_orderkey, line, q, coalesce(p, round_even((n / q)::DECIMAL(38, 10), 2)::DOUBLE) AS p, p IS NULL AS derived, n, g, vat FROM r)
+    d AS (SELECT l_orderkey, line, q, coalesce(p, format('{{:.2f}}', n / q)::DOUBLE) AS p, p IS NULL AS derived, n, g, vat FROM r)
 """
 
 
@@ -297,7 +297,7 @@ _INVOICES_SQL = f"""
                      CASE WHEN no IS NULL THEN 'missing:invoice_number' END, CASE WHEN d IS NULL THEN 'missing:date' END, CASE WHEN tot IS NULL THEN 'missing:total' END,
                      CASE WHEN party IS NULL THEN 'missing:parties' END) AS warnings,
                  (no IS NULL)::INT + (d IS NULL)::INT + (tot IS NULL)::INT + (party IS NULL)::INT AS missing FROM j),
-    c AS (SELECT *, round(0.97::DOUBLE * pow(0.85::DOUBLE, bad) * pow(0.95::DOUBLE, missing), 3) AS confidence FROM f),
+    c AS (SELECT *, format('{{:.3f}}', 0.97::DOUBLE * pow(0.85::DOUBLE, bad) * pow(0.95::DOUBLE, missing))::DOUBLE AS confidence FROM f),
     t AS (SELECT *, CASE WHEN bad > 0 OR confidence < 0.8 THEN 'needs_review' ELSE 'ok' END AS status FROM c)
 """
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
@@ -23,7 +24,7 @@ TOO_LARGE_UNPACKED = "DOCX is too large when decompressed"
 # ---------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _zip_kind(content: pd.Series) -> pd.Series:
     """docx, large, or null for any other ZIP file."""
 
