@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, lower_ascii, mix64, planes, release, shuffle_parts, stored, unplanes
+from .common import batch, byte_texts, lower_ascii, mix64, planes, ready, release, shuffle_parts, stored, unplanes
 from .windows import BASE, _power
 
 CLASSES, ROUNDS, WEIGHT = 48, 3, 0.95
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS, CONTEXT_STEP = 700_000, 100_000
 DIVISOR, HELD_OUT = 7, 2
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -109,7 +109,7 @@ def encode(docs: DataFrame, parts: int) -> DataFrame:
         if ids:
             yield chunk(number, ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CORPUS_DDL)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CORPUS_DDL)
 
 
 # ---- vocabulary ---------------------------------------------------------------------------
@@ -152,8 +152,9 @@ def vocabulary(corpus: DataFrame, parts: int, classes: int) -> DataFrame:
     return rows.repartitionById(parts, F.col("part")).mapInArrow(meet, _VOCAB_DDL)
 
 
-def _told(corpus: DataFrame, vocab: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    """Chunks with the counts and classes of their words, by range: heard array<struct<part, counts, classes>>."""
+def _told(corpus: DataFrame, vocab: DataFrame, links: DataFrame, parts: int, with_counts: bool = False) -> DataFrame:
+    """Chunks with the classes of their words and, if asked for, their counts, by range: heard array<struct<part, counts,
+    classes>>."""
     schema = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary())])
 
     def run(batches):
@@ -161,7 +162,7 @@ def _told(corpus: DataFrame, vocab: DataFrame, links: DataFrame, parts: int) ->
             counts, classes = unplanes(counts, np.int64), np.frombuffer(classes, np.uint8)
             for number, at in waiting:
                 at = unplanes(at, np.int32)
-                yield batch(schema, [number], [part], [planes(counts[at])], [classes[at].tobytes()])
+                yield batch(schema, [number], [part], [planes(counts[at]) if with_counts else b""], [classes[at].tobytes()])
 
     told = vocab.unionByName(links).repartitionById(parts, F.col("part")).mapInArrow(run, "chunk long, part int, counts binary, classes binary")
     heard = told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "counts", "classes"))).alias("heard"))
@@ -217,7 +218,7 @@ def _contexts(told: DataFrame, classes: int, with_words: bool) -> DataFrame:
     def words(number, ids, own, before, first, cuts):
         after = ~first[1:]
         keys = np.concatenate([ids[:-1][after] * np.int64(codes) + own[1:][after], ids * np.int64(codes) + classes + np.where(first, 0, before + 1)])
-        step = max(1, 20_000_000 // codes)
+        step = max(1, 4_000_000 // codes)
         out_w, out_c, out_n = [], [], []
         total = cuts[-1]
         for a in range(0, total, step):
@@ -291,7 +292,8 @@ def _exchange(vocab: DataFrame, links: DataFrame, contexts: DataFrame, table: np
                 order = np.argsort(word, kind="stable")
                 word, code, n = word[order], code[order], n[order].astype(np.float32)
                 first = np.flatnonzero(np.diff(word, prepend=-1))
-                edges = [*range(0, len(first), 20_000), len(first)]
+                # frequent words come first and have many contexts: steps of about as many contexts each
+                edges = np.unique(np.append(np.searchsorted(first, np.arange(0, len(word), CONTEXT_STEP)), len(first))).tolist()
                 for a, z in zip(edges, edges[1:]):
                     lo, hi = first[a], first[z] if z < len(first) else len(word)
                     score = np.add.reduceat(weights[code[lo:hi]] * n[lo:hi, None], first[a:z] - lo, axis=0)
@@ -368,4 +370,4 @@ def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, weight:
         vocab = stored(_exchange(vocab, links, contexts, _transitions(contexts, classes), parts), "classes")
         release(spark)
     final = _transitions(_contexts(_told(corpus, vocab, links, parts), classes, False), classes)
-    return _scored(_told(corpus, vocab, links, parts), final, total, distinct, weight)
+    return _scored(_told(corpus, vocab, links, parts, True), final, total, distinct, weight)
