@@ -12,11 +12,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 #: What separates words in every contract: space and the five controls from tab to carriage return.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
+#: Spark's default bound on the bytes of an Arrow batch, and the one used here instead: a task holds several copies of a batch.
+_DEFAULT_BATCH, _BATCH = "67108864b", "4m"
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """``df``, with this package sent to the workers and Arrow batches kept small (unless the session sets their size)."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == _DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a
     temporary folder in local mode and the warehouse elsewhere."""
@@ -31,13 +46,43 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that survive the
     loss of executors. The files go when the application ends."""
-    spark = df.sparkSession
+    spark = ready(df).sparkSession
     path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing will read again, which is the case once all that was made of it is stored too."""
+    spark = table.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def trim() -> None:
+    """Give memory that is free again back to the system: Python workers live on between tasks and stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """``run`` for mapInArrow, with ``trim`` at the end of its task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pieces, batch, by_bucket, byte_texts, met, mix64, planes, release, shuffle_parts, stored, unplanes, with_bucket
+from .common import Pieces, batch, by_bucket, byte_texts, discard, met, mix64, planes, ready, release, shuffle_parts, stored, tidy, unplanes, with_bucket
 from .windows import BASE, INVERSE, _power, compressed, expand
 
 LENGTH, ANCHOR = 100, 48
@@ -43,7 +43,7 @@ LENGTH, ANCHOR = 100, 48
 REACH = LENGTH - ANCHOR
 #: A suffix as it is sorted: hash of the anchor, right side, reversed left side.
 KEY = 8 + LENGTH + REACH
-BLOCK_ANCHORS, BLOCK_SUFFIXES, CHUNK = 1_500_000, 150_000, 1 << 20
+BLOCK_ANCHORS, BLOCK_SUFFIXES, CHUNK = 600_000, 60_000, 1 << 20
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +78,8 @@ def _anchors(raw: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     last = np.concatenate([first[1:], [len(at)]]) - 1
     place = at[first]
-    return hashes[place], place + begin, place - last, place - first
+    # anchors have the least hashes: mixed again, they spread evenly over ranges
+    return mix64(hashes[place] + np.uint64(BASE)), place + begin, place - last, place - first
 
 
 def _pack(place: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -138,7 +139,7 @@ def _anchor_runs(docs: DataFrame, parts: int) -> DataFrame:
         if ids:
             yield block(ids, found)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ENTRY_DDL)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _ENTRY_DDL)
 
 
 def _repeated(runs: DataFrame, parts: int) -> DataFrame:
@@ -172,7 +173,7 @@ def _repeated(runs: DataFrame, parts: int) -> DataFrame:
             if rows:
                 yield batch(schema, *zip(*rows, strict=True))
 
-    return runs.repartitionById(parts, F.col("part")).mapInArrow(run, "_bucket int, _ids binary, _packed binary")
+    return runs.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), "_bucket int, _ids binary, _packed binary")
 
 
 # ---- 2: sorted, front-coded runs ----------------------------------------------------------
@@ -266,7 +267,7 @@ def _suffix_runs(candidates: DataFrame, parts: int) -> DataFrame:
         if size:
             yield block(keys, doc, packed)
 
-    return candidates.mapInArrow(run, _RUN_DDL)
+    return candidates.mapInArrow(tidy(run), _RUN_DDL)
 
 
 # ---- 3: merging ---------------------------------------------------------------------------
@@ -426,7 +427,7 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
         while pieces:
             yield from finish(pieces.popitem()[1])
 
-    return runs.repartitionById(parts, F.col("part")).mapInArrow(run, "_bucket int, _ids binary, _starts binary")
+    return runs.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), "_bucket int, _ids binary, _starts binary")
 
 
 # ---- 4: cutting ---------------------------------------------------------------------------
@@ -438,6 +439,7 @@ def lost_starts(docs: DataFrame, parts: int) -> DataFrame:
     release(docs.sparkSession)
     candidates = met(with_bucket(compressed(docs), parts), repeated, parts)
     lost = stored(_merged(_suffix_runs(candidates, parts), parts), "lost")
+    discard(repeated)
     release(docs.sparkSession)
     return lost
 
@@ -479,7 +481,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
     parts = shuffle_parts(docs.sparkSession)
     joined = met(with_bucket(compressed(docs), parts), lost_starts(docs, parts), parts)
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -506,5 +508,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 out.append(cut(text, removed).decode("utf-8", "ignore") if valid else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, column.type), *b.columns[at + 1 : len(names)]], names=names)
 
-    cut_docs = joined.mapInArrow(run, docs.schema)
+    cut_docs = joined.mapInArrow(tidy(run), docs.schema)
     return cut_docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else cut_docs
