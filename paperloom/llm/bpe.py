@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, ready, texts, tidy
 
 # ---- fixed values: White_Space code points ------------------------------------------------
 WHITE_SPACE = [
@@ -341,7 +341,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 coded = m.encode(part)
                 yield batch(schema, ids.slice(first, len(part)), [np.frombuffer(x, "<i4") for x in coded], [m.offsets(x) for x in coded])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, ids array<int>, offsets array<long>").withColumnRenamed("id", id_col)
+    return ready(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(run), "id long, ids array<int>, offsets array<long>").withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
@@ -353,7 +353,7 @@ def decode(coded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFra
         for b in batches:
             yield batch(schema, b.column(0), [m.decode(np.asarray(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()])
 
-    return coded.select(F.col(id_col).cast("long"), "ids").mapInArrow(run, "id long, content binary").withColumnRenamed("id", id_col)
+    return ready(coded).select(F.col(id_col).cast("long"), "ids").mapInArrow(tidy(run), "id long, content binary").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -374,4 +374,4 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                     [hashlib.sha256(m.decode(x)).hexdigest() for x in coded],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

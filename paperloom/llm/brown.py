@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, lower_ascii, mix64, planes, ready, release, shuffle_parts, stored, unplanes
+from .common import batch, byte_texts, discard, lower_ascii, mix64, planes, ready, release, shuffle_parts, stored, tidy, unplanes
 from .windows import BASE, _power
 
 CLASSES, ROUNDS, WEIGHT = 48, 3, 0.95
@@ -109,7 +109,7 @@ def encode(docs: DataFrame, parts: int) -> DataFrame:
         if ids:
             yield chunk(number, ids, texts)
 
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CORPUS_DDL)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _CORPUS_DDL)
 
 
 # ---- vocabulary ---------------------------------------------------------------------------
@@ -148,8 +148,8 @@ def vocabulary(corpus: DataFrame, parts: int, classes: int) -> DataFrame:
             for where, (number, _, _) in zip(at, entries, strict=True):
                 yield batch(_VOCAB, [part], [number], [planes(where)], [None], [None])
 
-    rows = corpus.select("chunk", "words", "cuts", "counts").mapInArrow(split, "part int, chunk long, words binary, counts binary")
-    return rows.repartitionById(parts, F.col("part")).mapInArrow(meet, _VOCAB_DDL)
+    rows = corpus.select("chunk", "words", "cuts", "counts").mapInArrow(tidy(split), "part int, chunk long, words binary, counts binary")
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(tidy(meet), _VOCAB_DDL)
 
 
 def _told(corpus: DataFrame, vocab: DataFrame, links: DataFrame, parts: int, with_counts: bool = False) -> DataFrame:
@@ -164,7 +164,7 @@ def _told(corpus: DataFrame, vocab: DataFrame, links: DataFrame, parts: int, wit
                 at = unplanes(at, np.int32)
                 yield batch(schema, [number], [part], [planes(counts[at]) if with_counts else b""], [classes[at].tobytes()])
 
-    told = vocab.unionByName(links).repartitionById(parts, F.col("part")).mapInArrow(run, "chunk long, part int, counts binary, classes binary")
+    told = vocab.unionByName(links).repartitionById(parts, F.col("part")).mapInArrow(tidy(run), "chunk long, part int, counts binary, classes binary")
     heard = told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "counts", "classes"))).alias("heard"))
     return corpus.select("chunk", "doc_ids", "held", "sizes", "ids", "cuts").join(heard, "chunk")
 
@@ -237,7 +237,7 @@ def _contexts(told: DataFrame, classes: int, with_words: bool) -> DataFrame:
         ]
 
     ddl = "part int, chunk long, word binary, code binary, n binary, transitions array<long>"
-    return told.select("chunk", "held", "sizes", "ids", "cuts", "heard").mapInArrow(run, ddl)
+    return told.select("chunk", "held", "sizes", "ids", "cuts", "heard").mapInArrow(tidy(run), ddl)
 
 
 def _transitions(contexts: DataFrame, classes: int) -> np.ndarray:
@@ -303,7 +303,7 @@ def _exchange(vocab: DataFrame, links: DataFrame, contexts: DataFrame, table: np
     nothing = F.lit(None).cast("binary")
     rows = vocab.unionByName(links).select("*", *(nothing.alias(c) for c in ("word", "code", "n")))
     more = contexts.where("part is not null").select("part", "chunk", *(nothing.alias(c) for c in ("at", "counts", "classes")), "word", "code", "n")
-    return rows.unionByName(more).repartitionById(parts, F.col("part")).mapInArrow(run, _VOCAB_DDL)
+    return rows.unionByName(more).repartitionById(parts, F.col("part")).mapInArrow(tidy(run), _VOCAB_DDL)
 
 
 # ---- scoring ------------------------------------------------------------------------------
@@ -346,7 +346,7 @@ def _scored(told: DataFrame, table: np.ndarray, total: int, distinct: int, weigh
                 )
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return told.select("doc_ids", "held", "sizes", "ids", "heard").mapInArrow(run, ddl)
+    return told.select("doc_ids", "held", "sizes", "ids", "heard").mapInArrow(tidy(run), ddl)
 
 
 def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, weight: float = WEIGHT) -> DataFrame:
@@ -363,11 +363,12 @@ def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, weight:
             counts = [unplanes(x, np.int64) for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], names=["n", "v"])
 
-    total, distinct = vocab.mapInArrow(sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    total, distinct = vocab.mapInArrow(tidy(sums), "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     for _ in range(rounds):
         contexts = stored(_contexts(_told(corpus, vocab, links, parts), classes, True), "contexts")
         release(spark)
         vocab = stored(_exchange(vocab, links, contexts, _transitions(contexts, classes), parts), "classes")
+        discard(contexts)
         release(spark)
     final = _transitions(_contexts(_told(corpus, vocab, links, parts), classes, False), classes)
     return _scored(_told(corpus, vocab, links, parts, True), final, total, distinct, weight)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -39,8 +39,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = stored(small.where("u <> v").groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"), "links")
         reached = _state(after)
+        discard(now)
+        now = after
         if reached == state:
             break
-        now, state = after, reached
+        state = reached
     star = now.groupBy("u").agg(F.min("v").alias("m"))
     return star.select(F.col("u").alias("id"), F.col("m").alias("component_id"))

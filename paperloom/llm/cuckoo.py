@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, shuffle_parts
+from .common import batch, byte_texts, ready, shuffle_parts, tidy
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -141,7 +141,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             yield batch(schema, b.column(0), [hashlib.sha256(t).digest() + len(t).to_bytes(8, "big") for t in byte_texts(b.column(1))])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, content binary")
+    return ready(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(run), "id long, content binary")
 
 
 def classes(contents: DataFrame) -> DataFrame:
@@ -166,8 +166,8 @@ def classes(contents: DataFrame) -> DataFrame:
             yield _fold_table(schema, index)
 
     spark = contents.sparkSession
-    local = contents.mapInArrow(in_task, ddl)
-    return local.repartition(shuffle_parts(spark), "digest").mapInArrow(in_shard, ddl).drop("digest")
+    local = contents.mapInArrow(tidy(in_task), ddl)
+    return local.repartition(shuffle_parts(spark), "digest").mapInArrow(tidy(in_shard), ddl).drop("digest")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:

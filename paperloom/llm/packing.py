@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, mix64, shuffle_parts, stored
+from .common import batch, byte_texts, mix64, ready, shuffle_parts, stored, tidy
 from .windows import BASE, _power
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_MAX, JOINED = 600_000, 50
+CACHE_MAX, JOINED = 250_000, 50
 _MARK, _BETWEEN = b"\x01", b" \x01 "
 _CLOSING, _ALNUM, _BLANK = np.zeros((3, 256), bool)
 _CLOSING[list(b".,!?;:|")] = True
@@ -76,8 +76,8 @@ class WordTokenizer:
         """Packed ids of words; ``JOINED`` of them share a call, with a control character between them that
         has an id of its own (words that hold it are encoded alone)."""
         out: list[bytes] = []
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
             if any(_MARK in w for w in part):
                 out += [self._alone(w) for w in part]
                 continue
@@ -161,9 +161,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         cut = coded[at : at + step]
                         rows.append((d, k, at // 4, len(cut) // 4, zlib.crc32(cut), cut))
                 yield batch(schema, *list(zip(*rows, strict=True))[: len(schema)])
+        t.old = {}  # between tasks one generation of words is enough
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), ddl)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, planes, unplanes
+from .common import batch, byte_texts, planes, ready, tidy, unplanes
 
 #: Rows of the hashed embedding table, its width, and the most labelled rows that training takes.
 BUCKETS, WIDTH, SAMPLE = 1 << 18, 16, 6000
@@ -141,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             yield batch(schema, *zip(*rows, strict=True))
 
     # the chosen rows are at most ``sample``: a proven bound for the broadcast
-    matched = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", F.col("l_id"), "text")
-    got = matched.mapInArrow(run, "label int, id long, buckets binary, counts binary").collect()
+    matched = ready(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", F.col("l_id"), "text")
+    got = matched.mapInArrow(tidy(run), "label int, id long, buckets binary, counts binary").collect()
     got.sort(key=lambda r: (r["id"], r["buckets"]))
     press = zstandard.ZstdDecompressor()
 
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], extra: list[str] | None = None) -> DataFrame:
     """(doc_id, score[, extra columns]) for every row of ``docs``."""
     numbers = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in extra or [] if c not in ("doc_id", "text")])
+    kept = ready(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in extra or [] if c not in ("doc_id", "text")])
 
     def run(batches):
         table, bias = numbers.value
@@ -171,7 +171,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], extra: list[str] |
 
     fields = kept.schema.fields if extra is not None else kept.schema.fields[:1]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `score` double"
-    return kept.mapInArrow(run, ddl)
+    return kept.mapInArrow(tidy(run), ddl)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, lower_ascii, shuffle_parts, stored, words_of
+from .common import batch, byte_texts, lower_ascii, ready, shuffle_parts, stored, tidy, words_of
 from .components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
             fps = np.array([fingerprint(t, width, seed) for t in byte_texts(b.column(1))], np.uint64)
             yield batch(schema, b.column(0), fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 class Forest:
@@ -198,8 +198,8 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         if u:
             yield batch(schema, np.concatenate(u), np.concatenate(v))
 
-    exploded = points.select("fp", "rep", F.explode(keys).alias("key")).select("key.block", "key.value", "fp", "rep")
-    return exploded.repartition(2 * shuffle_parts(spark), "block", "value").mapInArrow(run, "u long, v long")
+    exploded = ready(points).select("fp", "rep", F.explode(keys).alias("key")).select("key.block", "key.value", "fp", "rep")
+    return exploded.repartition(2 * shuffle_parts(spark), "block", "value").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, stored
+from .common import batch, ready, stored, tidy
 
 #: Payload bytes after which a package is closed.
 PACKAGE_BYTES = 4 << 20
@@ -250,7 +250,7 @@ def write(pages: DataFrame, min_bytes: int = 0, package_bytes: int = PACKAGE_BYT
         if writer.index:
             yield close()
 
-    return with_roles(pages, min_bytes).mapInArrow(run, "path string, content binary")
+    return ready(with_roles(pages, min_bytes)).mapInArrow(tidy(run), "path string, content binary")
 
 
 def read(packages: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def read(packages: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(schema, *zip(*rows, strict=True))
 
-    return packages.select("content").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return ready(packages).select("content").mapInArrow(tidy(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

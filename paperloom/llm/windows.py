@@ -26,13 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pieces, batch, by_bucket, byte_texts, met, mix64, planes, shuffle_parts, unplanes, with_bucket, words_of
+from .common import Pieces, batch, by_bucket, byte_texts, met, mix64, planes, ready, shuffle_parts, tidy, unplanes, with_bucket, words_of
 
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Windows that a task sorts at once, words that the cache of word hashes holds.
-BLOCK_WINDOWS, CACHE_MAX = 2_000_000, 500_000
+BLOCK_WINDOWS, CACHE_MAX = 1_000_000, 300_000
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -127,7 +127,7 @@ def _candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
         if ids:
             yield block(ids, hashes)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, settled boolean, a binary, b binary")
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "part int, settled boolean, a binary, b binary")
 
 
 def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
             if rows:
                 yield batch(schema, *zip(*rows, strict=True))
 
-    return candidates.repartitionById(parts, F.col("part")).mapInArrow(run, "_bucket int, _ids binary, _spans binary, _hashes binary")
+    return candidates.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), "_bucket int, _ids binary, _spans binary, _hashes binary")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -181,7 +181,7 @@ def compressed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield batch(schema, b.column(0), [press.compress(t) for t in byte_texts(b.column(1))])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, text binary")
 
 
 def expand(frame: bytes, press: zstandard.ZstdDecompressor) -> bytes:
@@ -231,7 +231,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield batch(schema, *zip(*rows, strict=True))
 
     ddl = "doc_id long, n_words long, n_removed long, intervals array<array<long>>, kept string"
-    return removals(docs, window).mapInArrow(run, ddl)
+    return removals(docs, window).mapInArrow(tidy(run), ddl)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
