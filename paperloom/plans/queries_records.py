@@ -400,6 +400,40 @@ def reconcile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(f"""
+    WITH {_LINES},
+    s AS (SELECT l_orderkey AS k, count(*) AS n, sum(net)::BIGINT AS s, sum(gross - net)::BIGINT AS t FROM m GROUP BY 1),
+    c AS (SELECT *, k % 2 = 1 AS trusted, k % 4 IN (1, 3) AS r_bad, k % 4 IN (2, 3) AS a_bad, k % 3 = 0 AS r_wrong, k % 5 = 0 AS a_none FROM s),
+    p AS (SELECT *, CASE WHEN r_bad THEN n ELSE 0 END + (r_bad OR r_wrong)::INT + r_wrong::INT AS rr, CASE WHEN a_bad THEN n + 1 ELSE 0 END AS aa,
+                 CASE WHEN r_bad THEN n + 1 ELSE 0 END AS ra, CASE WHEN a_bad THEN n ELSE 0 END + (a_bad OR r_wrong)::INT + r_wrong::INT AS ar FROM c),
+    o AS (SELECT k, 'rr' AS c, rr AS bad, CASE WHEN trusted THEN 0 ELSE 1 END AS place FROM p
+          UNION ALL SELECT k, 'aa', aa, CASE WHEN trusted THEN 1 ELSE 0 END FROM p WHERE NOT a_none
+          UNION ALL SELECT k, 'ra', ra, CASE WHEN trusted THEN 2 ELSE 3 END FROM p WHERE NOT a_none
+          UNION ALL SELECT k, 'ar', ar, CASE WHEN trusted THEN 3 ELSE 2 END FROM p WHERE NOT a_none),
+    b AS (SELECT k, arg_min(c, (bad, place)) AS c FROM o GROUP BY k)
+    SELECT k AS orderkey, left(c, 1) = 'a' AS answered_items, n::BIGINT AS items, CASE WHEN right(c, 1) = 'r' AND r_wrong THEN 10 ELSE 1 END * s / 100.0::DOUBLE AS subtotal
+    FROM b JOIN p USING (k)
+""")
+def reconcile_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and subtotals of either side wrong by order number: the combination with the fewest problems wins."""
+    k = F.col("orderkey")
+    rows = _with_answers(spark, sf_dir).where(F.size("items") > 0)
+    mod = lambda n: F.pmod(k, F.lit(n))
+
+    def spoiled(test: Column, c: str) -> Column:
+        return F.transform(c, lambda x: x.withField("net_amount", F.when(test, x["net_amount"] * 3).otherwise(x["net_amount"])).withField("gross_amount", F.lit(None).cast("double")))
+
+    plain = F.aggregate(F.transform("items", lambda x: F.round(x["net_amount"] * 100).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    tax = F.col("summary.tax")
+    total = (plain + F.round(tax * 100).cast("long")) / 100.0
+    own = F.col("summary").withField("subtotal", F.when(mod(3) == 0, plain * 10).otherwise(plain) / 100.0).withField("total", total)
+    theirs = F.transform(spoiled(mod(4).isin(2, 3), "items"), lambda x: F.struct(*[x[f].alias(f) for f in ("description", "quantity", "unit", "unit_price", "vat_percent", "net_amount", "gross_amount")])).cast(f"array<{ANSWER_ITEM}>")
+    answer = F.col("answer").withField("items", F.when(mod(5) == 0, F.slice(theirs, 1, 0)).otherwise(theirs)).withField("subtotal", plain / 100.0).withField("tax", tax).withField("total", total)
+    rows = rows.withColumns({"items": spoiled(mod(4).isin(1, 3), "items"), "summary": own, "answer": answer})
+    merged = reconcile.merge(rows)
+    return merged.select("orderkey", F.array_contains("fields", "items").alias("answered_items"), F.size("items").cast("long").alias("items"), "summary.subtotal")
+
+
 @_query("""
     SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, '') || '|m|1')) AS answered_by,
            min(doc_id) OVER (PARTITION BY sha256(coalesce(text, '') || '|m|1')) % 3 = 0 AS hit
