@@ -30,7 +30,7 @@ def page_lines(words: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy(*PAGE)
     by_height = page.orderBy("yc", "word_idx")
-    w = box_columns(words.repartition(*[F.col(c) for c in PAGE]))
+    w = box_columns(words)
     w = w.withColumn("tol", F.median("h").over(page) * 0.5)
     w = w.withColumn("_gap", F.coalesce(F.col("yc") - F.lag("yc").over(by_height) > F.col("tol"), F.lit(False)).cast("int"))
     w = w.withColumn("_run", F.sum("_gap").over(by_height))

@@ -161,16 +161,15 @@ def page_rows(rows: DataFrame) -> DataFrame:
     """One row per page with a recognised table: anchors (y, numeric words merged), description lines, blocks."""
     numeric = F.filter("words", lambda w: w["x0"] >= F.col("zone_x"))
     text = joined(F.filter("words", lambda w: (w["x0"] >= F.col("desc_x")) & (w["x0"] < F.col("zone_x"))))
-    body = rows.where("body").select(*PAGE, "line_no", "y", "h", "slots", merge_numbers(numeric).alias("toks"), text.alias("desc"))
+    body = rows.where("table_found").select(*PAGE, "line_no", "y", "h", "slots", "body", F.when(F.col("body"), merge_numbers(numeric)).alias("toks"), F.when(F.col("body"), text).alias("desc"))
     n_numbers = F.size(F.filter("toks", lambda w: S.is_number_token(w["text"])))
     is_anchor = n_numbers >= F.least(F.lit(2), F.size("slots"))
     described = F.col("desc").rlike("[A-Za-z0-9]")
     anchor = F.when(is_anchor, F.struct("line_no", "y", "toks"))
     line = F.when(described, F.struct("line_no", "y", F.col("desc").alias("text"), "h"))
-    found = rows.where("table_found and line_no = header_line").select(*PAGE, "slots")
-    pages = body.groupBy(*PAGE).agg(F.array_sort(F.collect_list(anchor)).alias("anchors"), F.array_sort(F.collect_list(line)).alias("described"))
-    pages = found.join(pages, PAGE, "left").withColumns(
-        {c: F.coalesce(c, F.expr(f"cast(array() as {t})")) for c, t in (("anchors", _ANCHORS), ("described", _DESCRIBED))}
+    # the header's slots stand on every line of its page
+    pages = body.groupBy(*PAGE).agg(
+        F.first("slots").alias("slots"), F.array_sort(F.collect_list(anchor)).alias("anchors"), F.array_sort(F.collect_list(line)).alias("described")
     )
     none = F.size("described") == 0
     first = F.when(~none, row_blocks(F.col("described"), F.size("anchors")))
@@ -193,11 +192,6 @@ def page_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-_TOK = "struct<text: string, x0: int, y0: int, x1: int, y1: int, conf: double>"
-_ANCHORS = f"array<struct<line_no: int, y: double, toks: array<{_TOK}>>>"
-_DESCRIBED = "array<struct<line_no: int, y: double, text: string, h: double>>"
-
-
 def items(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, line, description, quantity, unit, unit_price, vat_percent, net_amount, gross_amount, conflicts) of
     ``page_rows``. Tokens as many as slots go by position, others to the nearest slot, which keeps the first; of two slots
