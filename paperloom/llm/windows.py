@@ -19,6 +19,8 @@ empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +34,9 @@ WINDOW = 50
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Windows that a task sorts at once, words that the cache of word hashes holds.
-BLOCK_WINDOWS, CACHE_MAX = 1_000_000, 300_000
+BLOCK_WINDOWS, CACHE_MAX = 1_000_000, 200_000
+#: Ranges of the hash per shuffle partition: a reducer holds all entries of its range.
+RANGES = 4
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -79,7 +83,7 @@ def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[last] + window
 
 
-def _candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
+def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> DataFrame:
     """(part, settled, a, b): a run of a block's entries for one range of hashes (a: hashes, b: documents), or, if
     settled, what a block settles for a bucket of documents (a: documents, b: first and last covered word)."""
     schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
@@ -103,7 +107,7 @@ def _candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
             gap = (np.diff(lost) > window) | (np.diff(row[lost]) != 0)
             first, last = lost[np.concatenate([[True], gap])], lost[np.concatenate([gap, [True]])]
             doc = ids_sorted[row[first]]
-            spans = by_bucket(doc, parts, first - begin[row[first]], last - begin[row[first]] + window)
+            spans = by_bucket(doc, doc_buckets, first - begin[row[first]], last - begin[row[first]] + window)
             rows += [(k, True, planes(i), planes(np.concatenate([a, b]))) for k, i, a, b in spans]
         h, d = flat_s[new], doc_s[new]
         bounds = np.searchsorted(h, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)))
@@ -130,7 +134,7 @@ def _candidates(docs: DataFrame, window: int, parts: int) -> DataFrame:
     return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "part int, settled boolean, a binary, b binary")
 
 
-def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
+def _repeated(candidates: DataFrame, parts: int, doc_buckets: int) -> DataFrame:
     """(_bucket, _ids, _spans, _hashes): what documents lose, packed by bucket of documents."""
     schema = pa.schema([("_bucket", pa.int32()), ("_ids", pa.binary()), ("_spans", pa.binary()), ("_hashes", pa.binary())])
 
@@ -159,7 +163,7 @@ def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
                 continue
             least = np.minimum.reduceat(d, first)[np.cumsum(new) - 1]
             lost = d > least
-            rows = [(k, planes(i), None, planes(x)) for k, i, x in by_bucket(d[lost], parts, h[lost])]
+            rows = [(k, planes(i), None, planes(x)) for k, i, x in by_bucket(d[lost], doc_buckets, h[lost])]
             if rows:
                 yield batch(schema, *zip(*rows, strict=True))
 
@@ -168,8 +172,10 @@ def _repeated(candidates: DataFrame, parts: int) -> DataFrame:
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` (doc_id, text compressed) in one partition with what it loses, as ``met`` gives them."""
-    parts = shuffle_parts(docs.sparkSession)
-    return met(with_bucket(compressed(docs), parts), _repeated(_candidates(docs, window, parts), parts), parts)
+    doc_buckets = shuffle_parts(docs.sparkSession)
+    parts = RANGES * doc_buckets
+    lost = _repeated(_candidates(docs, window, parts, doc_buckets), parts, doc_buckets)
+    return met(with_bucket(compressed(docs), doc_buckets), lost, doc_buckets)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -204,36 +210,46 @@ def removed_words(text: bytes, spans: tuple | None, hashes: tuple | None, known:
     return words, np.stack([a[first], b[np.concatenate([first[1:], [len(a)]]) - 1]], 1)
 
 
+def _cut(batches, window: int):
+    """Per Arrow batch a list of (doc_id, number of words, intervals, kept words)."""
+    press, known, spans, hashes = zstandard.ZstdDecompressor(), WordHashes(), Pieces(), Pieces()
+    for b in batches:
+        rows = []
+        for i, text, ids, x, h, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not is_doc:
+                if x is not None:
+                    spans.add(unplanes(ids, np.int64), *unplanes(x, np.int64).reshape(2, -1))
+                else:
+                    hashes.add(unplanes(ids, np.int64), unplanes(h, np.uint64))
+                continue
+            words, gone = removed_words(expand(text, press), spans.of(i), hashes.of(i), known, window)
+            n, kept, at = len(words), [], 0
+            for start, end in gone.tolist():
+                kept += words[at:start]
+                at = end
+            rows.append((i, n, gone, b" ".join(kept + words[at:] if at else words), n - len(kept) - (n - at)))
+        if rows:
+            yield rows
+
+
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, intervals array<array<long>>, kept): intervals are the maximal runs of
     removed words as [from, to), kept the other words joined by one space."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.list_(pa.int64()))), ("kept", pa.string())])
 
     def run(batches):
-        press, known, spans, hashes = zstandard.ZstdDecompressor(), WordHashes(), Pieces(), Pieces()
-        for b in batches:
-            rows = []
-            for i, text, ids, x, h, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not is_doc:
-                    if x is not None:
-                        spans.add(unplanes(ids, np.int64), *unplanes(x, np.int64).reshape(2, -1))
-                    else:
-                        hashes.add(unplanes(ids, np.int64), unplanes(h, np.uint64))
-                    continue
-                words, gone = removed_words(expand(text, press), spans.of(i), hashes.of(i), known, window)
-                kept, at = [], 0
-                for start, end in gone.tolist():
-                    kept += words[at:start]
-                    at = end
-                kept += words[at:]
-                rows.append((i, len(words), len(words) - len(kept), gone.tolist(), b" ".join(kept).decode()))
-            if rows:
-                yield batch(schema, *zip(*rows, strict=True))
+        for rows in _cut(batches, window):
+            yield batch(schema, *zip(*((i, n, lost, gone.tolist(), kept.decode()) for i, n, gone, kept, lost in rows), strict=True))
 
-    ddl = "doc_id long, n_words long, n_removed long, intervals array<array<long>>, kept string"
-    return removals(docs, window).mapInArrow(tidy(run), ddl)
+    return removals(docs, window).mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, intervals array<array<long>>, kept string")
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs``."""
-    return deduplicate(docs, window).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+
+    def run(batches):
+        for rows in _cut(batches, window):
+            yield batch(schema, *zip(*((i, n, lost, hashlib.sha256(kept).hexdigest()) for i, n, _, kept, lost in rows), strict=True))
+
+    return removals(docs, window).mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -187,12 +187,12 @@ def brute_windows(rows, window):
 
 @pytest.mark.parametrize("block", [2_000_000, 300])
 def test_windows(docs, rows, monkeypatch, block):
-    if block != windows.BLOCK_WINDOWS:  # small blocks: everything goes through the reducers
-        runs = windows._candidates
-        monkeypatch.setattr(windows, "BLOCK_WINDOWS", block)
-        assert runs is windows._candidates
-    got = found(windows.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
-    assert got == brute_windows(rows, windows.WINDOW)
+    monkeypatch.setattr(windows, "BLOCK_WINDOWS", block)
+    expected = brute_windows(rows, windows.WINDOW)
+    assert found(windows.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    for r in windows.deduplicate(docs).collect():
+        assert sum(b - a for a, b in r.intervals) == r.n_removed
+        assert (r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) in expected
 
 
 def test_windows_empty(empty):
