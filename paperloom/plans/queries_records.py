@@ -149,12 +149,19 @@ def lines_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, cell, string_agg(word, ' ' ORDER BY i) AS text FROM c GROUP BY ALL
 """)
 def cells_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line a document, with a wide gap behind every fourth word. The line is what a page holds: sixty words."""
-    words = F.slice(F.filter(F.split("text", "[ \n]"), lambda x: x != ""), 1, 60)
-    line = F.transform(words, lambda t, i: F.struct(t.alias("text"), (i * 100 + F.floor(i / 4).cast("int") * 200).alias("x0"), (i * 100 + F.floor(i / 4).cast("int") * 200 + 90).alias("x1")))
-    rows = _table(spark, sf_dir, "documents").select("doc_id", line.alias("words"))
-    found = rows.select("doc_id", F.posexplode(layout.cells(F.col("words"), F.lit(24))).alias("cell", "ws"))
-    return found.select("doc_id", F.col("cell").cast("long").alias("cell"), layout.joined(F.col("ws")).alias("text"))
+    """Whole documents in lines of sixty words, with a wide gap behind every fourth word. The SQL covers the first line only."""
+    return split_cells(_table(spark, sf_dir, "documents"))
+
+
+def split_cells(docs: DataFrame) -> DataFrame:
+    """(doc_id, cell, text): cells are numbered through a document, fifteen a full line."""
+    words = docs.select("doc_id", F.filter(F.split("text", "[ \n]"), lambda x: x != "").alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(60))
+    lines = words.select("doc_id", F.posexplode(F.transform(starts, lambda k: F.slice("words", k, 60))).alias("line", "words"))
+    boxed = F.transform("words", lambda t, i: F.struct(t.alias("text"), (i * 100 + F.floor(i / 4).cast("int") * 200).alias("x0"), (i * 100 + F.floor(i / 4).cast("int") * 200 + 90).alias("x1")))
+    rows = lines.select("doc_id", "line", boxed.alias("words"))
+    found = rows.select("doc_id", "line", F.posexplode(layout.cells(F.col("words"), F.lit(24))).alias("cell", "ws"))
+    return found.select("doc_id", (F.col("line") * 15 + F.col("cell")).cast("long").alias("cell"), layout.joined(F.col("ws")).alias("text"))
 
 
 @_query(f"""
