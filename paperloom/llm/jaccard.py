@@ -1,0 +1,186 @@
+"""Near-duplicates by the exact Jaccard similarity of their sets of word shingles (pipeline stage ``near``).
+
+Two documents are linked when they share at least ``SHARE`` of the shingles that either has. Two such sets agree on one of
+the first ``n - ceil(SHARE * n) + 1`` shingles of each in any common order, so every link is among the pairs that meet
+at a shingle of these prefixes: nothing is sampled or capped. The order puts shingles that a sample of documents
+shows to be common last; it changes the number of candidates only. Pairs drop out by bounds on sizes, positions and the number
+of prefix shingles they share, the others are compared on their texts. First each document is compared with one
+leader per shingle, so that a large cluster is one component before all pairs across components are listed.
+
+Shingles and sets are known by 64-bit hashes. Null texts are empty; documents without words are equal; documents of fewer than
+``WIDTH`` words are one shingle. Null ids are less than every id. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import batch, byte_texts, lower_ascii, mix64, ready, shuffle_parts, stored, tidy, words_of
+from .components import components
+
+WIDTH, SEED = 5, 42
+#: The least similarity of a link, as a fraction.
+SHARE = (4, 5)
+SAMPLE, COMMON = 5000, 100_000
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes, at least one."""
+    words = words_of(lower_ascii(text))
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-width] + 1]).tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """For arrays of ``shingles``."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * SHARE[1] >= SHARE[0] * (len(a) + len(b) - both)
+
+
+def _tagged(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with the hash of each row's set, ``_node``."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            nodes = np.array([xxhash.xxh64_intdigest(shingles(t, width).tobytes(), SEED) for t in byte_texts(b.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *b.columns], names=["_node", *b.schema.names])
+
+    return ready(docs).mapInArrow(tidy(run), T.StructType([T.StructField("_node", T.LongType()), *docs.schema.fields]))
+
+
+def _common(tagged: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and in how many."""
+    total = tagged.count()
+    every = np.uint64(max(1, total // SAMPLE))
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            mine = mix64(np.asarray(b.column(0)).view(np.uint64)) % every == 0
+            for t, m in zip(byte_texts(b.column(1)), mine.tolist(), strict=True):
+                if m:
+                    yield batch(schema, shingles(t, width).view(np.int64))
+
+    counts = tagged.select("_node", "text").mapInArrow(tidy(run), "h long").groupBy("h").count().where("count >= 3")
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+_ROW = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
+_SHARED = pa.schema([*_ROW, ("lead", pa.int64()), ("lead_n", pa.int64())])
+_ROW_DDL = "h long, node long, n long, at long"
+
+
+def _prefixes(tagged: DataFrame, width: int) -> DataFrame:
+    known, often = _common(tagged, width)
+
+    def run(batches):
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
+                s = shingles(t, width)
+                n = len(s)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.lexsort((s, np.where(known[k] == s, often[k], 0)))]
+                p = n + (-SHARE[0] * n // SHARE[1]) + 1
+                yield batch(_ROW, s[:p].view(np.int64), np.full(p, node), np.full(p, n), np.arange(p))
+
+    return tagged.select("_node", "text").mapInArrow(tidy(run), _ROW_DDL)
+
+
+def _gathered(batches, n: int) -> list[np.ndarray]:
+    parts = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * n
+
+
+def _shared(batches):
+    """The rows of shingles that two sets or more have, each with the least set's number and size."""
+    h, node, n, at = _gathered(batches, 4)
+    if not len(h):
+        return
+    order = np.lexsort((node, h))
+    h, node, n, at = h[order], node[order], n[order], at[order]
+    own = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(node) != 0)])
+    h, node, n, at = h[own], node[own], n[own], at[own]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0]))
+    size = np.diff(np.append(first, len(h)))
+    lead = np.repeat(first, size)
+    keep = np.flatnonzero(np.repeat(size, size) > 1)
+    for k in range(0, len(keep), 100_000):
+        i = keep[k : k + 100_000]
+        yield batch(_SHARED, h[i], node[i], n[i], at[i], node[lead[i]], n[lead[i]])
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
+_PAIR_DDL = "a long, b long, na long, nb long"
+
+
+def _across(batches):
+    """Pairs of sets in different components that meet at a shingle and that sizes and positions allow."""
+    h, node, n, at, label = _gathered(batches, 5)
+    order = np.lexsort((node, n, h))
+    h, node, n, at, label = h[order], node[order], n[order], at[order], label[order]
+    top, base = SHARE[0], SHARE[0] + SHARE[1]
+    i, step = np.arange(len(h)), 1
+    while len(i):
+        i = i[i + step < len(h)]
+        j = i + step
+        on = (h[i] == h[j]) & (n[i] * SHARE[1] >= n[j] * SHARE[0])
+        i, j = i[on], j[on]
+        most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+        ok = np.flatnonzero((label[i] != label[j]) & (most * base >= top * (n[i] + n[j])))
+        for k in range(0, len(ok), 100_000):
+            x, y = i[ok[k : k + 100_000]], j[ok[k : k + 100_000]]
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            yield batch(_PAIR, node[x], node[y], n[x], n[y])
+        step += 1
+
+
+def _confirmed(pairs: DataFrame, tagged: DataFrame, width: int) -> DataFrame:
+    """(u, v): pairs that share enough prefix shingles, compared in full."""
+    rest = lambda n: f"(cast(ceil({n} * {SHARE[0]} / {SHARE[1]}) as long) - 1)"  # noqa: E731  what a prefix leaves out
+    top, base = SHARE[0], SHARE[0] + SHARE[1]
+    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    likely = stored(counted.where(f"(c + greatest({rest('na')}, {rest('nb')})) * {base} >= {top} * (na + nb)").select("a", "b"), "candidates")
+    needed = likely.select(F.col("a").alias("_node")).unionByName(likely.select(F.col("b").alias("_node"))).distinct()
+    texts = stored(tagged.join(needed, "_node", "left_semi").groupBy("_node").agg(F.min(F.coalesce("text", F.lit(""))).alias("t")), "compared")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            near = [similar(shingles(x, width), shingles(y, width)) for x, y in zip(byte_texts(b.column(2)), byte_texts(b.column(3)), strict=True)]
+            mask = pa.array(near, pa.bool_())
+            yield batch(schema, b.column(0).filter(mask), b.column(1).filter(mask))
+
+    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return stored(both.mapInArrow(tidy(run), "u long, v long"), "confirmed")
+
+
+def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its component, with all their columns."""
+    tagged = stored(_tagged(docs, width), "tagged")
+    parts = 2 * shuffle_parts(docs.sparkSession)
+    shared = stored(_prefixes(tagged, width).repartition(parts, "h").mapInArrow(tidy(_shared), f"{_ROW_DDL}, lead long, lead_n long"), "shared")
+    star = _confirmed(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb")), tagged, width)
+    labels = stored(components(star), "labels")
+    labelled = shared.join(labels, F.col("node") == F.col("id"), "left").select("h", "node", "n", "at", F.coalesce("component_id", "node").alias("label"))
+    cross = _confirmed(labelled.repartition(parts, "h").mapInArrow(tidy(_across), _PAIR_DDL), tagged, width)
+    found = components(star.unionByName(cross))
+    rows = tagged.select("_node", "doc_id").distinct().join(found, F.col("_node") == F.col("id"), "left").select("_node", "doc_id", F.coalesce("component_id", "_node").alias("_component"))
+    least = rows.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("least"))
+    kept = rows.join(least, "_component").where(F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).select(F.col("_node").alias("_kept"), F.col("doc_id").alias("_id"))
+    return tagged.join(kept, (F.col("_node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)

@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from paperloom.llm import bpe, brown, components, cuckoo, neighbours, packing, quality, simhash, suffixes, warc, windows
+from paperloom.llm import bpe, brown, components, cuckoo, jaccard, neighbours, packing, quality, simhash, suffixes, warc, windows
 
 DOCS = "doc_id long, text string, lang string, fp string, component_id long, _doc boolean"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -477,3 +477,44 @@ def test_pipeline_stages(spark, sf):
         before = docs.count()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def brute_near(rows):
+    """(id, text) that stay; a null id counts as less than every other."""
+    sets = []
+    for _, t in rows:
+        ws = WORDS.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))})
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    least = brute_components(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if near(sets[a], sets[b])])
+    rank = lambda i: -math.inf if i is None else i
+    return sorted(((i, t) for k, (i, t) in enumerate(rows) if rank(i) == min(rank(rows[j][0]) for j in least if least[j] == least[k])), key=str)
+
+
+def test_near_stage_equals_brute_force(spark):
+    """Copies with changed words around the bound, chains of them, a large cluster, common lines, null ids."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    line = [word() for _ in range(30)]
+    texts = ["", None, " ", "one two", "One two"]
+    for n in (6, 40, 120, 300):
+        for _ in range(6):
+            base = [word() for _ in range(n)] + (line if rng.random() < 0.7 else [])
+            texts.append(" ".join(base))
+            for changes in range(1, n // 12 + 4):
+                copy = list(base)
+                for k in rng.sample(range(n), min(changes, n)):
+                    copy[k] = word()
+                texts.append(" ".join(copy))
+    base = [word() for _ in range(200)]
+    for k in range(80):
+        base[(7 * k) % 200] = word()
+        texts.append(" ".join(base))
+    rows = [((i * 37) % 1009, t) for i, t in enumerate(texts)] + [(None, "alone without an id"), (None, texts[9]), (3, "alone with a repeated id")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(5)
+    got = corpus_pipeline.near_stage(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_near(rows)
+    assert len(got) < len(rows) - 80
+    assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
