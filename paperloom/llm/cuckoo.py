@@ -10,8 +10,9 @@ one row per text and task is exchanged however large a group is; the rows of a d
 one shard, whose index folds them for good. ``content`` is what verifies a hit: the SHA-256 of the
 text with its length in bytes.
 
-Null texts equal empty ones. Of equal texts the row with the largest id stays. Rows repeated with
-one id count each. An empty table gives an empty result. Columns other than id and text are
+Null texts equal empty ones. Of equal texts the row with the largest id stays; a null id is less than
+every other, so a row without an id stays where no row of its text has one. Rows repeated with one
+id, or all without, count each and stay together. An empty table gives an empty result. Columns other than id and text are
 carried by ``deduplicate`` and ignored by ``classes``, whatever their names.
 """
 
@@ -112,14 +113,15 @@ class CuckooIndex:
         for content, kept in live:
             self.content[kept[0] & self.mask][content] = kept
 
-    def fold(self, digest: int, content: bytes, keep: int, count: int) -> None:
+    def fold(self, digest: int, content: bytes, keep: int | None, count: int) -> None:
         """Count a row: a new digest goes in, a verified hit raises the class it belongs to."""
         kept = self.get(digest, content)
         if kept is None:
             self.insert(digest, content, [keep, count])
         else:
             value = kept[1]
-            value[0] = max(value[0], keep)
+            if value[0] is None or keep is not None and keep > value[0]:
+                value[0] = keep
             value[1] += count
 
     def entries(self):
@@ -178,12 +180,16 @@ def duplicates(docs: DataFrame) -> DataFrame:
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
-        (F.col("id") == F.col("keep_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex(F.substring("content", 1, 32))).alias("text_sha256"),
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = classes(digests(docs, id_col, text_col)).select(F.col("keep_id").alias("_kept"))
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    text = F.coalesce(text_col, F.lit("")).cast("binary")
+    content = F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")))
+    # rows without an id are told apart, and spread, by their content
+    kept = classes(digests(docs, id_col, text_col)).select(F.col("keep_id").alias("_kept"), F.when(F.col("keep_id").isNull(), F.col("content")).alias("_content"))
+    own = F.col(id_col).eqNullSafe(F.col("_kept")) & F.when(F.col(id_col).isNull(), content).eqNullSafe(F.col("_content"))
+    return docs.join(kept, own, "left_semi")

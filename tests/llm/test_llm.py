@@ -518,3 +518,17 @@ def test_near_stage_equals_brute_force(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_near(rows)
     assert len(got) < len(rows) - 80
     assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_exact_dedup_rows_without_an_id(spark):
+    rows = [(None, "a"), (4, "a"), (None, "a"), (None, "b"), (None, None), (None, ""), (7, "c"), (9, "c"), (-3, "d"), (None, "d"), (None, "é" * 500)]
+    keep = {}
+    for i, t in rows:
+        keep[t or ""] = max([x for x in (keep.get(t or ""), i) if x is not None], default=None)
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted(((r.doc_id, r.text) for r in cuckoo.deduplicate(docs).collect()), key=str)
+        assert got == sorted(((i, t) for i, t in rows if i == keep[t or ""]), key=str)
+        classed = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in cuckoo.duplicates(docs).collect()), key=str)
+        sizes = Counter(t or "" for _, t in rows)
+        assert classed == sorted(((i, keep[t or ""], sizes[t or ""], i == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=str)
