@@ -532,3 +532,17 @@ def test_exact_dedup_rows_without_an_id(spark):
         classed = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in cuckoo.duplicates(docs).collect()), key=str)
         sizes = Counter(t or "" for _, t in rows)
         assert classed == sorted(((i, keep[t or ""], sizes[t or ""], i == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=str)
+
+
+def test_neighbours_beside_one_huge_vector(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    x[7] *= 1e8
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    by = {}
+    for r in neighbours.nearest(docs).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(np.float64)
+    best = {q: set([k for k in np.lexsort((np.arange(600), -(y @ y[q]))) if k != q][:20]) for q in range(0, 600, 20)}
+    assert by.keys() == best.keys()
+    assert sum(len(by[q] & best[q]) for q in by) / (20 * len(by)) >= 0.9
