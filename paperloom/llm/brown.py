@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, discard, lower_ascii, mix64, planes, ready, release, shuffle_parts, stored, tidy, unplanes
+from .common import batch, byte_texts, discard, lower_ascii, mix64, planes, ready, release, shuffle_parts, stored, tidy, unequal, unplanes
 from .windows import BASE, _power
 
 CLASSES, ROUNDS, WEIGHT = 48, 3, 0.95
@@ -73,6 +73,21 @@ def tokenise(documents: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarra
         joined[starts[k] : ends[k]] if w else b""
         for k, w in zip(word_no[where].tolist(), is_word[where].tolist(), strict=True)
     ]
+    if len(starts):
+        # a hash groups words, their bytes decide: those that differ from the first of their hash are words of their own
+        like = where[places[is_word]]
+        bad = np.union1d(unequal(raw[solid], first, lengths, np.where(is_word[like], word_no[like], np.arange(len(starts)))), np.flatnonzero(~is_word[like]))
+        token_of = np.flatnonzero(is_word)
+        more: dict[bytes, int] = {}
+        for k in bad.tolist():
+            word = joined[starts[k] : ends[k]]
+            if word not in more:
+                found = np.append(found, found[places[token_of[k]]])
+            places[token_of[k]] = more.setdefault(word, len(words) + len(more))
+        if more:
+            words += more
+            order = np.argsort(found, kind="stable")
+            words, found, places = [words[k] for k in order.tolist()], found[order], np.argsort(order)[places]
     return words, found, places.astype(np.int32), np.diff(end_at, prepend=-1)
 
 

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ship import ship
 
@@ -64,6 +66,19 @@ def discard(table: DataFrame) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_name(table: DataFrame, base: str) -> str:
+    """A column name that ``table`` doesn't have, in any case."""
+    taken = {c.lower() for c in table.columns}
+    name = f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def trim() -> None:
     """Give memory that is free again back to the system: Python workers live on between tasks and stages."""
     import ctypes
@@ -120,6 +135,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unequal(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Places of the words that differ from the word at ``like``: words are ``lengths`` (at least 1) bytes of ``flat`` from ``first`` on."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    same = lengths == lengths[like]
+    at = np.arange(len(flat)) - np.repeat(first, lengths)
+    differs = flat != flat[np.repeat(np.where(same, first[like], first), lengths) + at]
+    return np.flatnonzero(~same | np.logical_or.reduceat(differs, first))
+
+
 def planes(values: np.ndarray) -> bytes:
     """Integers as byte planes, so that sorted or clustered values compress well in a shuffle."""
     values = np.ascontiguousarray(values)
@@ -167,27 +192,31 @@ def by_bucket(ids: np.ndarray, parts: int, *values: np.ndarray):
 
 
 def with_bucket(docs: DataFrame, parts: int, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the column ``_bucket`` in front (a null id has bucket 0)."""
-    from pyspark.sql import types as T
-
+    """(_bucket, doc): rows of ``docs`` as structs, so that no column of theirs clashes with any other (a null id has bucket 0)."""
     at = docs.columns.index(id_col)
 
     def run(batches):
         for b in batches:
             own = buckets(np.asarray(pc.fill_null(b.column(at).cast(pa.int64()), 0)), parts)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *b.columns], names=["_bucket", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.StructArray.from_arrays(b.columns, fields=list(b.schema))], names=["_bucket", "doc"])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("_bucket", T.IntegerType()), *docs.schema.fields]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("doc", docs.schema)]))
 
 
 def met(docs: DataFrame, pieces: DataFrame, parts: int) -> DataFrame:
-    """Documents (with ``_bucket``) and packed pieces (``_bucket`` and binary columns ``_...``, all null in
-    documents) in one partition per bucket, the pieces first."""
-    from pyspark.sql import functions as F
-
+    """(doc, packed ...): documents of ``with_bucket`` and packed pieces (``_bucket`` and binary columns, all null in documents) in one
+    partition per bucket, the pieces first; doc is null in these."""
     extra = [c for c in pieces.columns if c != "_bucket"]
-    rows = docs.withColumn("_doc", F.lit(True)).unionByName(pieces.withColumn("_doc", F.lit(False)), allowMissingColumns=True)
-    return rows.repartitionById(parts, F.col("_bucket")).sortWithinPartitions("_doc").select(*[c for c in docs.columns if c != "_bucket"], *extra, "_doc")
+    rows = docs.unionByName(pieces, allowMissingColumns=True)
+    return rows.repartitionById(parts, F.col("_bucket")).sortWithinPartitions(F.col("doc").isNotNull()).select("doc", *extra)
+
+
+def parted(b: pa.RecordBatch) -> tuple[pa.RecordBatch, list[tuple]]:
+    """The documents of a batch of ``met`` with their own columns, and its packed rows."""
+    is_doc = b.column(0).is_valid()
+    docs = b.filter(is_doc)
+    packed = b.filter(pc.invert(is_doc))
+    return pa.RecordBatch.from_struct_array(docs.column(0)), list(zip(*(c.to_pylist() for c in packed.columns[1:]), strict=True))
 
 
 class Pieces:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, mix64, ready, shuffle_parts, stored, tidy
+from .common import batch, byte_texts, mix64, ready, shuffle_parts, stored, tidy, unequal
 from .windows import BASE, _power
 
 CAPACITY = 4096
@@ -118,6 +118,11 @@ class WordTokenizer:
         hashes = mix64(hashes * np.uint64(2) + lengths.astype(np.uint64))
         _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        # a hash groups words, their bytes decide: those that differ from the first of their hash are words of their own
+        more: dict[bytes, int] = {}
+        for k in unequal(raw[solid], first, lengths, where[which]).tolist():
+            which[k] = more.setdefault(joined[starts[k] : ends[k]], len(words) + len(more))
+        words += more
         coded = self.ids_of(words)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         table = np.frombuffer(b"".join(coded), "<u4")

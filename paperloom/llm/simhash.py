@@ -1,50 +1,83 @@
 """SimHash near-duplicates through vantage-point trees (operator 10).
 
-Fingerprints are taken once per document and grouped, so a group of copies is one point. Points
-that differ in at most ``radius`` bits agree, by the pigeonhole principle, on at least one of
-``radius + 1`` blocks of bits; Hamming distance within a block is a metric too, and two points at
-distance 0 in a block have the same distance to every vantage point of that block. Each block is
-therefore a top-level vantage-point partition whose shards (the points of one block value, that is,
-of one distance vector to the block's unit vantage points) need no overlap for radius 0. Inside a shard a
-vantage-point tree over whole fingerprints finds the links: a ball around a vantage point splits the
-points, the triangle bound leaves only shells of ``radius`` on both sides of the border to be compared
-across, and these are split again. A shard sends on a spanning forest of its links, at most one row per
-point, never its pairs. Forests of all shards join in ``components``.
+Fingerprints are taken once per document and grouped, so that a group of copies is one point. ``Tree`` parts the space
+of fingerprints by their Hamming distance to vantage points: at every inner node a ball around one point, half of them inside.
+A bounded sample chooses vantage points and borders, which decides the sizes of shards and nothing else. A point's home
+is one shard. By the triangle inequality two points within ``radius`` have distances to a vantage point that differ by
+``radius`` at most, so a point inside a ball that is within ``radius`` of its border also visits the shards
+outside, and a visitor goes on to every side that its bound allows: each near pair meets in exactly one shard. A shard that holds more than
+``BLOCK`` rows is dealt out as pairs of hashed blocks. Inside a shard vantage-point trees with the same bounds find the links between
+its own points and to its visitors. A shard sends on a spanning forest of its links, at most one row per point, never its
+pairs. Forests of all shards join in ``components``.
+
+``deduplicate`` with ``share`` links documents by their estimated Jaccard similarity instead (0.8 in the pipeline). Its radius, 38 of
+256 bits, is wider than the distance between random points differs, so that no ball prunes anything; there shards are the
+documents that have one of their ``LEAST`` least shingles in common, in an order that puts the common ones last. Two sets with a share of
+0.8 miss each other there with a chance below 0.01. Trees, forests and components are the same.
 
 Null texts are empty; a document without words has fingerprint 0 and is linked like any other. Documents of
-fewer than ``width`` words are one shingle. Repeated rows fall on one point. An empty table gives an
-empty result. Other columns are ignored, whatever their names.
+fewer than ``width`` words are one shingle. Repeated rows fall on one point. Rows without an id are linked too, but name a component only
+where no row has an id: its component_id is null then. Rows that share an id, but not the text, are rows of their own. ``deduplicate`` leaves one
+row of each component, the one with the least id (rows without an id last; of equal ones any), with all columns, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch, byte_texts, lower_ascii, ready, shuffle_parts, stored, tidy, words_of
+from .common import batch, byte_texts, fresh_name, lower_ascii, mix64, quoted, ready, shuffle_parts, stored, tidy, words_of
 from .components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
-LEAF = 192
+#: Points compared outright; home points of a shard; sampled points per shard; most shards; rows of a shard that one task takes.
+LEAF, SHARD, PER_SHARD, MOST_SHARDS, BLOCK = 256, 1 << 15, 32, 1 << 14, 1 << 21
+#: Linking by similarity: words of a fingerprint, least shingles, documents sampled for common shingles and how many of these are kept.
+WIDE, LEAST, SAMPLE, COMMON = 4, 4, 5000, 100_000
 
 
-def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+# ---- fingerprints -------------------------------------------------------------------------
+
+
+def shingle_hashes(text: bytes, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; none for a text without words."""
     words = words_of(lower_ascii(text))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-width] + 1]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    set_bits = bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The 64 bits that more than half of the hashes set, big-endian."""
+    if not len(hashes):
+        return bytes(8)
+    set_bits = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        part = hashes[k : k + (1 << 16)].astype(">u8")
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * set_bits > len(hashes)).tobytes()
+
+
+def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+    return int.from_bytes(majority(shingle_hashes(text, width, seed)), "big")
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> bytes:
+    """``words`` times 64 bits from independent mixtures of the hashes."""
+    return b"".join(majority(mix64(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))) for k in range(words)) if len(hashes) else bytes(8 * words)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -59,6 +92,14 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
     return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
+def similarity_radius(share: float, bits: int = 64 * WIDE) -> int:
+    """The distance of two fingerprints whose sets, equally large, have Jaccard similarity ``share``."""
+    return math.floor(bits * math.acos(2 * share / (1 + share)) / math.pi)
+
+
+# ---- links within a shard -----------------------------------------------------------------
+
+
 class Forest:
     """Union-find over points 0..n-1 that takes whole matrices of links."""
 
@@ -76,9 +117,9 @@ class Forest:
 
     def link(self, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
         """Join a[i] and b[j] wherever near[i, j]."""
-        rows, cols = near.any(1), near.any(0)
-        if not rows.any():
+        if not near.any():
             return
+        rows, cols = near.any(1), near.any(0)
         a, b, near = a[rows], b[cols], near[np.ix_(rows, cols)]
         old_a, old_b = self.roots(a), self.roots(b)
         new_a, new_b = old_a.copy(), old_b.copy()
@@ -105,11 +146,21 @@ class Forest:
             self.parent[max(x, y)] = min(x, y)
 
 
+def distances(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
+    """Hamming distances of points (rows of 64-bit words) to one point."""
+    return np.bitwise_count(points ^ vantage).sum(1, dtype=np.int16)
+
+
 def _compare(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
+    if len(np.unique(np.concatenate([forest.roots(a), forest.roots(b)]))) == 1:
+        return  # linked already
     for k in range(0, len(a), 512):
         for m in range(0, len(b), 512):
             i, j = a[k : k + 512], b[m : m + 512]
-            forest.link(i, j, np.bitwise_count(points[i][:, None] ^ points[j][None, :]) <= radius)
+            far = np.bitwise_count(points[i, 0][:, None] ^ points[j, 0][None, :]).astype(np.uint16 if points.shape[1] > 3 else np.uint8)
+            for w in range(1, points.shape[1]):
+                far += np.bitwise_count(points[i, w][:, None] ^ points[j, w][None, :])
+            forest.link(i, j, far <= radius)
 
 
 def _across(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
@@ -123,7 +174,7 @@ def _across(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, fores
             _compare(points, a, b, radius, forest)
             continue
         vantage = points[(a if len(a) >= len(b) else b)[0]]
-        da, db = np.bitwise_count(points[a] ^ vantage).astype(np.int16), np.bitwise_count(points[b] ^ vantage).astype(np.int16)
+        da, db = distances(points[a], vantage), distances(points[b], vantage)
         border = int(np.median(np.concatenate([da, db])))
         parts = [
             (a[da <= border], b[db <= border + radius]),
@@ -136,18 +187,16 @@ def _across(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, fores
             todo += parts
 
 
-def tree_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For every point (distinct uint64) the first point of its component under links of at most
-    ``radius`` bits, found with a vantage-point tree."""
-    forest = Forest(len(points))
-    todo = [np.arange(len(points))]
+def _within(points: np.ndarray, at: np.ndarray, radius: int, forest: Forest) -> None:
+    """Links among the points ``at``."""
+    todo = [at]
     while todo:
         at = todo.pop()
         if len(at) <= LEAF:
             if len(at) > 1:
                 _compare(points, at, at, radius, forest)
             continue
-        distance = np.bitwise_count(points[at] ^ points[at[0]]).astype(np.int16)
+        distance = distances(points[at], points[at[0]])
         border = int(np.median(distance))
         inside = distance <= border
         if inside.all():
@@ -158,57 +207,176 @@ def tree_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         edge = border if (distance[inside] == border).any() else border - 1
         todo += [at[inside], at[~inside]]
         _across(points, at[inside & (distance > edge - radius)], at[~inside & (distance <= edge + radius)], radius, forest)
-    return forest.roots(np.arange(len(points)))
 
 
-def block_bounds(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 blocks that cover 64 bits."""
-    n = radius + 1
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def tree_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For every point (distinct uint64, or rows of them) the first point of its component under links of at most
+    ``radius`` bits, found with a vantage-point tree."""
+    points = points.reshape(len(points), -1)
+    forest = Forest(len(points))
+    _within(points, np.arange(len(points)), radius, forest)
+    return forest.roots(np.arange(len(points)))
 
 
-def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v) links that span the components of ``points`` (fp long, rep long; fp distinct)."""
-    spark = points.sparkSession
-    keys = F.array(
-        *[
-            F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned(fp, {shift}) & {(1 << bits) - 1}L").alias("value"))
-            for k, (shift, bits) in enumerate(block_bounds(radius))
-        ]
-    )
+# ---- the top level ------------------------------------------------------------------------
+
+
+class Tree:
+    """A vantage-point tree over 64-bit fingerprints whose leaves are shards."""
+
+    def __init__(self, sample: np.ndarray, shards: int, radius: int):
+        self.radius = radius
+        #: (vantage point, border, child inside, child outside); a negative child is a shard
+        self.nodes: list[tuple[int, int, int, int]] = []
+        self.shards = 0
+        self.root = self._grow(np.sort(sample), max(1, shards))
+
+    def _grow(self, sample: np.ndarray, shards: int) -> int:
+        best = None
+        if shards > 1 and len(sample) >= 8:
+            for vantage in sample[:: max(1, len(sample) // 6)][:6]:
+                d = np.bitwise_count(sample ^ vantage).astype(np.int16)
+                border = int(np.median(d))
+                inside = int((d <= border).sum())
+                shell = int((np.abs(d - border) <= self.radius).sum())
+                if 0 < inside < len(sample) and (best is None or shell < best[0]):
+                    best = (shell, int(vantage), border, d)
+        if best is None:
+            self.shards += 1
+            return -self.shards
+        _, vantage, border, d = best
+        at = len(self.nodes)
+        self.nodes.append((0, 0, 0, 0))
+        inside = self._grow(sample[d <= border], shards - shards // 2)
+        self.nodes[at] = (vantage, border, inside, self._grow(sample[d > border], shards // 2))
+        return at
+
+    def route(self, points: np.ndarray):
+        """(shard, places of its own points, places of its visitors) for every shard that has any."""
+        none = np.zeros(0, np.int64)
+        todo = [(self.root, np.arange(len(points)), none)]
+        while todo:
+            node, own, visiting = todo.pop()
+            if not len(own) and not len(visiting):
+                continue
+            if node < 0:
+                yield -node - 1, own, visiting
+                continue
+            vantage, border, inside, outside = self.nodes[node]
+            d_own = np.bitwise_count(points[own] ^ np.uint64(vantage)).astype(np.int16)
+            d_visiting = np.bitwise_count(points[visiting] ^ np.uint64(vantage)).astype(np.int16)
+            crossing = own[(d_own <= border) & (d_own > border - self.radius)]
+            todo.append((inside, own[d_own <= border], visiting[d_visiting <= border + self.radius]))
+            todo.append((outside, own[d_own > border], np.concatenate([visiting[d_visiting > border - self.radius], crossing])))
+
+
+def tree(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Tree:
+    """A tree for (fp long) points: shards of about ``shard`` points, or smaller ones while there are fewer shards than tasks.
+    The sample that reaches the driver has at most one point in eight and some ``PER_SHARD`` times ``MOST_SHARDS`` points."""
+    n = points.count()
+    shards = min(max(-(-n // shard), min(4 * shuffle_parts(points.sparkSession), n // 128)), MOST_SHARDS)
+    if shards < 2:
+        return Tree(np.zeros(0, np.uint64), 1, radius)
+    every = max(8, n // (PER_SHARD * shards))
+    rows = points.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").collect()
+    return Tree(np.array([r[0] for r in rows], np.int64).view(np.uint64), shards, radius)
+
+
+_MET = pa.schema([("key", pa.int64()), ("own", pa.bool_()), ("node", pa.int64()), ("fp", pa.binary())])
+_MET_DDL = "key long, own boolean, node long, fp binary"
+
+
+def _packed(points: np.ndarray) -> pa.Array:
+    """Rows of 64-bit words as a binary column."""
+    width = 8 * points.shape[1]
+    offsets = pa.array(np.arange(0, width * len(points) + 1, width), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(points), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(points).tobytes())])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.uint64).reshape(len(column), -1)
+
+
+def shard_rows(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(key, own, node, fp): every point (fp long, distinct) in its home shard and in those that it visits."""
+    top = tree(points, radius, shard)
+
+    def run(batches):
+        for b in batches:
+            fps = np.asarray(b.column(0)).view(np.uint64)
+            for shard_, own, visiting in top.route(fps):
+                at = np.concatenate([own, visiting])
+                home = np.arange(len(at)) < len(own)
+                yield batch(_MET, np.full(len(at), shard_), home, fps[at].view(np.int64), _packed(fps[at][:, None]))
+
+    return ready(points).select("fp").mapInArrow(tidy(run), _MET_DDL)
+
+
+def meet(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """(u, v) links between nodes that span the near pairs among each key's own rows and between these and the key's other rows.
+    ``rows`` (key, own, node, fp) is read twice and should be a stored table."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    split = sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("s"))
+    place = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
+    # a large key is dealt out as pairs of blocks; other keys are block 0 with itself
+    mine = rows.join(split, "key", "left").withColumns({"s": F.coalesce("s", F.lit(1)), "mine": F.coalesce(place, F.lit(0))})
+    dealt = mine.select("key", "own", "node", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
+    dealt = dealt.select("key", "own", "node", "fp", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        parts = [(np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), np.asarray(b.column(3))) for b in batches if b.num_rows]
+        parts = []
+        for b in batches:
+            if b.num_rows:
+                parts.append((*(np.asarray(b.column(k)) for k in (0, 4, 5, 6, 2)), b.column(1).to_numpy(zero_copy_only=False), _unpacked(b.column(3))))
         if not parts:
             return
-        block, value, fp, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, value, block))
-        block, value, fp, rep = block[order], value[order], fp[order], rep[order]
-        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1
-        u, v = [], []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
-            if b - a > 1:
-                root = tree_links(fp[a:b], radius)
-                moved = np.flatnonzero(root != np.arange(b - a))
-                u.append(rep[a:b][moved])
-                v.append(rep[a:b][root[moved]])
-        if u:
-            yield batch(schema, np.concatenate(u), np.concatenate(v))
-
-    exploded = ready(points).select("fp", "rep", F.explode(keys).alias("key")).select("key.block", "key.value", "fp", "rep")
-    return exploded.repartition(2 * shuffle_parts(spark), "block", "value").mapInArrow(tidy(run), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+        key, mine, a, b, node, own, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((node, b, a, key))
+        key, mine, a, b, node, own, fp = (x[order] for x in (key, mine, a, b, node, own, fp))
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            if j - i < 2:
+                continue
+            points, home, first = fp[i:j], own[i:j], mine[i:j] == a[i]
+            forest = Forest(j - i)
+            if a[i] == b[i]:
+                _within(points, np.flatnonzero(home), radius, forest)
+                _across(points, np.flatnonzero(home), np.flatnonzero(~home), radius, forest)
+            else:
+                _across(points, np.flatnonzero(home & first), np.flatnonzero(~first), radius, forest)
+                _across(points, np.flatnonzero(~home & first), np.flatnonzero(home & ~first), radius, forest)
+            root = forest.roots(np.arange(j - i))
+            moved = np.flatnonzero(root != np.arange(j - i))
+            yield batch(schema, node[i:j][moved], node[i:j][root[moved]])
+
+    parts = 2 * shuffle_parts(rows.sparkSession)
+    return dealt.repartition(parts, "key", "a", "b").mapInArrow(tidy(run), "u long, v long")
+
+
+def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """(u, v) links between fingerprints that span the components of ``points`` (fp long, distinct)."""
+    return meet(stored(shard_rows(points, radius, shard), "shards"), radius, block)
+
+
+# ---- groups of documents ------------------------------------------------------------------
+
+
+def _named(points: DataFrame, found: DataFrame, node: str, value: str) -> DataFrame:
+    """``points`` with ``value`` the least of its component by ``found`` (links between nodes)."""
+    labels = points.join(components(found), F.col(node) == F.col("id"), "left").select(*points.columns, F.coalesce("component_id", node).alias("_label"))
+    least = labels.groupBy("_label").agg(F.min(value).alias("_least"))
+    return labels.join(least, "_label").drop("_label")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = stored(fingerprints(docs), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(points, radius))
+    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
     # stored, so that the last join stands alone and adaptive execution can split a common fingerprint
-    named = stored(points.join(found, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    named = stored(_named(points, links(points, radius, shard, block), "fp", "rep").select("fp", F.col("_least").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -217,7 +385,64 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component."""
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least three documents of a sample have, sorted, and in how many: ``COMMON`` rows at most."""
+    every = max(1, docs.count() // SAMPLE)
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for t in byte_texts(b.column(0)):
+                yield batch(schema, np.unique(shingle_hashes(t, width)).view(np.int64))
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    counts = sample.mapInArrow(tidy(run), "h long").groupBy("h").count().where("count >= 3")
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def least_shingles(hashes: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first ``LEAST`` distinct shingles, those of a sample last, by how common they are; [0] for a text without words."""
+    s = np.unique(hashes)
+    if not len(s):
+        return np.zeros(1, np.uint64)
+    if len(known):
+        k = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        s = s[np.lexsort((s, np.where(known[k] == s, often[k], 0)))]
+    return s[:LEAST]
+
+
+def _tagged(docs: DataFrame, width: int, wide: bool, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with a node (the fingerprint as a long, of wide ones its hash), the fingerprint and, of wide ones, least shingles."""
+    at = docs.columns.index("text")
+    known, often = _common(ready(docs), width) if wide else (np.zeros(0, np.uint64),) * 2
+
+    def run(batches):
+        for b in batches:
+            hashes = [shingle_hashes(t, width) for t in byte_texts(b.column(at))]
+            prints = [wide_fingerprint(h) if wide else majority(h) for h in hashes]
+            nodes = [xxhash.xxh64_intdigest(x, SEED) if wide else int.from_bytes(x, "big") for x in prints]
+            firsts = [least_shingles(h, known, often).view(np.int64) if wide else [] for h in hashes]
+            more = pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
+
+    added = zip(names, (T.LongType(), T.BinaryType(), T.ArrayType(T.LongType())), strict=True)
+    return ready(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, share: float | None = None, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs`` for every component, with all its columns: components of fingerprints within ``radius`` or, if ``share`` is
+    given, of documents whose shingle sets have about that Jaccard similarity or more."""
+    node, fp, least, row = (fresh_name(docs, n) for n in ("node", "fp", "least", "row"))
+    tagged = stored(_tagged(docs, width, share is not None, (node, fp, least)).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row")).alias("rank")
+    points = stored(tagged.groupBy(F.col(node).alias("node")).agg(F.min(rank).alias("rank"), F.min(fp).alias("fp"), F.min(least).alias("least")), "points")
+    if share is None:
+        found = links(points.select(F.col("node").alias("fp")), radius, block=block)
+    else:
+        met = points.select(F.explode("least").alias("key"), F.lit(True).alias("own"), "node", "fp")
+        found = meet(stored(met, "shards"), similarity_radius(share, 64 * WIDE), block)
+    kept = _named(points, found, "node", "rank").where(F.col("rank") == F.col("_least")).select(F.col("rank.row").alias("_kept"))
+    return tagged.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*(F.col(quoted(c)) for c in docs.columns))

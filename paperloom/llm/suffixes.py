@@ -30,12 +30,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pieces, batch, by_bucket, byte_texts, discard, met, mix64, planes, ready, release, shuffle_parts, stored, tidy, unplanes, with_bucket
+from .common import Pieces, batch, by_bucket, byte_texts, discard, met, mix64, parted, planes, ready, release, shuffle_parts, stored, tidy, unplanes, with_bucket
 from .windows import BASE, INVERSE, _power, compressed, expand
 
 LENGTH, ANCHOR = 100, 48
@@ -247,10 +246,10 @@ def _suffix_runs(candidates: DataFrame, parts: int) -> DataFrame:
         press, pieces = zstandard.ZstdDecompressor(), Pieces()
         keys, doc, packed, size = [], [], [], 0
         for b in batches:
-            for i, frame, ids, spans_, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not is_doc:
-                    pieces.add(unplanes(ids, np.int64), unplanes(spans_, np.int64))
-                    continue
+            docs, found = parted(b)
+            for ids, spans_ in found:
+                pieces.add(unplanes(ids, np.int64), unplanes(spans_, np.int64))
+            for i, frame in zip(*(c.to_pylist() for c in docs.columns), strict=True):
                 if (mine := pieces.of(i)) is None:
                     continue
                 text = expand(frame, press)
@@ -471,13 +470,14 @@ def digests(docs: DataFrame) -> DataFrame:
         press, pieces = zstandard.ZstdDecompressor(), Pieces()
         for b in batches:
             rows = []
-            for i, frame, ids, starts, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not is_doc:
-                    pieces.add(unplanes(ids, np.int64), *unplanes(starts, np.int64).reshape(2, -1))
-                    continue
+            docs_, found = parted(b)
+            for ids, starts in found:
+                pieces.add(unplanes(ids, np.int64), *unplanes(starts, np.int64).reshape(2, -1))
+            for i, frame in zip(*(c.to_pylist() for c in docs_.columns), strict=True):
                 text, removed = expand(frame, press), spans(pieces.of(i))
                 rows.append((i, len(text), int((removed[:, 1] - removed[:, 0]).sum()), len(removed), hashlib.sha256(cut(text, removed)).hexdigest()))
-            yield batch(schema, *zip(*rows, strict=True))
+            if rows:
+                yield batch(schema, *zip(*rows, strict=True))
 
     parts = shuffle_parts(docs.sparkSession)
     joined = met(with_bucket(compressed(docs), parts), lost_starts(docs, parts), parts)
@@ -494,11 +494,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def run(batches):
         pieces = Pieces()
         for b in batches:
-            is_doc = b.column(len(names) + 2)
-            packed = b.filter(pc.invert(is_doc))
-            for ids, starts in zip(packed.column(len(names)).to_pylist(), packed.column(len(names) + 1).to_pylist(), strict=True):
+            b, found = parted(b)
+            for ids, starts in found:
                 pieces.add(unplanes(ids, np.int64), *unplanes(starts, np.int64).reshape(2, -1))
-            b = b.filter(is_doc)
             if not b.num_rows:
                 continue
             column = b.column(at)

@@ -2,15 +2,16 @@
 
 Every window of ``WINDOW`` consecutive words of a document has a Rabin-Karp hash: words hash to 64 bits,
 and a window is their polynomial modulo 2^64 with an odd base, taken from one prefix sum by the base's
-inverse. A task sorts its window hashes in blocks. Windows that also start in a document of smaller id within the block are
+inverse. As such a polynomial can be made to collide, 32 bits of a second hash travel with it: other 64 bits of
+the words, joined by halves through a mixing function. Spark exchanges and ranges the entries; counting within a range is numpy. A task sorts its window hashes in blocks. Windows that also start in a document of smaller id within the block are
 settled there and leave as word intervals, so a passage that very many documents share costs one row per
 block; of every other hash the block sends one entry, the hash with its smallest document. Entries travel
 as byte planes of sorted runs. The reducer of a range of hashes counts them and returns, for every document
 but the smallest, the hashes that repeat. Documents meet their lists once, recompute their
 hashes, and merge all repeated windows into maximal removal intervals.
 
-Two windows are taken as equal when their 64-bit hashes are equal; the chance that any two of n different
-windows agree is about n^2 / 2^65 (0.0003 for 100 million windows).
+Two windows are taken as equal when both hashes are equal, 96 bits; the chance that any two of n different
+windows agree is about n^2 / 2^97 (below 0.002 for the 10^13 windows of 100 TB).
 
 Null and empty texts have no words. Documents shorter than the window lose nothing. Repeated rows of one
 doc_id never remove each other's words, as only smaller ids count. An empty table gives an
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pieces, batch, by_bucket, byte_texts, met, mix64, planes, ready, shuffle_parts, tidy, unplanes, with_bucket, words_of
+from .common import Pieces, batch, by_bucket, byte_texts, met, mix64, parted, planes, ready, shuffle_parts, tidy, unplanes, with_bucket, words_of
 
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -51,26 +52,59 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept in a bounded cache."""
+    """128-bit hashes of words, kept in a bounded cache."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_MAX:
             self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = self[word] = xxhash.xxh3_128_digest(word)
         return got
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        """Two 64-bit hashes of each word."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u8").reshape(-1, 2)
 
 
-def window_hashes(word_hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Hash of every window, empty for fewer words than one window has."""
+def window_hashes(word_hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp hash and second hash of every window, empty for fewer words than one window has."""
     n = len(word_hashes)
     if n < window:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(word_hashes * _power(INVERSE, n), out=prefix[1:])
-    return mix64((prefix[window:] - prefix[:-window]) * _power(BASE, n - window + 1))
+    np.cumsum(word_hashes[:, 0] * _power(INVERSE, n), out=prefix[1:])
+    return mix64((prefix[window:] - prefix[:-window]) * _power(BASE, n - window + 1)), second_hashes(word_hashes[:, 1], window)
+
+
+def second_hashes(word_hashes: np.ndarray, window: int) -> np.ndarray:
+    """32 bits of every window: runs of 1, 2, 4 ... words, each mixed from two of half its length, and those that make up a window."""
+    n, size, at, run, out = len(word_hashes) - window + 1, 1, 0, np.ascontiguousarray(word_hashes), None
+    while size <= window:
+        if window & size:
+            part = run[at : at + n]
+            out = part if out is None else mix64(out * np.uint64(BASE) ^ part)
+            at += size
+        if 2 * size <= window:
+            run = mix64(run[:-size] * np.uint64(BASE) ^ run[size:])
+        size *= 2
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def by_hash(hashes: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order by both hashes, which places in it begin a new pair)."""
+    order = np.argsort(hashes, kind="stable")
+
+    def begins():
+        h, s = hashes[order], seconds[order]
+        same, new = np.zeros(len(h), bool), np.ones(len(h), bool)
+        same[1:] = h[1:] == h[:-1]
+        new[1:] = ~same[1:] | (s[1:] != s[:-1])
+        return same, new
+
+    same, new = begins()
+    if (same & new).any():  # equal hashes, other seconds: these have to be in order too
+        order = np.lexsort((seconds, hashes))
+        _, new = begins()
+    return order, new
 
 
 def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +119,18 @@ def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> DataFrame:
     """(part, settled, a, b): a run of a block's entries for one range of hashes (a: hashes, b: documents), or, if
-    settled, what a block settles for a bucket of documents (a: documents, b: first and last covered word)."""
-    schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
+    settled, what a block settles for a bucket of documents (a: documents, b: first and last covered word). c: second hashes."""
+    schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
-    def block(ids: list[int], hashes: list[np.ndarray]):
+    def block(ids: list[int], hashes: list[tuple[np.ndarray, np.ndarray]]):
         order = sorted(range(len(ids)), key=ids.__getitem__)
         ids_sorted = np.array([ids[k] for k in order], np.int64)
-        sizes = np.array([len(hashes[k]) for k in order])
-        flat = np.concatenate([hashes[k] for k in order])
+        sizes = np.array([len(hashes[k][0]) for k in order])
+        flat, second = (np.concatenate([hashes[k][x] for k in order]) for x in (0, 1))
         begin = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(len(order)), sizes)
-        at = np.argsort(flat, kind="stable")
-        flat_s, doc_s = flat[at], ids_sorted[row[at]]
-        new = np.ones(len(flat), bool)
-        new[1:] = flat_s[1:] != flat_s[:-1]
+        at, new = by_hash(flat, second)
+        flat_s, second_s, doc_s = flat[at], second[at], ids_sorted[row[at]]
         least = doc_s[np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]
         lost = np.sort(at[doc_s > least])
         rows = []
@@ -108,11 +140,11 @@ def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> D
             first, last = lost[np.concatenate([[True], gap])], lost[np.concatenate([gap, [True]])]
             doc = ids_sorted[row[first]]
             spans = by_bucket(doc, doc_buckets, first - begin[row[first]], last - begin[row[first]] + window)
-            rows += [(k, True, planes(i), planes(np.concatenate([a, b]))) for k, i, a, b in spans]
-        h, d = flat_s[new], doc_s[new]
+            rows += [(k, True, planes(i), planes(np.concatenate([a, b])), None) for k, i, a, b in spans]
+        h, d, s = flat_s[new], doc_s[new], second_s[new]
         bounds = np.searchsorted(h, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)))
         edges = [0, *bounds.tolist(), len(h)]
-        rows += [(p, False, planes(h[a:b]), planes(d[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        rows += [(p, False, planes(h[a:b]), planes(d[a:b]), planes(s[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return batch(schema, *zip(*rows, strict=True))
 
     def run(batches):
@@ -121,53 +153,52 @@ def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> D
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
                 got = window_hashes(known.of(words_of(text)), window)
-                if len(got) and i is not None:
+                if len(got[0]) and i is not None:
                     ids.append(i)
                     hashes.append(got)
-                    size += len(got)
+                    size += len(got[0])
                 if size >= BLOCK_WINDOWS:
                     yield block(ids, hashes)
                     ids, hashes, size = [], [], 0
         if ids:
             yield block(ids, hashes)
 
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "part int, settled boolean, a binary, b binary")
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "part int, settled boolean, a binary, b binary, c binary")
 
 
 def _repeated(candidates: DataFrame, parts: int, doc_buckets: int) -> DataFrame:
-    """(_bucket, _ids, _spans, _hashes): what documents lose, packed by bucket of documents."""
-    schema = pa.schema([("_bucket", pa.int32()), ("_ids", pa.binary()), ("_spans", pa.binary()), ("_hashes", pa.binary())])
+    """(_bucket, _ids, _spans, _hashes, _seconds): what documents lose, packed by bucket of documents."""
+    schema = pa.schema([("_bucket", pa.int32()), ("_ids", pa.binary()), ("_spans", pa.binary()), ("_hashes", pa.binary()), ("_seconds", pa.binary())])
 
     def run(batches):
         runs: dict[int, list] = {}
         for b in batches:
             settled = []
-            for part, done, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, done, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if done:
-                    settled.append((part, x, y, None))
+                    settled.append((part, x, y, None, None))
                 else:
-                    runs.setdefault(part, []).append((x, y))
+                    runs.setdefault(part, []).append((x, y, z))
             if settled:
                 yield batch(schema, *zip(*settled, strict=True))
         while runs:
             _, entries = runs.popitem()
-            h = np.concatenate([unplanes(x, np.uint64) for x, _ in entries])
-            d = np.concatenate([unplanes(x, np.int64) for _, x in entries])
+            h = np.concatenate([unplanes(e[0], np.uint64) for e in entries])
+            d = np.concatenate([unplanes(e[1], np.int64) for e in entries])
+            s = np.concatenate([unplanes(e[2], np.uint32) for e in entries])
             del entries
-            at = np.argsort(h, kind="stable")
-            h, d = h[at], d[at]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            at, new = by_hash(h, s)
+            h, d, s = h[at], d[at], s[at]
             first = np.flatnonzero(new)
             if len(first) == len(h):
                 continue
             least = np.minimum.reduceat(d, first)[np.cumsum(new) - 1]
             lost = d > least
-            rows = [(k, planes(i), None, planes(x)) for k, i, x in by_bucket(d[lost], doc_buckets, h[lost])]
+            rows = [(k, planes(i), None, planes(x), planes(y)) for k, i, x, y in by_bucket(d[lost], doc_buckets, h[lost], s[lost])]
             if rows:
                 yield batch(schema, *zip(*rows, strict=True))
 
-    return candidates.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), "_bucket int, _ids binary, _spans binary, _hashes binary")
+    return candidates.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), "_bucket int, _ids binary, _spans binary, _hashes binary, _seconds binary")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -199,7 +230,10 @@ def removed_words(text: bytes, spans: tuple | None, hashes: tuple | None, known:
     words = words_of(text)
     a, b = spans or (np.zeros(0, np.int64),) * 2
     if hashes:
-        lost = np.flatnonzero(np.isin(window_hashes(known.of(words), window), hashes[0]))
+        h, s = window_hashes(known.of(words), window)
+        lost = np.flatnonzero(np.isin(h, hashes[0]))
+        pairs = set(zip(hashes[0].tolist(), hashes[1].tolist(), strict=True))
+        lost = lost[[p in pairs for p in zip(h[lost].tolist(), s[lost].tolist(), strict=True)]] if len(lost) else lost
         x, y = covered(lost, window)
         a, b = np.concatenate([a, x]), np.concatenate([b, y])
     if not len(a):
@@ -215,13 +249,13 @@ def _cut(batches, window: int):
     press, known, spans, hashes = zstandard.ZstdDecompressor(), WordHashes(), Pieces(), Pieces()
     for b in batches:
         rows = []
-        for i, text, ids, x, h, is_doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if not is_doc:
-                if x is not None:
-                    spans.add(unplanes(ids, np.int64), *unplanes(x, np.int64).reshape(2, -1))
-                else:
-                    hashes.add(unplanes(ids, np.int64), unplanes(h, np.uint64))
-                continue
+        docs, packed = parted(b)
+        for ids, x, h, s in packed:
+            if x is not None:
+                spans.add(unplanes(ids, np.int64), *unplanes(x, np.int64).reshape(2, -1))
+            else:
+                hashes.add(unplanes(ids, np.int64), unplanes(h, np.uint64), unplanes(s, np.uint32))
+        for i, text in zip(*(c.to_pylist() for c in docs.columns), strict=True):
             words, gone = removed_words(expand(text, press), spans.of(i), hashes.of(i), known, window)
             n, kept, at = len(words), [], 0
             for start, end in gone.tolist():
