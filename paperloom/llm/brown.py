@@ -5,8 +5,10 @@ words and every token as a place in it. Words of all chunks meet in ranges of th
 their training count; from then on chunks and ranges exchange packed arrays instead of words.
 
 Exchange clustering runs on all training tokens and all words. In every round each chunk is told its words' classes and
-counts, for every word, the classes that follow and precede it; ranges sum these counts and move each word to
-the class under which they are likeliest, given the table of class transitions of that round. Words
+counts, for every word, the classes that follow and precede it; ranges sum these counts and exchange words in steps: the words of a step
+move to the classes under which their contexts are likeliest, and the range's copy of the table of class transitions
+follows before the next step. As ranges don't see each other's moves, the driver compares likelihoods: a round under which the
+mutual information of neighbouring classes falls is undone and ends the clustering, so likelihood rises from round to round. Words
 that would empty a class still move; an empty class keeps a smoothed row. Only the table of transitions, whose size is
 the square of ``CLASSES``, reaches the driver. The model is
 
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, discard, lower_ascii, mix64, planes, ready, release, shuffle_parts, stored, tidy, unequal, unplanes
+from .common import batch, byte_texts, discard, lower_ascii, mix64, planes, ready, shuffle_parts, stored, tidy, unequal, unplanes
 from .windows import BASE, _power
 
 CLASSES, ROUNDS, WEIGHT = 48, 3, 0.95
@@ -134,8 +136,9 @@ _VOCAB = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("at", pa.binar
 _VOCAB_DDL = "part int, chunk long, at binary, counts binary, classes binary"
 
 
-def vocabulary(corpus: DataFrame, parts: int, classes: int) -> DataFrame:
-    """Counts and first classes by range, and the places of every chunk's words."""
+def vocabulary(corpus: DataFrame, parts: int, classes: int, with_words: bool = False) -> DataFrame:
+    """Counts and first classes by range, and the places of every chunk's words; and the words of a range, if asked for."""
+    out = pa.schema([*_VOCAB, ("words", pa.binary())])
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
 
     def split(batches):
@@ -159,12 +162,12 @@ def vocabulary(corpus: DataFrame, parts: int, classes: int) -> DataFrame:
                 counts[where] += unplanes(c, np.int64)  # a chunk's words are distinct
             first = (mix64(np.arange(len(counts), dtype=np.uint64) + (np.uint64(part) << np.uint64(40))) % np.uint64(classes)).astype(np.uint8)
             first[counts == 0] = UNKNOWN
-            yield batch(_VOCAB, [part], [None], [None], [planes(counts)], [first.tobytes()])
+            yield batch(out, [part], [None], [None], [planes(counts)], [first.tobytes()], [b"\n".join(places) if with_words else None])
             for where, (number, _, _) in zip(at, entries, strict=True):
-                yield batch(_VOCAB, [part], [number], [planes(where)], [None], [None])
+                yield batch(out, [part], [number], [planes(where)], [None], [None], [None])
 
     rows = corpus.select("chunk", "words", "cuts", "counts").mapInArrow(tidy(split), "part int, chunk long, words binary, counts binary")
-    return rows.repartitionById(parts, F.col("part")).mapInArrow(tidy(meet), _VOCAB_DDL)
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(tidy(meet), f"{_VOCAB_DDL}, words binary")
 
 
 def _told(corpus: DataFrame, vocab: DataFrame, links: DataFrame, parts: int, with_counts: bool = False) -> DataFrame:
@@ -284,9 +287,28 @@ def context_weights(table: np.ndarray) -> np.ndarray:
     return np.concatenate([follow, start, before])
 
 
+def information(table: np.ndarray) -> float:
+    """Mutual information of neighbouring classes times the number of transitions: what the likelihood of the training tokens under
+    the unsmoothed model owes to the classes."""
+    joint, left, right = table, table.sum(1, keepdims=True), table.sum(0, keepdims=True)
+    hit = joint > 0
+    return float((joint[hit] * np.log((joint * max(table.sum(), 1.0))[hit] / (left * right)[hit])).sum())
+
+
+def moved_table(table: np.ndarray, code: np.ndarray, n: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """``table`` after words with contexts (code, n) left class ``old`` for ``new``."""
+    classes = table.shape[1]
+    out = table.copy()
+    follows = code < classes
+    row = np.where(code == classes, classes, code.astype(np.int64) - classes - 1)
+    for cls, sign in ((old, -1.0), (new, 1.0)):
+        np.add.at(out, (cls[follows], code[follows]), sign * n[follows])
+        np.add.at(out, (row[~follows], cls[~follows]), sign * n[~follows])
+    return np.maximum(out, 0)
+
+
 def _exchange(vocab: DataFrame, links: DataFrame, contexts: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
-    """``vocab`` with every word in the class under which its contexts are likeliest."""
-    weights = context_weights(table).astype(np.float32)
+    """``vocab`` with words moved to the classes under which their contexts are likeliest."""
 
     def run(batches):
         heard: dict[int, list] = {}
@@ -309,10 +331,16 @@ def _exchange(vocab: DataFrame, links: DataFrame, contexts: DataFrame, table: np
                 first = np.flatnonzero(np.diff(word, prepend=-1))
                 # frequent words come first and have many contexts: steps of about as many contexts each
                 edges = np.unique(np.append(np.searchsorted(first, np.arange(0, len(word), CONTEXT_STEP)), len(first))).tolist()
+                here = table
                 for a, z in zip(edges, edges[1:]):
                     lo, hi = first[a], first[z] if z < len(first) else len(word)
+                    weights = context_weights(here).astype(np.float32)
                     score = np.add.reduceat(weights[code[lo:hi]] * n[lo:hi, None], first[a:z] - lo, axis=0)
-                    now[word[first[a:z]]] = score.argmax(1)
+                    old, new = now[word[first[a:z]]].astype(np.int64), score.argmax(1)
+                    now[word[first[a:z]]] = new
+                    sizes = np.diff(np.append(first[a:z], hi))
+                    change = np.repeat(old != new, sizes)
+                    here = moved_table(here, code[lo:hi][change], n[lo:hi][change].astype(np.float64), np.repeat(old, sizes)[change], np.repeat(new, sizes)[change])
             yield batch(_VOCAB, [part], [None], [None], [counts], [now.tobytes()])
 
     nothing = F.lit(None).cast("binary")
@@ -364,26 +392,62 @@ def _scored(told: DataFrame, table: np.ndarray, total: int, distinct: int, weigh
     return told.select("doc_ids", "held", "sizes", "ids", "heard").mapInArrow(tidy(run), ddl)
 
 
+class Model:
+    """A clustered corpus: ``corpus``, ``vocab`` (counts and classes by range), ``links``, the ``table`` of class transitions, the
+    number of training tokens and of distinct ones, and the mutual information that each round began with."""
+
+    def __init__(self, docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, with_words: bool = False):
+        spark = docs.sparkSession
+        self.parts = parts = shuffle_parts(spark)
+        self.corpus = stored(encode(docs, parts), "corpus")
+        self.stored = stored(vocabulary(self.corpus, parts, classes, with_words), "vocabulary")
+        names = [f.name for f in _VOCAB]
+        self.links, vocab = self.stored.where("chunk is not null").select(*names), self.stored.where("chunk is null").select(*names)
+
+        def sums(batches):
+            for b in batches:
+                counts = [unplanes(x, np.int64) for x in b.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], names=["n", "v"])
+
+        self.total, self.distinct = vocab.mapInArrow(tidy(sums), "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        self.information: list[float] = []
+        before = None  # (vocab, table) of the round before
+        for k in range(rounds + 1):
+            last = k == rounds
+            contexts = _contexts(_told(self.corpus, vocab, self.links, parts), classes, not last)
+            contexts = contexts if last else stored(contexts, "contexts")
+            table = _transitions(contexts, classes)
+            if before and information(table) < self.information[-1]:
+                vocab, table = before
+                last = True
+            else:
+                self.information.append(information(table))
+            if not last:
+                before = vocab, table
+                vocab = stored(_exchange(vocab, self.links, contexts, table, parts), "classes")
+            if hasattr(contexts, "_stored_at"):
+                discard(contexts)
+            if last:
+                break
+        self.vocab, self.table = vocab, table
+
+    def words(self) -> DataFrame:
+        """(word, count, class) of every word of the corpus, the end being the empty word; class is null for words that training
+        doesn't hold. Needs ``with_words``."""
+        names = self.stored.where("words is not null").select(F.col("part").alias("p"), "words")
+        rows = self.vocab.join(names, F.col("part") == F.col("p")).select("words", "counts", "classes")
+        schema = pa.schema([("word", pa.binary()), ("count", pa.int64()), ("class", pa.int32())])
+
+        def run(batches):
+            for b in batches:
+                for words, counts, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    cls = [None if c == UNKNOWN else c for c in classes]
+                    yield batch(schema, words.split(b"\n"), unplanes(counts, np.int64), cls)
+
+        return rows.mapInArrow(tidy(run), "word binary, count long, class int")
+
+
 def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, weight: float = WEIGHT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
-    corpus = stored(encode(docs, parts), "corpus")
-    table = stored(vocabulary(corpus, parts, classes), "vocabulary")
-    release(spark)
-    links, vocab = table.where("chunk is not null"), table.where("chunk is null")
-
-    def sums(batches):
-        for b in batches:
-            counts = [unplanes(x, np.int64) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], names=["n", "v"])
-
-    total, distinct = vocab.mapInArrow(tidy(sums), "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    for _ in range(rounds):
-        contexts = stored(_contexts(_told(corpus, vocab, links, parts), classes, True), "contexts")
-        release(spark)
-        vocab = stored(_exchange(vocab, links, contexts, _transitions(contexts, classes), parts), "classes")
-        discard(contexts)
-        release(spark)
-    final = _transitions(_contexts(_told(corpus, vocab, links, parts), classes, False), classes)
-    return _scored(_told(corpus, vocab, links, parts, True), final, total, distinct, weight)
+    m = Model(docs, classes, rounds)
+    return _scored(_told(m.corpus, m.vocab, m.links, m.parts, True), m.table, m.total, m.distinct, weight)

@@ -34,23 +34,35 @@ def ready(df: DataFrame) -> DataFrame:
     return df
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a
     temporary folder in local mode and the warehouse elsewhere."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        got = tempfile.mkdtemp(prefix="paperloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", got)
+        app, local = spark.sparkContext.applicationId, spark.sparkContext.master.split("[")[0] == "local"
+        got = _OWN_DIRS.get(app) or (tempfile.mkdtemp(prefix="paperloom-") if local else spark.conf.get("spark.sql.warehouse.dir"))
+        _OWN_DIRS[app] = got
     return got.rstrip("/")
 
 
+#: Spark drops the shuffle files of a query at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that survive the
-    loss of executors. The files go when the application ends."""
+    loss of executors, and the shuffle files that led to them go. The files go when the application ends."""
     spark = ready(df).sparkSession
     path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # for this call only
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -164,14 +176,6 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of results that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 # ---- documents and what is known about them, brought together -----------------------------
 
 

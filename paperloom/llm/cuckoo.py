@@ -8,11 +8,12 @@ when a chain of evictions overflows, the table doubles and is refilled from the
 ``classes`` runs the index twice. In every map task it folds the task's own copies, so that at most
 one row per text and task is exchanged however large a group is; the rows of a digest then meet in
 one shard, whose index folds them for good. ``content`` is what verifies a hit: the SHA-256 of the
-text with its length in bytes.
+text with its length in bytes, 40 bytes instead of a text of any length (two of n different texts agree with a chance below n^2 / 2^257).
 
 Null texts equal empty ones. Of equal texts the row with the largest id stays; a null id is less than
-every other, so a row without an id stays where no row of its text has one. Rows repeated with one
-id, or all without, count each and stay together. An empty table gives an empty result. Columns other than id and text are
+every other, so a row without an id stays where no row of its text has one. In ``duplicates`` rows repeated with one
+id, or all without, count each and are kept together; ``deduplicate`` leaves one of them. Rows that share an id, but not the
+text, are judged apart. An empty table gives an empty result. Columns other than id and text are
 carried by ``deduplicate`` and ignored by ``classes``, whatever their names.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_texts, ready, shuffle_parts, tidy
+from .common import batch, byte_texts, fresh_name, quoted, ready, shuffle_parts, tidy
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -65,10 +66,6 @@ class CuckooIndex:
         if not self._place(digest):
             self._resize()
 
-    def put(self, digest: int, content: bytes) -> list | None:
-        got = self.get(digest, content)
-        return None if got is None else got[1]
-
     def delete(self, digest: int, content: bytes) -> bool:
         """Remove a live digest; False if it is not live."""
         home = self.content[digest & self.mask]
@@ -113,16 +110,19 @@ class CuckooIndex:
         for content, kept in live:
             self.content[kept[0] & self.mask][content] = kept
 
-    def fold(self, digest: int, content: bytes, keep: int | None, count: int) -> None:
-        """Count a row: a new digest goes in, a verified hit raises the class it belongs to."""
+    def fold(self, digest: int, content: bytes, keep: int | None, count: int, copies: int = 1) -> None:
+        """Count rows: a new digest goes in, a verified hit raises the class it belongs to. Its value is
+        [largest id, rows, rows with that id]."""
         kept = self.get(digest, content)
         if kept is None:
-            self.insert(digest, content, [keep, count])
-        else:
-            value = kept[1]
-            if value[0] is None or keep is not None and keep > value[0]:
-                value[0] = keep
-            value[1] += count
+            self.insert(digest, content, [keep, count, copies])
+            return
+        value = kept[1]
+        if keep == value[0]:
+            value[2] += copies
+        elif value[0] is None or keep is not None and keep > value[0]:
+            value[0], value[2] = keep, copies
+        value[1] += count
 
     def entries(self):
         for home in self.content:
@@ -132,7 +132,7 @@ class CuckooIndex:
 
 def _fold_table(schema: pa.Schema, index: CuckooIndex) -> pa.RecordBatch:
     rows = list(index.entries())
-    return batch(schema, [d - (1 << 64) if d >> 63 else d for d, _, _ in rows], [c for _, c, _ in rows], [v[0] for _, _, v in rows], [v[1] for _, _, v in rows])
+    return batch(schema, [d - (1 << 64) if d >> 63 else d for d, _, _ in rows], [c for _, c, _ in rows], *([v[k] for _, _, v in rows] for k in range(3)))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,13 +143,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             yield batch(schema, b.column(0), [hashlib.sha256(t).digest() + len(t).to_bytes(8, "big") for t in byte_texts(b.column(1))])
 
-    return ready(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(run), "id long, content binary")
+    return ready(docs).select(F.col(quoted(id_col)).cast("long"), quoted(text_col)).mapInArrow(tidy(run), "id long, content binary")
 
 
 def classes(contents: DataFrame) -> DataFrame:
-    """(content, keep_id, group_size) for every distinct content of (id, content)."""
-    schema = pa.schema([("digest", pa.int64()), ("content", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-    ddl = "digest long, content binary, keep_id long, group_size long"
+    """(content, keep_id, group_size, keep_rows) for every distinct content of (id, content); keep_rows have keep_id."""
+    schema = pa.schema([("digest", pa.int64()), ("content", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("keep_rows", pa.int64())])
+    ddl = "digest long, content binary, keep_id long, group_size long, keep_rows long"
 
     def in_task(batches):
         index = CuckooIndex()
@@ -162,8 +162,8 @@ def classes(contents: DataFrame) -> DataFrame:
     def in_shard(batches):
         index = CuckooIndex()
         for b in batches:
-            for digest, content, keep, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                index.fold(digest & (1 << 64) - 1, content, keep, count)
+            for digest, content, keep, count, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                index.fold(digest & (1 << 64) - 1, content, keep, count, copies)
         if index.size:
             yield _fold_table(schema, index)
 
@@ -186,10 +186,12 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    text = F.coalesce(text_col, F.lit("")).cast("binary")
-    content = F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")))
-    # rows without an id are told apart, and spread, by their content
-    kept = classes(digests(docs, id_col, text_col)).select(F.col("keep_id").alias("_kept"), F.when(F.col("keep_id").isNull(), F.col("content")).alias("_content"))
-    own = F.col(id_col).eqNullSafe(F.col("_kept")) & F.when(F.col(id_col).isNull(), content).eqNullSafe(F.col("_content"))
-    return docs.join(kept, own, "left_semi")
+    """The rows of ``docs`` that stay, one of every text, with all their columns."""
+    own, content, keep, rows = (fresh_name(docs, n) for n in ("own", "content", "keep", "rows"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")
+    key = F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")))
+    kept = classes(digests(docs, id_col, text_col)).select(F.col("content").alias(content), F.col("keep_id").alias(keep), F.col("keep_rows").alias(rows))
+    # copies have ids of their own, so that a common text is no common key
+    met = docs.withColumn(own, key).join(kept, (F.col(own) == F.col(content)) & F.col(quoted(id_col)).cast("long").eqNullSafe(F.col(keep)))
+    once, often = met.where(F.col(rows) == 1), met.where(F.col(rows) > 1).dropDuplicates([own])
+    return once.unionByName(often).select(*(quoted(c) for c in docs.columns))

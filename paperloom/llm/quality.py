@@ -1,8 +1,10 @@
 """Supervised subword embeddings as a quality classifier (operator 4).
 
-A document is the mean of the learned vectors of its features: every word and every character
-3-gram and 4-gram inside a word (with one blank as its border), hashed into ``BUCKETS`` rows, and for each
-run of three words one of two rows for fresh and repeated runs. A softmax over the two labels follows; numpy
+A text is read as words; a word that ends a run of three words which the text has had before is read as one mark instead,
+``DITTO``, so that repeated lines and stuttering count as repetition whatever they say. A
+document is the mean of the learned vectors of its features: every word, and every character
+3-gram and 4-gram inside a word (with one blank as its border), hashed into ``BUCKETS`` rows; characters are code points. A softmax over
+the two labels follows; numpy
 stochastic gradient descent trains vectors and output together. Labels come from a bounded sample of ``SAMPLE`` labelled rows, taken by hash order so that it
 is spread over the corpus. The model that is sent to the executors has a fixed size: with two labels the
 softmax of a mean is a logistic function of the mean of one number per bucket, so scoring gathers these
@@ -10,8 +12,9 @@ numbers instead of vectors.
 
 Null and empty texts have no feature and get the score of the bias alone. Texts are used whole. If the
 sample holds one label only (or none), every score is that label's share (0.5 without labels). Repeated rows
-are scored alike; a document labelled more than once counts once, with its largest label. Columns other
-than the id and the text never reach the score.
+are scored alike; a document labelled more than once counts once, with its largest label, and of rows that share an id the least
+text trains. Columns other than the id and the text never reach the score, and ``accepted`` returns them unchanged. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,52 +24,41 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch, byte_texts, planes, ready, tidy, unplanes
+from .common import batch, byte_texts, fresh_name, planes, quoted, ready, tidy, unplanes
 
 #: Rows of the hashed embedding table, its width, and the most labelled rows that training takes.
 BUCKETS, WIDTH, SAMPLE = 1 << 18, 16, 6000
 EPOCHS, RATE, SEED = 8, 20.0, 20
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x100000001B3)
-#: Features of a run of three words that the document has (had) before, or not.
-_REPEAT = np.array([0x1234567, 0x89ABCDE], np.uint64)
+#: The word that stands for a repeated one.
+DITTO = np.uint64(0x1234567)
 
 
 def features(text: bytes) -> np.ndarray:
-    """Bucket of every feature occurrence of a text: n-grams of 3 and 4, words, and for every run of
-    three words whether the text repeats it."""
-    if not text:
-        return np.zeros(0, np.int32)
-    raw = np.frombuffer(b" " + text + b" ", np.uint8)
-    blank = _BLANK[raw]
-    codes = np.where(blank, np.uint8(32), raw).astype(np.uint64)
+    """Bucket of every feature occurrence of a text: words, and n-grams of 3 and 4 characters."""
+    codes = np.frombuffer((" " + text.decode() + " ").encode("utf-32-le"), np.uint32)
+    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     solid = ~blank
-    out = []
-    n = len(codes)
-    if n >= 3:
-        three = (codes[:-2] * _P + codes[1:-1]) * _P + codes[2:]
-        out.append(three[solid[1:-1]] + np.uint64(3 << 40))
-        if n >= 4:
-            four = three[:-1] * _P + codes[3:]
-            out.append(four[solid[1:-2] & solid[2:-1]] + np.uint64(5 << 40))
+    codes = np.where(blank, 32, codes).astype(np.uint64)
     starts = np.flatnonzero(solid[1:] & blank[:-1]) + 1
-    if len(starts):
-        ends = np.flatnonzero(solid[:-1] & blank[1:]) + 1
-        lengths = ends - starts
-        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        powers = _powers(int(lengths.max()))
-        weighted = (codes[solid] + np.uint64(1)) * powers[at]
-        words = np.add.reduceat(weighted, np.cumsum(lengths) - lengths)
-        out.append(words)
-        if len(words) >= 3:
-            runs = (words[:-2] * _P + words[1:-1]) * _P + words[2:]
-            fresh = len(np.unique(runs))
-            out.append(np.repeat(_REPEAT, [len(runs) - fresh, fresh]))
-    if not out:
+    if not len(starts):
         return np.zeros(0, np.int32)
-    keys = np.concatenate(out)
+    lengths = np.flatnonzero(solid[:-1] & blank[1:]) + 1 - starts
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    words = np.add.reduceat((codes[solid] + np.uint64(1)) * _powers(int(lengths.max()))[at], np.cumsum(lengths) - lengths)
+    if len(words) >= 3:
+        runs = (words[:-2] * _P + words[1:-1]) * _P + words[2:]
+        fresh = np.ones(len(words), bool)
+        fresh[2:] = False
+        fresh[2 + np.unique(runs, return_index=True)[1]] = True
+        words = np.where(fresh, words, DITTO)
+        solid[solid] = np.repeat(fresh, lengths)
+        codes[~solid] = 32
+    three = (codes[:-2] * _P + codes[1:-1]) * _P + codes[2:]
+    four = three[:-1] * _P + codes[3:]
+    keys = np.concatenate([three[solid[1:-1]] + np.uint64(3 << 40), four[solid[1:-2] & solid[2:-1]] + np.uint64(5 << 40), words])
     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (keys >> np.uint64(64 - 18)).astype(np.int32)
 
@@ -141,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             yield batch(schema, *zip(*rows, strict=True))
 
     # the chosen rows are at most ``sample``: a proven bound for the broadcast
-    matched = ready(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", F.col("l_id"), "text")
+    matched = ready(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    matched = matched.groupBy("l_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "l_id", "text")
     got = matched.mapInArrow(tidy(run), "label int, id long, buckets binary, counts binary").collect()
     got.sort(key=lambda r: (r["id"], r["buckets"]))
     press = zstandard.ZstdDecompressor()
@@ -152,36 +145,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return train([(np.cumsum(numbers(r["buckets"]), dtype=np.int32), numbers(r["counts"]), r["label"]) for r in got])
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, float], extra: list[str] | None = None) -> DataFrame:
-    """(doc_id, score[, extra columns]) for every row of ``docs``."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """``docs`` with the column ``name``: the chance of label 1."""
     numbers = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
-    kept = ready(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in extra or [] if c not in ("doc_id", "text")])
+    at = docs.columns.index("text")
 
     def run(batches):
         table, bias = numbers.value
         for b in batches:
             out = np.empty(b.num_rows)
-            for k, text in enumerate(byte_texts(b.column(1))):
-                at = features(text)
-                out[k] = bias + (table[at].mean(dtype=np.float64) if len(at) else 0.0)
+            for k, text in enumerate(byte_texts(b.column(at))):
+                found = features(text)
+                out[k] = bias + (table[found].mean(dtype=np.float64) if len(found) else 0.0)
             score = pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))), pa.float64())
-            keep = b.columns if extra is not None else b.columns[:1]
-            names = b.schema.names if extra is not None else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*keep, score], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, score], names=[*b.schema.names, name])
 
-    fields = kept.schema.fields if extra is not None else kept.schema.fields[:1]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `score` double"
-    return kept.mapInArrow(tidy(run), ddl)
+    return ready(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    return scores(docs, fit(docs, labels)).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scored(rows, fit(docs, labels)).select(
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` predicted as label 1, with their columns."""
-    scored = scores(docs, fit(docs, labels), [c for c in docs.columns if c != "score"])
-    return scored.where(F.col("score") >= 0.5).select(*docs.columns)
+    name = fresh_name(docs, "score")
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).select(*(quoted(c) for c in docs.columns))

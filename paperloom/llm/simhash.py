@@ -12,8 +12,9 @@ pairs. Forests of all shards join in ``components``.
 
 ``deduplicate`` with ``share`` links documents by their estimated Jaccard similarity instead (0.8 in the pipeline). Its radius, 38 of
 256 bits, is wider than the distance between random points differs, so that no ball prunes anything; there shards are the
-documents that have one of their ``LEAST`` least shingles in common, in an order that puts the common ones last. Two sets with a share of
-0.8 miss each other there with a chance below 0.01. Trees, forests and components are the same.
+documents that have one of their ``LEAST`` least shingles in common. Shingles that a bounded sample shows in many documents are no
+shard's key, except for documents that consist of them, so that a common line brings no unrelated documents together. Trees, forests and
+components are the same. Which pairs meet and link is a matter of chance near the share asked for; the README has figures.
 
 Null texts are empty; a document without words has fingerprint 0 and is linked like any other. Documents of
 fewer than ``width`` words are one shingle. Repeated rows fall on one point. Rows without an id are linked too, but name a component only
@@ -39,8 +40,9 @@ from .components import components
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: Points compared outright; home points of a shard; sampled points per shard; most shards; rows of a shard that one task takes.
 LEAF, SHARD, PER_SHARD, MOST_SHARDS, BLOCK = 256, 1 << 15, 32, 1 << 14, 1 << 21
-#: Linking by similarity: words of a fingerprint, least shingles, documents sampled for common shingles and how many of these are kept.
-WIDE, LEAST, SAMPLE, COMMON = 4, 4, 5000, 100_000
+#: Linking by similarity: words of a fingerprint, least shingles; documents sampled for common shingles, in how many of these a shingle
+#: is common, and how many such are kept.
+WIDE, LEAST, SAMPLE, OFTEN, COMMON = 4, 4, 5000, 5, 100_000
 
 
 # ---- fingerprints -------------------------------------------------------------------------
@@ -385,8 +387,8 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least three documents of a sample have, sorted, and in how many: ``COMMON`` rows at most."""
+def _common(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that at least ``OFTEN`` documents of a sample have, sorted: ``COMMON`` at most."""
     every = max(1, docs.count() // SAMPLE)
     schema = pa.schema([("h", pa.int64())])
 
@@ -395,36 +397,34 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             for t in byte_texts(b.column(0)):
                 yield batch(schema, np.unique(shingle_hashes(t, width)).view(np.int64))
 
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
-    counts = sample.mapInArrow(tidy(run), "h long").groupBy("h").count().where("count >= 3")
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    counts = sample.mapInArrow(tidy(run), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
     rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def least_shingles(hashes: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first ``LEAST`` distinct shingles, those of a sample last, by how common they are; [0] for a text without words."""
+def least_shingles(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The ``LEAST`` least distinct shingles that are not common and, if these are fewer than three in five, the least of all
+    too; [0] for a text without words."""
     s = np.unique(hashes)
     if not len(s):
         return np.zeros(1, np.uint64)
-    if len(known):
-        k = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        s = s[np.lexsort((s, np.where(known[k] == s, often[k], 0)))]
-    return s[:LEAST]
+    rare = s[~np.isin(s, common)] if len(common) else s
+    out = rare[:LEAST]
+    return out if 5 * len(rare) >= 3 * len(s) else np.union1d(out, s[:LEAST])
 
 
 def _tagged(docs: DataFrame, width: int, wide: bool, names: tuple[str, str, str]) -> DataFrame:
     """``docs`` with a node (the fingerprint as a long, of wide ones its hash), the fingerprint and, of wide ones, least shingles."""
     at = docs.columns.index("text")
-    known, often = _common(ready(docs), width) if wide else (np.zeros(0, np.uint64),) * 2
+    common = _common(ready(docs), width) if wide else np.zeros(0, np.uint64)
 
     def run(batches):
         for b in batches:
             hashes = [shingle_hashes(t, width) for t in byte_texts(b.column(at))]
             prints = [wide_fingerprint(h) if wide else majority(h) for h in hashes]
             nodes = [xxhash.xxh64_intdigest(x, SEED) if wide else int.from_bytes(x, "big") for x in prints]
-            firsts = [least_shingles(h, known, often).view(np.int64) if wide else [] for h in hashes]
+            firsts = [least_shingles(h, common).view(np.int64) if wide else [] for h in hashes]
             more = pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
@@ -435,7 +435,7 @@ def _tagged(docs: DataFrame, width: int, wide: bool, names: tuple[str, str, str]
 def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, share: float | None = None, block: int = BLOCK) -> DataFrame:
     """One row of ``docs`` for every component, with all its columns: components of fingerprints within ``radius`` or, if ``share`` is
     given, of documents whose shingle sets have about that Jaccard similarity or more."""
-    node, fp, least, row = (fresh_name(docs, n) for n in ("node", "fp", "least", "row"))
+    node, fp, least, row, keep = (fresh_name(docs, n) for n in ("node", "fp", "least", "row", "keep"))
     tagged = stored(_tagged(docs, width, share is not None, (node, fp, least)).withColumn(row, F.monotonically_increasing_id()), "tagged")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row")).alias("rank")
     points = stored(tagged.groupBy(F.col(node).alias("node")).agg(F.min(rank).alias("rank"), F.min(fp).alias("fp"), F.min(least).alias("least")), "points")
@@ -444,5 +444,5 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, share
     else:
         met = points.select(F.explode("least").alias("key"), F.lit(True).alias("own"), "node", "fp")
         found = meet(stored(met, "shards"), similarity_radius(share, 64 * WIDE), block)
-    kept = _named(points, found, "node", "rank").where(F.col("rank") == F.col("_least")).select(F.col("rank.row").alias("_kept"))
-    return tagged.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*(F.col(quoted(c)) for c in docs.columns))
+    kept = _named(points, found, "node", "rank").where(F.col("rank") == F.col("_least")).select(F.col("rank.row").alias(keep))
+    return tagged.join(kept, F.col(row) == F.col(keep), "left_semi").select(*(F.col(quoted(c)) for c in docs.columns))

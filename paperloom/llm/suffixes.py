@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pieces, batch, by_bucket, byte_texts, discard, met, mix64, parted, planes, ready, release, shuffle_parts, stored, tidy, unplanes, with_bucket
+from .common import Pieces, batch, by_bucket, byte_texts, discard, met, mix64, parted, planes, ready, shuffle_parts, stored, tidy, unplanes, with_bucket
 from .windows import BASE, INVERSE, _power, compressed, expand
 
 LENGTH, ANCHOR = 100, 48
@@ -435,11 +435,9 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
 def lost_starts(docs: DataFrame, parts: int) -> DataFrame:
     """(_bucket, _ids, _starts): ranges of lost string starts, packed by bucket of documents."""
     repeated = stored(_repeated(_anchor_runs(docs, parts), parts), "anchors")
-    release(docs.sparkSession)
     candidates = met(with_bucket(compressed(docs), parts), repeated, parts)
     lost = stored(_merged(_suffix_runs(candidates, parts), parts), "lost")
     discard(repeated)
-    release(docs.sparkSession)
     return lost
 
 

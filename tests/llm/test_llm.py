@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from paperloom.llm import bpe, brown, components, cuckoo, jaccard, neighbours, packing, quality, simhash, suffixes, warc, windows
+from paperloom.llm import bpe, brown, components, cuckoo, neighbours, packing, quality, simhash, suffixes, warc, windows
 
 DOCS = "doc_id long, text string, lang string, fp string, component_id long, _doc boolean"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -479,22 +479,31 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def words_lowered(text):
+    return WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
 def brute_near(rows):
-    """(id, text) that stay; a null id counts as less than every other."""
-    sets = []
+    """(id, text) that stay: of a component the row with the least id, rows without one last."""
+    docs = []
     for _, t in rows:
-        ws = WORDS.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
-        sets.append({tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))})
-    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
-    least = brute_components(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if near(sets[a], sets[b])])
-    rank = lambda i: -math.inf if i is None else i
-    return sorted(((i, t) for k, (i, t) in enumerate(rows) if rank(i) == min(rank(rows[j][0]) for j in least if least[j] == least[k])), key=str)
+        ws = words_lowered(t)
+        hashes = np.array([xxhash.xxh64_intdigest(" ".join(ws[k : k + 5]).encode(), 42) for k in range(max(1, len(ws) - 4) if ws else 0)], np.uint64)
+        docs.append((int.from_bytes(simhash.wide_fingerprint(hashes), "big"), hashes))
+    df = Counter(h for hs in {t: h for (_, t), (_, h) in zip(rows, docs, strict=True)}.values() for h in set(hs.tolist()))
+    common = np.array(sorted(h for h, n in df.items() if n >= simhash.OFTEN), np.uint64)
+    least = [set(simhash.least_shingles(h, common).tolist()) for _, h in docs]
+    radius = simhash.similarity_radius(0.8)
+    near = lambda a, b: docs[a][0] == docs[b][0] or bool(least[a] & least[b]) and (docs[a][0] ^ docs[b][0]).bit_count() <= radius
+    found = brute_components(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if near(a, b)])
+    groups = {}
+    for k, root in found.items():
+        groups.setdefault(root, []).append(rows[k])
+    return sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()), key=str), found
 
 
-def test_near_stage_equals_brute_force(spark):
+def near_rows():
     """Copies with changed words around the bound, chains of them, a large cluster, common lines, null ids."""
-    import corpus_pipeline
-
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     line = [word() for _ in range(30)]
@@ -512,12 +521,283 @@ def test_near_stage_equals_brute_force(spark):
     for k in range(80):
         base[(7 * k) % 200] = word()
         texts.append(" ".join(base))
-    rows = [((i * 37) % 1009, t) for i, t in enumerate(texts)] + [(None, "alone without an id"), (None, texts[9]), (3, "alone with a repeated id")]
+    return [((i * 37) % 1009, t) for i, t in enumerate(texts)] + [(None, "alone without an id"), (None, texts[9]), (3, "alone with a repeated id")]
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 9])
+def test_near_groups_equal_brute_force(spark, block):
+    """Pairs are those that the method sees; of those that share 0.87 of their shingles at least 19 in 20 come together."""
+    rows = near_rows()
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(5)
-    got = corpus_pipeline.near_stage(spark, docs, "").collect()
-    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_near(rows)
+    expected, found = brute_near(rows)
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(docs, width=5, share=0.8, block=block).collect()), key=str)
+    # of rows with equal ids any may stay
+    assert [i for i, _ in got] == [i for i, _ in expected] and len(set(got) ^ set(expected)) <= 2
+    sets = [{tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} for ws in (words_lowered(t) for _, t in rows)]
+    alike = [found[a] == found[b] for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.87 * len(sets[a] | sets[b])]
+    assert len(alike) > 100 and np.mean(alike) > 0.95
     assert len(got) < len(rows) - 80
-    assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
+    assert simhash.deduplicate(docs.limit(0), width=5, share=0.8).count() == 0
+
+
+@pytest.mark.parametrize("shard,block", [(20, 1 << 20), (60, 16)])
+def test_vantage_shards_find_every_link(spark, monkeypatch, shard, block):
+    """Many shards, visitors across borders, and shards dealt out in blocks give the components of brute force."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    points = set()
+    for b in base:
+        for _ in range(12):
+            for k in rng.integers(0, 64, rng.integers(0, 5)):
+                b ^= np.uint64(1) << np.uint64(k)
+            points.add(int(b))
+    points = np.array(sorted(points), np.uint64)
+    table = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(3)
+    top = simhash.tree(table, 4, shard)
+    assert top.shards > 8 and len(top.nodes) == top.shards - 1
+    met = simhash.shard_rows(table, 4, shard)
+    assert met.where("own").count() == len(points) < met.count()
+    got = simhash.links(table, 4, shard, block).collect()
+    near = np.bitwise_count(points[:, None] ^ points[None]) <= 4
+    ids = points.view(np.int64).tolist()
+    expected = brute_components(ids, [(ids[a], ids[b]) for a, b in np.argwhere(near) if a < b])
+    found = brute_components(ids, [(r.u, r.v) for r in got])
+    assert found == expected
+
+
+AWKWARD = "doc_id long, text string, score long, _doc boolean, _bucket int, _ids binary, _kept long, _row string, _fp int, label array<int>"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns with names that operators might use; null ids, an id with two texts, whole rows repeated."""
+    long = " ".join(f"w{k}" for k in range(40))
+    texts = [(5, "A"), (5, "B"), (9, "B"), (7, "C"), (7, "C"), (None, "D"), (None, "D"), (None, "E"), (3, "E"), (1, None), (2, ""), (4, long), (8, long + " x"), (None, long)]
+    rows = [(i, t, 100 + k // 2 * 2, k % 3 == 0, k, bytes([k]), k, f"r{k}", k, [k, None]) for k, (i, t) in enumerate(texts)]
+    rows[4] = rows[3]
+    return spark.createDataFrame(rows, AWKWARD).repartition(3).persist()
+
+
+def as_tuples(df):
+    return sorted((tuple(bytes(x) if isinstance(x, bytearray) else tuple(x) if isinstance(x, list) else x for x in r) for r in df.collect()), key=str)
+
+
+def test_deduplicate_by_row(clashing):
+    all_rows = as_tuples(clashing)
+    kept = as_tuples(cuckoo.deduplicate(clashing))
+    assert cuckoo.deduplicate(clashing).columns == clashing.columns and set(kept) <= set(all_rows)
+    assert sorted(((r[0], r[1]) for r in kept), key=str) == sorted(
+        [(5, "A"), (9, "B"), (7, "C"), (None, "D"), (3, "E"), (2, ""), (4, kept_text(all_rows, 4)), (8, kept_text(all_rows, 8))], key=str
+    )
+    assert cuckoo.deduplicate(clashing.limit(0)).count() == 0
+    # four-word shingles: the two long texts are near, single words are not
+    for options in ({}, {"width": 5, "share": 0.8}):
+        near = as_tuples(simhash.deduplicate(clashing, **options))
+        assert set(near) <= set(all_rows) and len(near) == len(set(near))
+        got = [(r[0], r[1]) for r in near]
+        assert {(5, "A"), (7, "C"), (None, "D"), (3, "E"), (5, "B")} <= set(got) and (9, "B") not in got
+        assert got.count((7, "C")) == 1 and got.count((None, "D")) == 1 and (1, None) in got and (2, "") not in got
+    assert simhash.deduplicate(clashing.limit(0)).count() == 0
+
+
+def kept_text(rows, i):
+    return next(r[1] for r in rows if r[0] == i)
+
+
+def test_substrings_and_quality_keep_other_columns(spark, clashing):
+    cut = suffixes.deduplicate(clashing)
+    assert cut.columns == clashing.columns
+    # equal but for the text, which loses what an earlier one has
+    assert [r[2:] for r in as_tuples(cut)] == [r[2:] for r in as_tuples(clashing)] or sorted(map(str, (r[2:] for r in as_tuples(cut)))) == sorted(map(str, (r[2:] for r in as_tuples(clashing))))
+    by = {}
+    for r in as_tuples(cut):
+        by.setdefault(r[0], []).append(r[1])
+    assert by[8] == [" x"] and by[5] == ["A", "B"]
+    labels = spark.createDataFrame([(5, 1), (9, 1), (7, 1), (3, 0)], "doc_id long, quality int")
+    assert set(as_tuples(quality.accepted(clashing, labels))) <= set(as_tuples(clashing))
+    assert as_tuples(quality.accepted(clashing, labels.where("quality = 1"))) == as_tuples(clashing)
+    empty = clashing.limit(0)
+    assert quality.classify(empty, labels).count() == quality.accepted(empty, labels).count() == suffixes.deduplicate(empty).count() == 0
+
+
+def test_pipeline_on_an_empty_table(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def thue_morse(n, a, b):
+    return b"".join((b if bin(k).count("1") % 2 else a) for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_colliding_words_are_told_apart(spark, n):
+    """Words that collide under any polynomial modulo 2^64 with an odd base."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    x, y = thue_morse(n, b"a", b"b").decode(), thue_morse(n, b"b", b"a").decode()
+    tokenizer, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    strings = [x, y, f"{y} {x} {y}", f"q {x}. {y}, q"]
+    for s, ids in zip(strings, words.encode([s.encode() for s in strings]), strict=True):
+        assert ids.tolist() == tokenizer.encode(s, add_special_tokens=False).ids
+    train, held = ([i for i in range(60) if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (False, True))
+    docs = spark.createDataFrame([(train[0], x), (train[1], "q"), (held[0], f"{y} q"), (held[1], x)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in brown.score(docs, classes=4, rounds=1).collect()}
+    assert got == {train[0]: (2, 2, 4), train[1]: (2, 2, 4), held[0]: (3, 2, 4), held[1]: (2, 2, 4)}
+    distinct, _, places, sizes = brown.tokenise([x.encode(), y.encode(), f"{y} {x}".encode()])
+    assert [distinct[p] for p in places] == [x.encode(), b"", y.encode(), b"", y.encode(), x.encode(), b""] and sizes.tolist() == [2, 2, 3]
+    assert len(set(distinct)) == len(distinct) == 3
+
+
+def test_colliding_windows_are_told_apart(spark, monkeypatch):
+    """Windows whose Rabin-Karp hashes are all equal, told apart by the second hash alone."""
+    monkeypatch.setattr(windows, "mix64", windows.mix64)
+    real = windows.window_hashes
+    a, b = ["w3765734", "w8229976"]
+    thue = [bin(k).count("1") % 2 for k in range(32)]
+    first, second = " ".join([(a, b)[t] for t in thue] + ["c"] * 18), " ".join([(b, a)[t] for t in thue] + ["c"] * 18)
+    known = windows.WordHashes()
+    h = [real(known.of(t.encode().split()), 50) for t in (first, second)]
+    assert h[0][1] != h[1][1]
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("pqr") for _ in range(70))) for k in range(30)] + [(40, first), (41, second), (42, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(windows.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, windows.WINDOW)
+    # order and classes where one hash has several seconds
+    hashes, seconds = np.array([5, 5, 5, 1, 5], np.uint64), np.array([2, 1, 2, 9, 1], np.uint32)
+    order, new = windows.by_hash(hashes, seconds)
+    assert order.tolist() == [3, 1, 4, 0, 2] and new.tolist() == [True, True, False, True, False]
+
+
+def auc(scores, truth):
+    order = np.argsort(scores)
+    ranks = np.empty(len(order))
+    ranks[order] = np.arange(1, len(order) + 1)
+    yes = np.array(truth) == 1
+    return (ranks[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum())
+
+
+def test_quality_held_out_auc(spark):
+    """On the labelled documents themselves, those that training never saw."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 80 and auc([r.score for r in rows], [r.quality for r in rows]) > 0.95
+
+
+def brute_features(text):
+    """Words and character n-grams as strings, repeats read as one mark."""
+    words, seen, out = WORDS.findall(text), set(), []
+    fresh = [True] * len(words)
+    for k in range(2, len(words)):
+        fresh[k] = tuple(words[k - 2 : k + 1]) not in seen
+        seen.add(tuple(words[k - 2 : k + 1]))
+    for w, f in zip(words, fresh, strict=True):
+        if not f:
+            out.append("mark")
+            continue
+        out.append("w" + w)
+        out += [f"3{g}" for k in range(len(w)) if (g := f" {w} "[k : k + 3])]
+        out += [f"4{g}" for k in range(len(w) - 1) if (g := f" {w} "[k : k + 4])]
+    return Counter(out)
+
+
+def test_quality_forward_pass_against_brute_force():
+    """The same numbers from strings, one feature at a time, and the softmax of an averaged vector."""
+    rng = random.Random(2)
+    texts_ = ["", " ", "é", "中文 字", "a a a a a a b", "the end the end the end of it", " ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(90))]
+    for t in texts_:
+        assert sorted(Counter(quality.features(t.encode()).tolist()).values()) == sorted(brute_features(t).values())
+    samples = [(*np.unique(quality.features(t.encode()), return_counts=True), k % 2) for k, t in enumerate(texts_ * 3)]
+    table, bias = quality.train(samples)
+    again, bias_again = brute_train(samples)
+    assert np.allclose(table, again, rtol=1e-3, atol=1e-2) and abs(bias - bias_again) < 1e-3
+
+
+def brute_train(samples):
+    rng = np.random.default_rng(quality.SEED)
+    share = np.mean([y for *_, y in samples])
+    vectors = rng.uniform(-1 / quality.WIDTH, 1 / quality.WIDTH, (quality.BUCKETS, quality.WIDTH)).astype(np.float32).astype(float)
+    output, bias = np.zeros((2, quality.WIDTH)), np.array([0.0, np.log(share / (1 - share))])
+    steps, step = quality.EPOCHS * len(samples), 0
+    for _ in range(quality.EPOCHS):
+        for k in rng.permutation(len(samples)):
+            buckets, counts, label = samples[k]
+            rate = quality.RATE * (1 - step / steps)
+            step += 1
+            if not len(buckets):
+                continue
+            mean = sum(n / counts.sum() * vectors[b] for b, n in zip(buckets, counts, strict=True))
+            logits = output @ mean + bias
+            e = np.exp(logits - logits.max())
+            error = e / e.sum() - np.eye(2)[label]
+            back = output.T @ error
+            for c in range(2):
+                output[c] -= rate * 0.05 * error[c] * mean
+            bias -= rate * 0.001 * error
+            for b, n in zip(buckets, counts, strict=True):
+                vectors[b] -= rate * n / counts.sum() * back
+    return vectors @ (output[1] - output[0]), bias[1] - bias[0]
+
+
+@pytest.fixture(scope="module")
+def class_text(spark):
+    """Sentences of a class grammar, whose words share contexts."""
+    rng = random.Random(12)
+    kinds = [[f"{c}{k}" for k in range(12)] for c in "abcde"]
+    docs = [(i, " ".join(rng.choice(kinds[(k * 2 + rng.randint(0, 1)) % 5]) for k in range(rng.randint(5, 60)))) for i in range(400)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+
+
+def test_brown_rounds_raise_likelihood_and_beat_the_base(class_text):
+    docs, table = class_text
+    model = brown.Model(table, classes=6, rounds=4)
+    assert len(model.information) >= 3 and all(a <= b for a, b in zip(model.information, model.information[1:]))
+    assert model.information[-1] > 2 * model.information[0]
+    held = [r for r in brown.score(table, classes=6, rounds=4).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
+
+
+def test_brown_scores_against_brute_force(class_text):
+    docs, table = class_text
+    weight, classes = 0.9, 6
+    model = brown.Model(table, classes, 2, with_words=True)
+    words = {bytes(r.word).decode(): (r["count"], r["class"]) for r in model.words().collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    tokens = {i: [*t.split(), ""] for i, t in docs}
+    total, distinct = sum(n for n, _ in words.values()), sum(n > 0 for n, _ in words.values())
+    move, start, of_class = Counter(), Counter(), Counter()
+    for i, ws in tokens.items():
+        if not held[i]:
+            cls = [words[w][1] for w in ws]
+            start[cls[0]] += 1
+            move.update(zip(cls, cls[1:]))
+            of_class.update(cls)
+    share = {c: (of_class[c] + 1) / (total + classes) for c in range(classes)}
+    left = Counter()
+    for (a, _), n in move.items():
+        left[a] += n
+    expected = {}
+    for i, ws in tokens.items():
+        before, out = None, 0.0
+        for w in ws:
+            n, c = words[w]
+            if n == 0:
+                p, before = 1 / (total + distinct + 1), "unknown"
+            else:
+                if before is None:
+                    chance = (start[c] + classes * share[c]) / (sum(start.values()) + classes)
+                elif before == "unknown":
+                    chance = share[c]
+                else:
+                    chance = (move[before, c] + classes * share[c]) / (left[before] + classes)
+                p = weight * chance * n / of_class[c] * (1 - 1 / (total + distinct + 1)) + (1 - weight) * (n + 1) / (total + distinct + 1)
+                before = c
+            out += math.log10(p)
+        expected[i] = out
+    got = {r.doc_id: r.score for r in brown.score(table, classes, 2, weight).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-6 for i in got)
 
 
 def test_exact_dedup_rows_without_an_id(spark):
