@@ -5,7 +5,13 @@ A package is a ZIP file with stored (uncompressed) members: ``archive/data.warc`
 ``read(offset, length)``: it finds the end record, follows the ZIP64 locator where there is one, parses the
 central directory (with ZIP64 extra fields), resolves a member's data through its local header and reads
 single records by range, without extracting the members. Packages without an index are scanned record by
-record.
+record. Members ``.warc.gz`` hold one gzip member per record, which is read by its range and expanded alone. An archive member of another
+kind, or a compressed one, is an error.
+
+``read_files`` reads package files in place: Spark lists them without their content, tasks read directories and indexes by seek and cut every
+package into slices of about ``SLICE_BYTES``, and slices are dealt out and read by seek; so a package may have any size. ``write`` makes packages as rows, since a
+task can write files only where a file system is mounted, and Spark's own writer has no ZIP format; ``round_trip`` keeps these rows in the
+shared folder and reads records from them by range.
 
 Records of equal payloads (of at least ``min_bytes``) are written once: the row with the largest page_id is the
 response, the others are revisits that carry the payload's digest and HTTP length and refer to it; smaller
@@ -17,6 +23,7 @@ result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -31,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, ready, stored, tidy
+from .common import batch, ready, shuffle_parts, stored, tidy
 
-#: Payload bytes after which a package is closed.
-PACKAGE_BYTES = 4 << 20
+#: Payload bytes after which a package is closed, record bytes that one slice of a package file has.
+PACKAGE_BYTES, SLICE_BYTES = 4 << 20, 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -112,13 +119,14 @@ class PackageWriter:
 class PackageReader:
     """Random access to a package through ``read(offset, length)`` and its size in bytes."""
 
-    def __init__(self, read: Callable[[int, int], bytes], size: int):
+    def __init__(self, read: Callable[[int, int], bytes], size: int | None = None):
+        """Without a size the directory is not read; records can be read by known ranges then."""
         self.read, self.size = read, size
-        self.members = dict(self._directory())
+        self.members = dict(self._directory()) if size is not None else {}
 
     @classmethod
-    def of(cls, content: bytes) -> PackageReader:
-        return cls(lambda at, n: content[at : at + n], len(content))
+    def of(cls, content: bytes | memoryview) -> PackageReader:
+        return cls(lambda at, n: bytes(content[at : at + n]), len(content))
 
     def _end(self) -> tuple[int, int, int]:
         """(entries, directory size, directory offset), by ZIP64 where any of them overflows."""
@@ -192,28 +200,57 @@ class PackageReader:
             raise ValueError(f"{name}: wrong CRC")
         return data
 
-    def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        """Every record, read by the ranges of the indexes, else by scanning the archives."""
-        archives = [n for n in self.members if n.startswith("archive/") and n.endswith(".warc")]
-        indexes = [n for n in self.members if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx"))]
-        if indexes and len(archives) == 1:
-            at = self.data_at(archives[0])
-            for name in indexes:
-                for line in self.member(name).decode().splitlines():
-                    where = json.loads(line[line.index("{") :])
-                    yield parse_record(self.read(at + int(where["offset"]), int(where["length"])))
+    def ranges(self) -> Iterator[tuple[int, int, bool]]:
+        """(offset in the package, length, whether gzipped) of every record, by the indexes, else by scanning the archives."""
+        archives = [n for n in self.members if n.startswith("archive/") and not n.endswith("/")]
+        odd = [n for n in archives if not n.endswith((".warc", ".warc.gz"))]
+        if odd:
+            raise ValueError(f"{odd[0]} is no WARC member")
+        starts = {n: self.data_at(n) for n in archives}
+        indexes = [n for n in self.members if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))]
+        if not indexes:
+            for name, at in starts.items():
+                yield from self._scanned(at, at + self.members[name]["size"], name.endswith(".gz"))
             return
-        for name in archives:
-            at, end = self.data_at(name), self.data_at(name) + self.members[name]["size"]
-            while at < end:
+        for index in indexes:
+            data = self.member(index)
+            for line in (gzip.decompress(data) if index.endswith(".gz") else data).decode().splitlines():
+                if "{" not in line:
+                    continue  # a heading
+                where = json.loads(line[line.index("{") :])
+                name = f"archive/{where['filename']}" if "filename" in where else archives[0]
+                if "filename" not in where and len(archives) > 1:
+                    raise ValueError(f"{index} doesn't say which archive it means")
+                yield starts[name] + int(where["offset"]), int(where["length"]), name.endswith(".gz")
+
+    def _scanned(self, at: int, end: int, packed: bool) -> Iterator[tuple[int, int, bool]]:
+        while at < end:
+            if packed:
+                press, length = zlib.decompressobj(31), 0
+                while not press.eof:
+                    part = self.read(at + length, min(1 << 16, end - at - length))
+                    if not part:
+                        raise ValueError("a gzip member has no end")
+                    press.decompress(part)
+                    length += len(part) - len(press.unused_data)
+            else:
                 head, step = b"", 4096
                 while b"\r\n\r\n" not in head and len(head) < end - at:
                     head = self.read(at, min(step, end - at))
                     step *= 4
                 cut = head.index(b"\r\n\r\n") + 4
-                length = next(int(x.partition(b":")[2]) for x in head[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                yield parse_record(self.read(at, cut + length))
-                at += cut + length + 4
+                length = cut + next(int(x.partition(b":")[2]) for x in head[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:")) + 4
+            yield at, length, packed
+            at += length
+
+    def record(self, at: int, length: int, packed: bool) -> tuple[dict[str, str], bytes]:
+        raw = self.read(at, length)
+        return parse_record(gzip.decompress(raw) if packed else raw)
+
+    def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Every record, read by its range."""
+        for where in self.ranges():
+            yield self.record(*where)
 
 
 # ---- Spark --------------------------------------------------------------------------------
@@ -253,38 +290,86 @@ def write(pages: DataFrame, min_bytes: int = 0, package_bytes: int = PACKAGE_BYT
     return ready(with_roles(pages, min_bytes)).mapInArrow(tidy(run), "path string, content binary")
 
 
+_READ = pa.schema(
+    [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64())]
+    + [("payload_digest", pa.string()), ("payload", pa.binary())]
+)
+_READ_DDL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+
+
+def _rows(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for headers, block in records:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        digest = headers["warc-payload-digest"].removeprefix("sha1:")
+        length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        kind = headers["warc-type"]
+        if kind == "response" and (payload_digest(payload) != digest or len(payload) != length):
+            raise ValueError(f"{headers['warc-record-id']}: the payload doesn't match its digest")
+        rows.append((_page(headers["warc-record-id"]), headers["warc-target-uri"], kind, _page(headers.get("warc-refers-to")), length, digest, payload if kind == "response" else None))
+        size += len(block)
+        if size > 1 << 24:
+            yield batch(_READ, *zip(*rows, strict=True))
+            rows, size = [], 0
+    if rows:
+        yield batch(_READ, *zip(*rows, strict=True))
+
+
 def read(packages: DataFrame) -> DataFrame:
     """One row per record of (path, content) packages: page_id, url, record_type, refers_to,
     payload_bytes and payload_digest of the full payload, and the payload itself (null in revisits).
     A response whose payload doesn't match its digest raises an error."""
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)))
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                rows, size = [], 0
-                for headers, block in PackageReader.of(content.as_buffer().to_pybytes()).records():
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                    length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    kind = headers["warc-type"]
-                    if kind == "response" and (payload_digest(payload) != digest or len(payload) != length):
-                        raise ValueError(f"{headers['warc-record-id']}: the payload doesn't match its digest")
-                    rows.append((_page(headers["warc-record-id"]), headers["warc-target-uri"], kind, _page(headers.get("warc-refers-to")), length, digest, payload if kind == "response" else None))
-                    size += len(block)
-                    if size > 1 << 24:
-                        yield batch(schema, *zip(*rows, strict=True))
-                        rows, size = [], 0
-                if rows:
-                    yield batch(schema, *zip(*rows, strict=True))
-
-    return ready(packages).select("content").mapInArrow(tidy(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
-
-
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the packages under a path, by Spark's own binary reader."""
-    return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+                yield from _rows(PackageReader.of(memoryview(content.as_buffer())).records())
+
+    return ready(packages).select("content").mapInArrow(tidy(run), _READ_DDL)
+
+
+def opened(path: str):
+    """A package file for reading by seek, from any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=_URL_SAFE)) if ":" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
+
+
+def slices(files: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(path, offsets, lengths, packed): record ranges of package files (path, length), packed in slices; reads directories and indexes only."""
+    schema = pa.schema([("path", pa.string()), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("packed", pa.list_(pa.bool_()))])
+
+    def run(batches):
+        for b in batches:
+            for path, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with opened(path) as f:
+                    found, size = [], 0
+                    for where in PackageReader(lambda at, n, f=f: f.read_at(n, at), length).ranges():
+                        found.append(where)
+                        size += where[1]
+                        if size >= slice_bytes:
+                            yield batch(schema, [path], *([list(x)] for x in zip(*found, strict=True)))
+                            found, size = [], 0
+                    if found:
+                        yield batch(schema, [path], *([list(x)] for x in zip(*found, strict=True)))
+
+    return ready(files).select("path", "length").mapInArrow(tidy(run), "path string, offsets array<long>, lengths array<long>, packed array<boolean>")
+
+
+def read_files(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Records of the packages under a path, each read by its range."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").option("recursiveFileLookup", "true").load(path)
+    dealt = slices(found.select("path", "length"), slice_bytes).repartition(shuffle_parts(spark), "path", F.col("offsets")[0])
+
+    def run(batches):
+        for b in batches:
+            for name, *where in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with opened(name) as f:
+                    reader = PackageReader(lambda at, n, f=f: f.read_at(n, at))
+                    yield from _rows(reader.record(*w) for w in zip(*where, strict=True))
+
+    return dealt.mapInArrow(tidy(run), _READ_DDL)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on small, awkward tables."""
 
+import gzip
 import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -107,6 +109,49 @@ def test_zip64_directory_and_scan_without_index():
         warc.PackageReader.of(b"no zip")
 
 
+def gzipped_package(n):
+    warcs, index = b"", []
+    for k in range(n):
+        writer = warc.PackageWriter()
+        payload = bytes([65 + k % 26]) * (1000 + k)
+        writer.add(k, f"http://a/{k}", len(payload), warc.payload_digest(payload), payload, None)
+        raw = gzip.compress(writer.warc.getvalue())
+        index.append(f'a {k} {json.dumps({"offset": str(len(warcs)), "length": str(len(raw)), "filename": "b.warc.gz"})}')
+        warcs += raw
+    return warcs, "\n".join(["CDX heading", *index])
+
+
+def test_files_are_read_by_range(spark, tmp_path):
+    """Packages as files: every record comes back, in slices, and a slice reads its own bytes only."""
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k} " * (500 + k)) for k in range(60)], "page_id long, url string, html string").repartition(2)
+    for k, r in enumerate(warc.write(pages.coalesce(1), package_bytes=150_000).collect()):
+        (tmp_path / f"p {k}.wacz").write_bytes(bytes(r.content))
+    warcs, index = gzipped_package(20)
+    for name, members in (("gz.wacz", {"archive/b.warc.gz": warcs, "indexes/i.cdx.gz": gzip.compress(index.encode())}), ("scan.wacz", {"archive/b.warc.gz": warcs})):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for member, data in members.items():
+                z.writestr(member, data)
+    got = warc.read_files(spark, str(tmp_path), slice_bytes=20_000).collect()
+    expected = Counter({(k, f"page {k} " * (500 + k)): 1 for k in range(60)})
+    expected.update((k, chr(65 + k % 26) * (1000 + k)) for k in range(20) for _ in range(2))
+    assert Counter((r.page_id, bytes(r.payload).decode()) for r in got) == expected
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    assert warc.slices(files, 20_000).count() > files.count()
+    # bytes read: the tail, the directory, headers and the index for the plan, one record for one record
+    content = (tmp_path / "p 0.wacz").read_bytes()
+    read = []
+    reader = warc.PackageReader(lambda at, n: (read.append(n), content[at : at + n])[1], len(content))
+    where = list(reader.ranges())
+    assert sum(read) < 65_557 + 20_000 < len(content) and len(where) > 5
+    read.clear()
+    reader.record(*where[3])
+    assert read == [where[3][1]]
+    with zipfile.ZipFile(tmp_path / "odd.zip", "w") as z:
+        z.writestr("archive/a.arc", b"")
+    with pytest.raises(ValueError):
+        list(warc.PackageReader.of((tmp_path / "odd.zip").read_bytes()).ranges())
+
+
 # ---- 2 --------------------------------------------------------------------------------------
 
 
@@ -814,6 +859,33 @@ def test_exact_dedup_rows_without_an_id(spark):
         assert classed == sorted(((i, keep[t or ""], sizes[t or ""], i == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=str)
 
 
+def recall(spark, x, **options):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    by = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), **options).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert by.keys() == set(range(0, len(x), options.get("every", 20)))
+    hits = 0
+    for q, answer in by.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), -scores))[:20].tolist()) & answer)
+    return hits / (20 * len(by))
+
+
+def test_neighbours_in_many_groups_and_magnitudes(spark):
+    """10,000 vectors in 40 small groups, two random orders only: the descent and the search have to find the rest. Lengths over 12 decades."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((60, 16))
+    x = centres[rng.integers(0, 60, 10_000)] + 0.5 * rng.standard_normal((10_000, 16))
+    few = {"group": 250, "orders": 2, "every": 100}
+    with_descent, without = recall(spark, x, **few), recall(spark, x, rounds=0, **few)
+    print("recall with the descent", with_descent, "without", without)
+    assert with_descent >= 0.9 and without < with_descent
+    lengths = 10.0 ** rng.uniform(-6, 6, (10_000, 1))
+    assert recall(spark, x * lengths, **few) >= 0.9
+
+
 def test_neighbours_beside_one_huge_vector(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 8)).astype(np.float32)
