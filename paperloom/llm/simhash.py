@@ -38,8 +38,8 @@ from .common import batch, byte_texts, fresh_name, lower_ascii, mix64, quoted, r
 from .components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
-#: Points compared outright; home points of a shard; sampled points per shard; most shards; rows of a shard that one task takes.
-LEAF, SHARD, PER_SHARD, MOST_SHARDS, BLOCK = 256, 1 << 15, 32, 1 << 14, 1 << 21
+#: Points compared outright; home points of a shard; sampled points per shard; least and most shards; rows of a shard that one task takes.
+LEAF, SHARD, PER_SHARD, LEAST_SHARDS, MOST_SHARDS, BLOCK = 256, 1 << 15, 32, 32, 1 << 14, 1 << 20
 #: Linking by similarity: words of a fingerprint, least shingles; documents sampled for common shingles, in how many of these a shingle
 #: is common, and how many such are kept.
 WIDE, LEAST, SAMPLE, OFTEN, COMMON = 4, 4, 5000, 5, 100_000
@@ -273,10 +273,11 @@ class Tree:
 
 
 def tree(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Tree:
-    """A tree for (fp long) points: shards of about ``shard`` points, or smaller ones while there are fewer shards than tasks.
+    """A tree for (fp long) points: ``LEAST_SHARDS``, or as many shards of about ``shard`` points as there are. Every doubling of their
+    number makes some 1.6 times as many visits, which is why there are no more.
     The sample that reaches the driver has at most one point in eight and some ``PER_SHARD`` times ``MOST_SHARDS`` points."""
     n = points.count()
-    shards = min(max(-(-n // shard), min(4 * shuffle_parts(points.sparkSession), n // 128)), MOST_SHARDS)
+    shards = min(max(-(-n // shard), min(LEAST_SHARDS, n // 128)), MOST_SHARDS)
     if shards < 2:
         return Tree(np.zeros(0, np.uint64), 1, radius)
     every = max(8, n // (PER_SHARD * shards))
