@@ -117,12 +117,17 @@ def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[last] + window
 
 
+def squeezed(values: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Byte planes as a zstandard frame: few bits of a sorted hash or of a document's id are news."""
+    return press.compress(planes(values))
+
+
 def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> DataFrame:
     """(part, settled, a, b): a run of a block's entries for one range of hashes (a: hashes, b: documents), or, if
     settled, what a block settles for a bucket of documents (a: documents, b: first and last covered word). c: second hashes."""
     schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
-    def block(ids: list[int], hashes: list[tuple[np.ndarray, np.ndarray]]):
+    def block(ids: list[int], hashes: list[tuple[np.ndarray, np.ndarray]], press: zstandard.ZstdCompressor):
         order = sorted(range(len(ids)), key=ids.__getitem__)
         ids_sorted = np.array([ids[k] for k in order], np.int64)
         sizes = np.array([len(hashes[k][0]) for k in order])
@@ -144,11 +149,11 @@ def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> D
         h, d, s = flat_s[new], doc_s[new], second_s[new]
         bounds = np.searchsorted(h, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)))
         edges = [0, *bounds.tolist(), len(h)]
-        rows += [(p, False, planes(h[a:b]), planes(d[a:b]), planes(s[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        rows += [(p, False, squeezed(h[a:b], press), squeezed(d[a:b], press), planes(s[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return batch(schema, *zip(*rows, strict=True))
 
     def run(batches):
-        known = WordHashes()
+        known, press = WordHashes(), zstandard.ZstdCompressor(level=1, write_content_size=True)
         ids, hashes, size = [], [], 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
@@ -158,10 +163,10 @@ def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> D
                     hashes.append(got)
                     size += len(got[0])
                 if size >= BLOCK_WINDOWS:
-                    yield block(ids, hashes)
+                    yield block(ids, hashes, press)
                     ids, hashes, size = [], [], 0
         if ids:
-            yield block(ids, hashes)
+            yield block(ids, hashes, press)
 
     return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "part int, settled boolean, a binary, b binary, c binary")
 
@@ -172,6 +177,7 @@ def _repeated(candidates: DataFrame, parts: int, doc_buckets: int) -> DataFrame:
 
     def run(batches):
         runs: dict[int, list] = {}
+        press = zstandard.ZstdDecompressor()
         for b in batches:
             settled = []
             for part, done, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -183,8 +189,8 @@ def _repeated(candidates: DataFrame, parts: int, doc_buckets: int) -> DataFrame:
                 yield batch(schema, *zip(*settled, strict=True))
         while runs:
             _, entries = runs.popitem()
-            h = np.concatenate([unplanes(e[0], np.uint64) for e in entries])
-            d = np.concatenate([unplanes(e[1], np.int64) for e in entries])
+            h = np.concatenate([unplanes(expand(e[0], press), np.uint64) for e in entries])
+            d = np.concatenate([unplanes(expand(e[1], press), np.int64) for e in entries])
             s = np.concatenate([unplanes(e[2], np.uint32) for e in entries])
             del entries
             at, new = by_hash(h, s)
