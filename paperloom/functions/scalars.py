@@ -55,7 +55,8 @@ def parse_number(c: Column) -> Column:
 
 
 def is_number_token(c: Column) -> Column:
-    return F.coalesce(c.rlike(P.NUMBER_TOKEN) & parse_number(c).isNotNull(), F.lit(False))
+    # a token of up to 28 characters always fits the decimal; only longer ones are parsed to see
+    return F.coalesce(c.rlike(P.NUMBER_TOKEN) & ((F.length(c) <= 28) | parse_number(c).isNotNull()), F.lit(False))
 
 
 def money(c: Column) -> Column:

@@ -149,12 +149,14 @@ def row_blocks(described: Column, n_anchors: Column) -> Column:
     heights = F.array_sort(F.transform(described, lambda d: d["h"]))
     middle = (heights[F.floor((n - 1) / 2).cast("int")] + heights[F.floor(n / 2).cast("int")]) / 2.0
 
-    def blocks(k: float) -> Column:
-        steps = F.transform(described, lambda d, i: F.when((i > 0) & (d["y"] - F.get(described, i - 1)["y"] > k * middle), 1).otherwise(0))
-        return F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, 1, i + 1), F.lit(0), lambda a, s: a + s))
+    gaps = F.transform(described, lambda d, i: F.when(i > 0, d["y"] - F.get(described, i - 1)["y"]).otherwise(0.0))
 
-    tried = F.array(*[blocks(k) for k in P.ROW_GAPS])
-    return F.get(F.filter(tried, lambda b: F.element_at(b, -1) + 1 == n_anchors), 0)
+    def wide(k: float) -> Column:
+        return F.size(F.filter(gaps, lambda g: g > k * middle))
+
+    # one count per gap, up to the first that fits; places are worked out for that one alone
+    fits = F.coalesce(*[F.when(wide(k) + 1 == n_anchors, F.lit(k)) for k in P.ROW_GAPS])
+    return F.when(fits.isNotNull(), F.transform(gaps, lambda _, i: F.size(F.filter(F.slice(gaps, 1, i + 1), lambda g: g > fits * middle))))
 
 
 def page_rows(rows: DataFrame) -> DataFrame:
@@ -207,15 +209,25 @@ def items(pages: DataFrame) -> DataFrame:
     first = F.filter("placed", lambda p: F.size(F.filter("placed", lambda q: (q["k"] == p["k"]) & (q["t"] < p["t"]))) == 0)
     rows = rows.withColumns({"_kept": first, "conflicts": F.size("placed") - F.size(first)})
 
-    def last_of(kind: str, usable) -> Column:
-        hits = F.filter("_kept", lambda p: (F.get(F.col("slots"), p["k"])["kind"] == kind) & usable(p["text"]))
-        return F.array_max(F.transform(hits, lambda p: F.struct(p["k"].alias("k"), p["text"].alias("text"))))["text"]
+    # every token is tested and parsed once; then the last of a kind is picked
+    read = F.transform(
+        "_kept",
+        lambda p: F.struct(
+            p["k"].alias("k"), F.get(F.col("slots"), p["k"])["kind"].alias("kind"), p["text"].alias("text"),
+            F.when(S.is_number_token(p["text"]), S.parse_number(p["text"])).alias("number"),
+        ),
+    )
+    rows = rows.withColumn("_read", F.array_sort(read))
+
+    def last_of(kind: str, field: str) -> Column:
+        hits = F.filter("_read", lambda p: (p["kind"] == kind) & p[field].isNotNull())
+        return F.try_element_at(hits, F.lit(-1))[field]
 
     def value(kind: str) -> Column:
-        return S.parse_number(last_of(kind, S.is_number_token))
+        return last_of(kind, "number")
 
     return rows.select(
-        *PAGE, "line", "description", S.number(value("quantity")).alias("quantity"), last_of("unit", lambda t: t.isNotNull()).alias("unit"),
+        *PAGE, "line", "description", S.number(value("quantity")).alias("quantity"), last_of("unit", "text").alias("unit"),
         S.money(value("unit_price")).alias("unit_price"), S.number(value("vat_percent")).alias("vat_percent"),
         S.money(value("net_amount")).alias("net_amount"), S.money(value("gross_amount")).alias("gross_amount"), "conflicts",
     )

@@ -33,7 +33,7 @@ def opinions(requests: DataFrame, stored_answers: DataFrame, provider: Provider
     if provider is None:
         rest = misses.select("doc_id", "content_key", nothing.alias("answer"), F.lit("llm_not_configured").alias("code"), F.lit(False).alias("fresh"))
         return hits.unionByName(rest)
-    numbered = misses.withColumn("request_id", F.xxhash64("doc_id"))
+    numbered = misses.withColumn("request_id", F.xxhash64("doc_id"))  # for ties in time only
     judged = quota.admitted(numbered, per_minute, per_day)
     denied = judged.where("not admitted").select("doc_id", "content_key", nothing.alias("answer"), F.lit("llm_quota_exhausted").alias("code"), F.lit(False).alias("fresh"))
 

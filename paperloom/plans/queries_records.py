@@ -28,11 +28,13 @@ def parse_number_fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     rows = _table(spark, sf_dir, "lineitem").select(*names, cents.alias("cents"))
-    # a number for every row without one global sort: ranks within an order, raised by the counts of the orders before
-    own = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names[1:]))
-    counts = rows.groupBy("l_orderkey").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("own", own).join(counts.select("l_orderkey", before.alias("before")), "l_orderkey")
+    # a number for every row without a global sort: ranks within a range of 10,000 orders, raised by the counts of the ranges before;
+    # one row per range is all that one task sees
+    rows = rows.withColumn("range", F.floor(F.col("l_orderkey") / 10_000))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*names))
+    counts = rows.groupBy("range").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("own", own).join(counts.select("range", before.alias("before")), "range")
     whole, rest = F.floor(F.col("cents") / 100).cast("long"), F.lpad(F.pmod(F.col("cents"), F.lit(100)).cast("string"), 2, "0")
     english = F.concat(F.format_number(whole, 0), F.lit("."), rest)
     german = F.concat(F.replace(F.format_number(whole, 0), F.lit(","), F.lit(".")), F.lit(","), rest)
@@ -95,11 +97,10 @@ def parse_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(r"""
-    SELECT doc_id, nullif(regexp_extract(text, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+(\.[0-9A-Za-z_-]+)+'), '') AS email FROM documents
+    SELECT doc_id, nullif(regexp_extract(text, '[\pL\pM\p{Nd}\p{Pc}.+-]+@[\pL\pM\p{Nd}\p{Pc}-]+(\.[\pL\pM\p{Nd}\p{Pc}-]+)+'), '') AS email FROM documents
 """)
 def email_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = P.EMAIL.replace("(?U)", "")
-    return _table(spark, sf_dir, "documents").select("doc_id", S.extract(F.col("text"), ascii_only, 0).alias("email"))
+    return _table(spark, sf_dir, "documents").select("doc_id", S.extract(F.col("text"), P.EMAIL, 0).alias("email"))
 
 
 _LABELS = [
@@ -143,13 +144,13 @@ def lines_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(r"""
-    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]'), lambda x: x <> '')[1:60] AS ws FROM documents),
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]'), lambda x: x <> '') AS ws FROM documents),
     u AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w),
     c AS (SELECT doc_id, i, word, (i // 4)::BIGINT AS cell FROM u)
     SELECT doc_id, cell, string_agg(word, ' ' ORDER BY i) AS text FROM c GROUP BY ALL
 """)
 def cells_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents in lines of sixty words, with a wide gap behind every fourth word. The SQL covers the first line only."""
+    """Whole documents in lines of sixty words, with a wide gap behind every fourth word."""
     return split_cells(_table(spark, sf_dir, "documents"))
 
 
@@ -180,25 +181,28 @@ def numbers_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-    WITH {_LINES}, a AS (SELECT l_orderkey, line, row_number() OVER (PARTITION BY l_orderkey ORDER BY net, line) - 1 AS k, net FROM m),
-    d AS (SELECT l_orderkey, line, price AS y FROM m),
-    j AS (SELECT d.l_orderkey, d.line, arg_min(a.k, (abs(a.net - d.y), a.k)) AS k FROM d JOIN a USING (l_orderkey) GROUP BY ALL)
-    SELECT l_orderkey AS orderkey, line::BIGINT AS line, k::BIGINT AS anchor FROM j
+    WITH {_LINES}, n AS (SELECT l_orderkey, max(line) AS n FROM m GROUP BY 1),
+    d AS (SELECT l_orderkey, n, unnest(range(2 * n)) AS j FROM n),
+    j AS (SELECT d.l_orderkey, d.j, d.n, arg_min(m.line, (abs(60 * (m.line - 1) - 30 * d.j), m.line)) AS line FROM d JOIN m USING (l_orderkey) GROUP BY ALL),
+    t AS (SELECT l_orderkey, line, n, string_agg('text' || j, ' ' ORDER BY j) AS description FROM j GROUP BY ALL)
+    SELECT l_orderkey AS orderkey, m.line::BIGINT AS line, description, q::DOUBLE AS quantity, net / 100.0::DOUBLE AS net_amount, n > 1 AS fallback
+    FROM m JOIN t USING (l_orderkey, line)
 """)
 def nearest_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line's nearest anchor of its order, the first of equals: arrays of one order, no join of pairs."""
-    rows = render.priced_lines(spark, sf_dir)
-    grouped = rows.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("net").alias("y"), F.col("line")))).alias("anchors"), F.collect_list(F.struct("line", F.col("price").alias("y"))).alias("described")
+    """Twice as many evenly spaced description lines as rows: no gap groups them, and each goes to the nearest row, the upper one of two."""
+    rows = render.priced_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("line", "quantity", "net"))).alias("rows"))
+    piece = render.text_at
+    header = F.array(*[piece(x, F.lit(440), F.lit(label)) for x, label in ((200, "Description"), (700, "Qty"), (1100, "Net worth"))])
+    amounts = F.flatten(
+        F.transform(
+            "rows", lambda r: F.array(piece(700, F.lit(500) + 60 * (r["line"] - 1), render.amount(r["quantity"] * 100)), piece(1100, F.lit(500) + 60 * (r["line"] - 1), render.amount(r["net"])))
+        )
     )
-    nearest = F.transform(
-        "described",
-        lambda d: F.struct(
-            d["line"].alias("line"), F.array_min(F.transform("anchors", lambda a, i: F.struct(F.abs(a["y"] - d["y"]).alias("far"), i.alias("k"))))["k"].alias("k")
-        ),
-    )
-    found = grouped.select("l_orderkey", F.explode(nearest).alias("r"))
-    return found.select(F.col("l_orderkey").alias("orderkey"), F.col("r.line").cast("long").alias("line"), F.col("r.k").cast("long").alias("anchor"))
+    described = F.transform(F.sequence(F.lit(0), 2 * F.size("rows") - 1), lambda j: piece(200, F.lit(500) + 30 * j, F.concat(F.lit("text"), j.cast("string"))))
+    words = render.words_of(rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.concat(header, amounts, described).alias("texts")))
+    pages = table.page_rows(table.zoned(layout.page_lines(words).withColumn("width", F.lit(render.WIDTH))))
+    found = table.items(pages).join(pages.select(*layout.PAGE, "fallback"), layout.PAGE)
+    return found.select(F.col("doc_id").cast("long").alias("orderkey"), F.col("line").cast("long").alias("line"), "description", "quantity", "net_amount", "fallback")
 
 
 @_query(f"""
@@ -219,16 +223,43 @@ def numeric_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pages to documents ---------------------------------------------------------------------
 
 
-@_query("""
-    SELECT conv_id, count(*) AS pages, arg_min(text, turn) FILTER (text <> '') AS first_text, arg_max(text, turn) FILTER (role = 'assistant') AS last_answer
-    FROM conversations GROUP BY conv_id
+@_query(f"""
+    WITH {_LINES}, p AS (SELECT l_orderkey AS k, unnest(range(1, 4)) AS p FROM (SELECT DISTINCT l_orderkey FROM m)),
+    v AS (SELECT k, p, CASE WHEN (k + p) % 3 <> 0 THEN 'N' || p ELSE '' END AS no, CASE WHEN (k + p) % 4 = 0 THEN 'S' || p END AS seller, (k + p) % 5 < 3 AS has_seller,
+                 (k + p) % 2 = 0 AS has_summary, CASE WHEN (k + p) % 4 = 2 THEN p * 10.0::DOUBLE END AS total FROM p WHERE p <= 2 + k % 2),
+    g AS (SELECT k, count(*) AS pages, arg_min(no, p) FILTER (no <> '') AS invoice_number, arg_min(struct_pack(s := seller), p) FILTER (has_seller) AS s,
+                 max(p) FILTER (has_summary AND total IS NOT NULL) AS with_total, min(p) FILTER (has_summary) AS with_any, string_agg('w' || p, ',' ORDER BY p) AS warnings, bool_or(p = 2) AS table_found
+          FROM v GROUP BY k),
+    i AS (SELECT l_orderkey AS k, string_agg(line || '/' || p, ',' ORDER BY p, line) AS items
+          FROM (SELECT l_orderkey, line, line % (2 + l_orderkey % 2) + 1 AS p FROM m) GROUP BY 1)
+    SELECT k AS orderkey, pages::BIGINT AS pages, invoice_number, s.s AS seller_name, coalesce(with_total, with_any)::DOUBLE AS subtotal, with_total * 10.0::DOUBLE AS total, warnings, table_found, items
+    FROM g JOIN i USING (k)
 """)
 def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as documents, turns as pages."""
-    turn = F.col("turn")
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.count("*").alias("pages"), assemble.first_page(F.col("text"), turn).alias("first_text"), F.max_by("text", F.when(F.col("role") == "assistant", turn)).alias("last_answer")
-    )
+    """Records of two or three pages, with gaps by order and page number, merged into documents. Items carry their old number and page in the description."""
+    rows = render.priced_lines(spark, sf_dir).select("l_orderkey", "line")
+    n = F.lit(2) + F.col("l_orderkey") % 2
+    item = F.struct("line", F.concat_ws("/", "line", "page_no").alias("description"), *[F.lit(None).cast("double").alias(c) for c in ("quantity",)], F.lit(None).cast("string").alias("unit"), *[F.lit(None).cast("double").alias(c) for c in ("unit_price", "vat_percent", "net_amount", "gross_amount")])
+    items = rows.withColumn("page_no", (F.col("line") % n + 1).cast("int")).groupBy("l_orderkey", "page_no").agg(F.array_sort(F.collect_list(item.cast(ITEM))).alias("items"))
+    pages = rows.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("page_no"))
+    k = F.col("l_orderkey") + F.col("page_no")
+    text, number, p = F.lit(None).cast("string"), F.lit(None).cast("double"), F.col("page_no").cast("string")
+    seller = F.struct(F.when(k % 4 == 0, F.concat(F.lit("S"), p)).alias("name"), *[text.alias(f) for f in PARTY_FIELDS[1:]]).cast(PARTY)
+    summary = F.struct(
+        F.col("page_no").cast("double").alias("subtotal"), *[number.alias(f) for f in ("tax", "tax_rate", "discount")], F.expr("array()").cast(f"array<{CHARGE}>").alias("other_charges"),
+        F.when(k % 4 == 2, F.col("page_no") * 10.0).alias("total"), number.alias("amount_paid"), number.alias("amount_due"),
+    ).cast(SUMMARY)
+    results = pages.join(items, ["l_orderkey", "page_no"], "left").select(
+        F.col("l_orderkey").alias("doc_id"), "page_no", F.when(k % 3 != 0, F.concat(F.lit("N"), p)).otherwise("").alias("invoice_number"), *[text.alias(c) for c in ("date", "due_date", "currency")],
+        F.when(k % 5 < 3, seller).alias("seller"), F.lit(None).cast(PARTY).alias("client"), F.coalesce("items", F.expr("array()").cast(f"array<{ITEM}>")).alias("items"),
+        F.when(k % 2 == 0, summary).alias("summary"), F.lit(None).cast(PAYMENT).alias("payment"), F.array(F.concat(F.lit("w"), p)).alias("warnings"), (F.col("page_no") == 2).alias("table_found"),
+    )
+    found = assemble.documents(results)
+    renumbered = F.forall("items", lambda x: F.get("items", x["line"] - 1)["description"] == x["description"])
+    return found.select(
+        F.col("doc_id").alias("orderkey"), F.col("pages").cast("long").alias("pages"), "invoice.invoice_number", F.col("seller.name").alias("seller_name"), "summary.subtotal", "summary.total",
+        F.concat_ws(",", "warnings").alias("warnings"), "table_found", F.when(renumbered, F.concat_ws(",", F.transform("items", lambda x: x["description"]))).alias("items"),
+    )
 
 
 @_query("""
@@ -484,9 +515,19 @@ def quota_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.first_of_day(_requests(spark, sf_dir)).select("request_id", "admitted")
 
 
-@_query()
+@_query("""
+    WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) // 1000 AS us, ((make_timestamp(epoch_us(ts) // 1000) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles')::DATE AS d FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY us, event_id) AS n FROM e),
+    f AS (SELECT d, n, event_id, true AS admitted, [us] AS recent, 1 AS c FROM o WHERE n = 1
+          UNION ALL
+          SELECT d, n, event_id, yes, CASE WHEN yes THEN list_append(live, us) ELSE live END, c + yes::INT
+          FROM (SELECT o.d, o.n, o.event_id, o.us, f.c, list_filter(f.recent, lambda t: o.us - t < 60000000) AS live,
+                       len(list_filter(f.recent, lambda t: o.us - t < 60000000)) < 3 AND f.c < 60 AS yes
+                FROM f JOIN o ON o.d = f.d AND o.n = f.n + 1))
+    SELECT event_id AS request_id, admitted FROM f
+""")
 def quota_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission with both limits over events a thousand times as fast. A fold in time order: no SQL; tests hold it against a loop."""
+    """Admission with both limits over events a thousand times as fast."""
     return quota.admitted(_requests(spark, sf_dir, 1000), per_minute=3, per_day=60).select("request_id", "admitted")
 
 

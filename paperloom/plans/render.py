@@ -58,7 +58,7 @@ def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _text(x: int, y: Column | int, text: Column) -> Column:
+def text_at(x: int, y: Column | int, text: Column) -> Column:
     return F.struct(F.lit(x).alias("x"), (y if isinstance(y, Column) else F.lit(y)).cast("int").alias("y"), text.alias("text"))
 
 
@@ -82,44 +82,44 @@ def invoices(spark: SparkSession, sf_dir: str, layout: Layout = Layout()) -> Dat
     def row_texts(r: Column) -> Column:
         y = F.lit(440 + d) + 72 * r["line"]
         texts = [
-            _text(100, y, F.concat(r["line"].cast("string"), F.lit("."))),
-            _text(200, y, r["p_name"]),
-            _text(700, y, amount(r["quantity"] * 100)),
-            _text(900, y, amount(r["price"])),
-            _text(1100, y, amount(r["net"])),
-            _text(1280, y, F.concat(r["vat"].cast("string"), F.lit("%"))),
-            _text(1420, y, amount(r["gross"])),
+            text_at(100, y, F.concat(r["line"].cast("string"), F.lit("."))),
+            text_at(200, y, r["p_name"]),
+            text_at(700, y, amount(r["quantity"] * 100)),
+            text_at(900, y, amount(r["price"])),
+            text_at(1100, y, amount(r["net"])),
+            text_at(1280, y, F.concat(r["vat"].cast("string"), F.lit("%"))),
+            text_at(1420, y, amount(r["gross"])),
         ]
-        unit = F.array(_text(800, y, F.lit("each")))
+        unit = F.array(text_at(800, y, F.lit("each")))
         if layout.drop_unit:
             unit = F.when(F.pmod(r["line"], F.lit(2)) == 1, unit).otherwise(F.slice(unit, 1, 0))
         if layout.wrap:
-            texts.append(_text(200, y + 30, F.concat(F.lit("lot "), r["line"].cast("string"))))
+            texts.append(text_at(200, y + 30, F.concat(F.lit("lot "), r["line"].cast("string"))))
         return F.concat(F.array(*texts), unit)
 
     last = F.lit(440 + d) + 72 * F.col("n")
     party_y = [20, 56, 92] if layout.letterhead else [224 + d, 260 + d, 296 + d]
     fixed = [
-        _text(100, 80 + d, F.concat(F.lit("Invoice no: "), (F.lit(1_000_000) + F.col("o_orderkey")).cast("string"))),
-        _text(100, 116 + d, F.concat(F.lit("Date of issue: "), F.date_format("o_orderdate", "MM/dd/yyyy"))),
-        _text(900, 188 + d, F.lit("Client:")),
-        _text(100, party_y[0], F.col("s_name")),
-        _text(100, party_y[1], F.col("s_nation")),
-        _text(100, party_y[2], F.concat(F.lit("Tax Id: "), F.col("suppkey").cast("string"))),
-        _text(900, 224 + d, F.col("c_name")),
-        _text(900, 260 + d, F.col("c_nation")),
-        _text(900, 296 + d, F.concat(F.lit("Tax Id: "), F.col("o_custkey").cast("string"))),
-        *[_text(x, 440 + d, F.lit(label)) for x, label in HEADER],
-        *[t for k, name in enumerate(("Subtotal", "Tax", "Total")) for t in (_text(900, last + 108 + 36 * k, F.lit(name)), _text(1100, last + 108 + 36 * k, amount(F.col(name.lower()))))],
+        text_at(100, 80 + d, F.concat(F.lit("Invoice no: "), (F.lit(1_000_000) + F.col("o_orderkey")).cast("string"))),
+        text_at(100, 116 + d, F.concat(F.lit("Date of issue: "), F.date_format("o_orderdate", "MM/dd/yyyy"))),
+        text_at(900, 188 + d, F.lit("Client:")),
+        text_at(100, party_y[0], F.col("s_name")),
+        text_at(100, party_y[1], F.col("s_nation")),
+        text_at(100, party_y[2], F.concat(F.lit("Tax Id: "), F.col("suppkey").cast("string"))),
+        text_at(900, 224 + d, F.col("c_name")),
+        text_at(900, 260 + d, F.col("c_nation")),
+        text_at(900, 296 + d, F.concat(F.lit("Tax Id: "), F.col("o_custkey").cast("string"))),
+        *[text_at(x, 440 + d, F.lit(label)) for x, label in HEADER],
+        *[t for k, name in enumerate(("Subtotal", "Tax", "Total")) for t in (text_at(900, last + 108 + 36 * k, F.lit(name)), text_at(1100, last + 108 + 36 * k, amount(F.col(name.lower()))))],
     ]
     if not layout.letterhead:
-        fixed.append(_text(100, 188 + d, F.lit("Seller:")))
+        fixed.append(text_at(100, 188 + d, F.lit("Seller:")))
     if layout.payment:
         fixed += [
-            _text(100, last + 260, F.lit("Beneficiary:")), _text(500, last + 260, F.col("s_name")),
-            _text(100, last + 296, F.concat(F.lit("Bank: Bank of "), F.col("s_nation"))),
-            _text(100, last + 332, F.concat(F.lit("IBAN: XX00 "), F.lpad(F.col("suppkey").cast("string"), 8, "0"))),
-            _text(100, last + 368, F.concat(F.lit("Reference: R"), F.col("o_orderkey").cast("string"))),
+            text_at(100, last + 260, F.lit("Beneficiary:")), text_at(500, last + 260, F.col("s_name")),
+            text_at(100, last + 296, F.concat(F.lit("Bank: Bank of "), F.col("s_nation"))),
+            text_at(100, last + 332, F.concat(F.lit("IBAN: XX00 "), F.lpad(F.col("suppkey").cast("string"), 8, "0"))),
+            text_at(100, last + 368, F.concat(F.lit("Reference: R"), F.col("o_orderkey").cast("string"))),
         ]
     return (
         rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))

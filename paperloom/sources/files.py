@@ -34,7 +34,7 @@ def _zip_kind(content: pd.Series) -> pd.Series:
                 if not {"word/document.xml", "[Content_Types].xml"} <= set(z.namelist()):
                     return None
                 return "docx" if sum(i.file_size for i in z.infolist()) <= MAX_UNPACKED_BYTES else "large"
-        except zipfile.BadZipFile:
+        except Exception:  # noqa: BLE001  a damaged archive is an unknown file, whatever the fault
             return None
 
     return content.map(kind)
@@ -73,6 +73,7 @@ def uploads(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -
 def judged(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     size_code = F.when(F.col("length") > max_bytes, 413).when(F.col("length") == 0, 400)
     rows = files.withColumn("error_code", size_code)
+    # sizes and types do not change by trying again
     bad = rows.where("error_code is not null").withColumns(
         {"kind": F.lit(None).cast("string"), "error": F.when(F.col("error_code") == 413, "File is too large").otherwise("File is empty")}
     )
@@ -80,6 +81,13 @@ def judged(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     return bad.unionByName(good)
 
 
+def batch(files: DataFrame, ordinal: str, max_files: int = MAX_BATCH_FILES, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """``judged`` rows of one batch in the order of ``ordinal``; a batch of too many files is refused as a whole."""
+    if len(files.select(ordinal).head(max_files + 1)) > max_files:
+        raise ValueError(f"413: at most {max_files} files a batch")
+    return judged(files, max_bytes).orderBy(ordinal)
+
+
 class Unavailable(RuntimeError):
     """A decoder that is not installed here."""
 
@@ -94,11 +102,12 @@ WordReader = Callable[[bytes, str, int], Iterator[tuple[int, int, list[tuple], s
 
 def words_by(files: DataFrame, reader: WordReader | None, max_pages: int = MAX_PAGES) -> DataFrame:
     """(doc_id, page_no, width, source, word_idx, text, x0, y0, x1, y1, conf, error) of files (doc_id, content, kind) by a plug-in that reads
-    text layers or recognises characters. A reader's error is its file's row; other files go on."""
+    text layers or recognises characters. A reader's error is its file's row; other files go on. error_kind is transient for a TimeoutError, for
+    which trying again may help, else permanent."""
     if reader is None:
         raise Unavailable("reading words from PDF, DOCX or images needs a reader plug-in; none is installed")
-    columns = ["doc_id", "page_no", "width", "source", "word_idx", "text", "x0", "y0", "x1", "y1", "conf", "error"]
-    ddl = "doc_id string, page_no int, width int, source string, word_idx int, text string, x0 int, y0 int, x1 int, y1 int, conf double, error string"
+    columns = ["doc_id", "page_no", "width", "source", "word_idx", "text", "x0", "y0", "x1", "y1", "conf", "error", "error_kind"]
+    ddl = "doc_id string, page_no int, width int, source string, word_idx int, text string, x0 int, y0 int, x1 int, y1 int, conf double, error string, error_kind string"
 
     def run(frames):
         for frame in frames:
@@ -107,9 +116,9 @@ def words_by(files: DataFrame, reader: WordReader | None, max_pages: int = MAX_P
                 try:
                     for page_no, width, words, source in reader(content, kind, max_pages):
                         kept = [w for w in words if w[0].strip() and w[5] >= 0]
-                        rows += [(doc_id, page_no, width, source, k, *w, None) for k, w in enumerate(kept)] or [(doc_id, page_no, width, source, *[None] * 8)]
+                        rows += [(doc_id, page_no, width, source, k, *w, None, None) for k, w in enumerate(kept)] or [(doc_id, page_no, width, source, *[None] * 9)]
                 except Exception as e:  # noqa: BLE001  one file's failure is its own row
-                    rows.append((doc_id, *[None] * 10, str(e)))
+                    rows.append((doc_id, *[None] * 10, str(e), "transient" if isinstance(e, TimeoutError) else "permanent"))
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("doc_id", "content", "kind").mapInPandas(run, ddl)

@@ -1,7 +1,7 @@
 """A request quota: at most ``per_minute`` admitted calls in any rolling minute and ``per_day`` per calendar day in
 a time zone; a new day starts afresh. Refused calls do not count, so admission is a fold in time order.
 
-``admitted`` folds a table; days are independent, so each (key, day) is one fold over its ordered calls. ``admitted_stream`` is the
+``admitted`` judges a table; days are independent, so each (key, day) is one pass over its ordered calls. ``admitted_stream`` is the
 same as a stateful stream operator. Both keep the last minute's admitted calls only.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PER_MINUTE, PER_DAY = 10, 20
 ZONE = "America/Los_Angeles"
@@ -23,25 +25,41 @@ def quota_day(ts: Column, zone: str = ZONE) -> Column:
 
 
 def admitted(requests: DataFrame, per_minute: int = PER_MINUTE, per_day: int = PER_DAY, key: str | None = None, zone: str = ZONE) -> DataFrame:
-    """``requests`` (request_id, ts timestamp) with ``admitted``, in time order, ties by id."""
-    rows = requests.withColumns({"_day": quota_day(F.col("ts"), zone), "_at": F.unix_micros("ts"), "_key": F.col(key) if key else F.lit(0)})
-    calls = rows.groupBy("_key", "_day").agg(F.array_sort(F.collect_list(F.struct("_at", "request_id"))).alias("_calls"))
-    fold = f"""
-        aggregate(_calls,
-          named_struct('recent', cast(array() as array<bigint>), 'count', 0, 'yes', cast(array() as array<bigint>)),
-          (a, c) -> transform(array(filter(a.recent, t -> c._at - t < {WINDOW_MICROS})), live ->
-            if(size(live) < {int(per_minute)} and a.count < {int(per_day)},
-              named_struct('recent', concat(live, array(c._at)), 'count', a.count + 1, 'yes', concat(a.yes, array(c.request_id))),
-              named_struct('recent', live, 'count', a.count, 'yes', a.yes)))[0]).yes
-    """
-    yes = calls.select(F.explode(F.expr(fold)).alias("request_id")).withColumn("admitted", F.lit(True))
-    return rows.drop("_day", "_at", "_key").join(yes, "request_id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+    """``requests`` (request_id, ts timestamp, ...) with ``admitted``, in time order, ties by id. Rows are judged one by one,
+    also where they share an id. Each (key, day) streams through one task in order, which remembers the last minute's
+    admitted calls only: name a ``key`` where there is more than one quota. A null ts is refused."""
+    own = ["_quota_day", "_quota_at", "_quota_key"]
+    rows = requests.withColumns({own[0]: quota_day(F.col("ts"), zone), own[1]: F.unix_micros("ts"), own[2]: F.col(key).cast("string") if key else F.lit("")})
+    dealt = rows.repartition(own[2], own[0]).sortWithinPartitions(own[2], own[0], own[1], "request_id")
+    kept = len(requests.columns)
+
+    def run(batches):
+        group, recent, count = None, [], 0
+        for b in batches:
+            verdicts = []
+            for day, at, name in zip(*(b.column(kept + k).to_pylist() for k in range(3)), strict=True):
+                if (name, day) != group:
+                    group, recent, count = (name, day), [], 0
+                recent = [t for t in recent if at - t < WINDOW_MICROS] if recent else recent
+                yes = at is not None and len(recent) < per_minute and count < per_day
+                if yes:
+                    recent.append(at)
+                    count += 1
+                verdicts.append(yes)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(verdicts, pa.bool_())], names=[*b.schema.names[:kept], "admitted"])
+
+    return dealt.mapInArrow(run, T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())]))
 
 
 def first_of_day(requests: DataFrame, per_day: int = PER_DAY, zone: str = ZONE) -> DataFrame:
-    """``admitted`` where only the day's cap can bind: no fold, a rank by day."""
-    order = Window.partitionBy(quota_day(F.col("ts"), zone)).orderBy("ts", "request_id")
-    return requests.withColumn("admitted", F.row_number().over(order) <= per_day)
+    """``admitted`` where only the day's cap can bind: a rank by day. Spark keeps the first ``per_day`` of a day in every task before it
+    exchanges rows, so that a long day is not sorted in one."""
+    day = quota_day(F.col("ts"), zone)
+    order = Window.partitionBy("_day").orderBy("ts", "request_id")
+    least = requests.select(day.alias("_day"), "ts", "request_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_day)
+    last = least.groupBy("_day").agg(F.max(F.struct("ts", "request_id")).alias("_last"))
+    judged = requests.withColumn("_day", day).join(last, "_day", "left")
+    return judged.withColumn("admitted", F.coalesce(F.struct("ts", "request_id") <= F.col("_last"), F.lit(False))).drop("_day", "_last")
 
 
 def status(admitted_: DataFrame, now: Column, per_minute: int = PER_MINUTE, per_day: int = PER_DAY, zone: str = ZONE) -> DataFrame:

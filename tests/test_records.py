@@ -264,3 +264,49 @@ def test_options(monkeypatch, spark):
     with pytest.raises(ValueError):
         Options(llm_mode="maybe")
     assert engine_info(spark).where("capability = 'spark' and available").count() == 1
+
+
+def test_quota_judges_rows_not_ids(spark):
+    rows = [(1, START), (1, START), (2, START + dt.timedelta(seconds=1)), (3, None)]
+    got = quota.admitted(spark.createDataFrame(rows, "request_id long, ts timestamp"), per_minute=1).collect()
+    assert sorted((r.request_id, r.admitted) for r in got) == [(1, False), (1, True), (2, False), (3, False)]
+    assert quota.admitted(spark.createDataFrame([], "request_id long, ts timestamp")).count() == 0
+
+
+def test_batches_and_error_kinds(spark):
+    uploads = spark.createDataFrame([(k, f"d{k}", 3, bytearray(b"%PD" if k else b"")) for k in (2, 0, 1)], "n int, doc_id string, length long, content binary")
+    uploads = uploads.withColumn("length", F.length("content").cast("long"))
+    assert [(r.n, r.error_code) for r in files.batch(uploads, "n", 3).collect()] == [(0, 400), (1, 415), (2, 415)]
+    with pytest.raises(ValueError, match="413"):
+        files.batch(uploads, "n", 2)
+
+    def reader(content, kind, cap):
+        raise TimeoutError("slow") if content == b"t" else ValueError("broken")
+        yield
+
+    rows = spark.createDataFrame([("a", bytearray(b"t"), "pdf"), ("b", bytearray(b"x"), "pdf")], "doc_id string, content binary, kind string")
+    assert sorted((r.doc_id, r.error, r.error_kind) for r in files.words_by(rows, reader).collect()) == [("a", "slow", "transient"), ("b", "broken", "permanent")]
+
+
+def test_options_reach_the_record(spark):
+    from paperloom.options import Options
+    from paperloom.plans import extract
+
+    words = spark.createDataFrame(
+        [("d0", 1, k, t, 100 * k, 10, 100 * k + 90, 34, 100.0) for k, t in enumerate(["Date:", "04/05/2020"])],
+        "doc_id string, page_no int, word_idx int, text string, x0 int, y0 int, x1 int, y1 int, conf double",
+    )
+    pages = spark.createDataFrame([(f"d{d}", 1, 1654, "ocr") for d in range(2)], "doc_id string, page_no int, width int, source string")
+    got = {r.doc_id: r for r in extract.extract(words, pages, options=Options(date_order="DMY", ocr_version="5.3")).collect()}
+    assert got["d0"].data.invoice.date == "2020-05-04" and got["d0"].data.meta.engine == "tesseract-5.3"
+    assert (got["d1"].ok, got["d1"].error_kind) == (False, "permanent")
+    with pytest.raises(ValueError):
+        extract.extract(words, pages, "maybe")
+
+
+def test_codes_of_second_opinions(spark):
+    rows = spark.createDataFrame([(c,) for c in ("llm_quota_exhausted", "llm_failed", "llm_not_configured", None)], "code string")
+    from paperloom.plans import extract
+
+    got = {r.code: r.outcome for r in rows.select("code", extract.unanswered("always", F.lit(True), F.col("code"), F.array()).alias("outcome")).collect()}
+    assert got == {"llm_quota_exhausted": "quota_exhausted", "llm_failed": "failed", "llm_not_configured": "not_configured", None: "failed"}
