@@ -310,3 +310,25 @@ def test_codes_of_second_opinions(spark):
 
     got = {r.code: r.outcome for r in rows.select("code", extract.unanswered("always", F.lit(True), F.col("code"), F.array()).alias("outcome")).collect()}
     assert got == {"llm_quota_exhausted": "quota_exhausted", "llm_failed": "failed", "llm_not_configured": "not_configured", None: "failed"}
+
+
+def test_answers_reach_the_record(spark):
+    from paperloom.plans import extract
+
+    texts = ["Date:", "04/05/2020"]
+    words = spark.createDataFrame(
+        [(f"d{d}", 1, k, t, 100 * k, 10, 100 * k + 90, 34, 100.0) for d in range(4) for k, t in enumerate(texts)],
+        "doc_id string, page_no int, word_idx int, text string, x0 int, y0 int, x1 int, y1 int, conf double",
+    )
+    pages = spark.createDataFrame([(f"d{d}", 1, 1654) for d in range(5)], "doc_id string, page_no int, width int")
+    answers = spark.createDataFrame(
+        [("d0", answer(invoice_number="7", total=22.0), None), ("d1", answer(), None), ("d2", None, "llm_quota_exhausted")],
+        f"doc_id string, answer {ANSWER}, code string",
+    )
+    got = {r.doc_id: r for r in extract.extract(words, pages, "always", answers, model="m").collect()}
+    used = got["d0"].data
+    assert (used.invoice.invoice_number, used.invoice.date, used.summary.total) == ("7", "2020-04-05", 22.0)
+    assert used.meta.llm_used and used.meta.engine == "pdf-text-layer+m" and set(used.meta.llm_fields) == {"invoice.invoice_number", "summary.total"}
+    assert "llm_filled" in used.meta.warnings and used.meta.status == "needs_review"
+    assert {d: r.outcome for d, r in got.items()} == {"d0": "used", "d1": "no_change", "d2": "quota_exhausted", "d3": "failed", "d4": "not_needed"}
+    assert "llm_quota_exhausted" in got["d2"].data.meta.warnings and not got["d4"].ok
