@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +176,35 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+# ---- small tables, places in an order -----------------------------------------------------
+
+#: Rows of a small table that are broadcast; a larger one is joined by key, with the keys of the large side dealt out.
+BROADCAST_ROWS, SALTS = 50_000, 16
+
+
+def with_small(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``small`` (stored, one row per non-null ``key``), as a left join. Beyond ``BROADCAST_ROWS`` rows of ``small``
+    a key's rows are dealt out over ``SALTS`` copies of its row by their long column ``spread``, so that a common key is no single task's."""
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, "left")
+    salt = fresh_name(rows, "salt")
+    dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(dealt, [key, salt], "left").drop(salt)
+
+
+def ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df``, stored, with the long column ``name``: its rows' places from 1 in ``order``, which equal rows share out in any way. Rows are dealt out
+    by ranges of the order, numbered in their task, and moved up by the rows of the ranges before; one row per task is summed in one place."""
+    at = fresh_name(df, "at")
+    parts = df.repartitionByRange(shuffle_parts(df.sparkSession), *order).sortWithinPartitions(*order)
+    rows = stored(parts.withColumn(at, F.monotonically_increasing_id()), "ranked")
+    task, within = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), task == F.col("_task")).withColumn(name, F.col("_start") + within + 1).drop("_task", "_start", at)
+
+
 # ---- documents and what is known about them, brought together -----------------------------
 
 

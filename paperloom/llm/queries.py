@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, cuckoo, neighbours, packing, quality, simhash, suffixes, warc, windows
+from . import bpe, brown, cuckoo, divergence, importance, mixing, neighbours, packing, quality, simhash, suffixes, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_packing, op3_windows, op4_quality, op5_exact_dedup, op6_brown, op7_neighbours, op8_suffixes, op9_bpe, op10_simhash)
+    for f in (
+        op1_warc, op2_packing, op3_windows, op4_quality, op5_exact_dedup, op6_brown, op7_neighbours, op8_suffixes, op9_bpe, op10_simhash,
+        op11_mixing, op12_divergence, op13_importance,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +125,68 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d
     """,
+    "op11_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                          ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+                   FROM documents),
+        s AS (SELECT source, s, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS w
+              FROM (SELECT source, sum(size)::HUGEINT AS s FROM d GROUP BY source)),
+        o AS (SELECT *, coalesce(sum(3 * s) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS held,
+                     (sum(w) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS shares, (sum(s) OVER ())::HUGEINT AS total
+              FROM s WINDOW r AS (ORDER BY 3 * s::DOUBLE / w::DOUBLE, source)),
+        a AS (SELECT source, s, w, total, 3 * s * shares < w * (total - held) AS above FROM o),
+        t AS (SELECT source, s, CASE WHEN above OR total = 0 THEN (3 * s)::DOUBLE
+                                     ELSE (w * (total - (sum(CASE WHEN above THEN 3 * s ELSE 0 END) OVER ())::HUGEINT))::DOUBLE / (sum(CASE WHEN above THEN 0 ELSE w END) OVER ())::DOUBLE END AS target
+              FROM a),
+        b AS (SELECT source, s::BIGINT AS source_size, target, CASE WHEN s = 0 THEN 0 ELSE floor(target / s::DOUBLE) END::BIGINT AS times FROM t),
+        c AS (SELECT d.*, source_size, target, b.times, target - b.times * source_size::DOUBLE AS budget,
+                     sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS z
+              FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+        m AS (SELECT *, times + (CASE WHEN budget > 0 AND (upto <= budget OR upto - budget < budget - (upto - z)) THEN 1 ELSE 0 END) AS copies FROM c)
+        SELECT doc_id, source, size, source_size, target, copies::BIGINT AS times, (size * copies)::BIGINT AS taken FROM m
+    """,
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*)::BIGINT AS lang_c FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*)::BIGINT AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        f AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.lang_c,
+                     sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source) AS n, count(*) OVER (PARTITION BY g.lang, g.source) AS v
+              FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        t AS (SELECT lang, sum(lang_c) AS lang_n FROM k GROUP BY lang),
+        p AS (SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (lang_c + 5)) // (lang_n + 5 * v))::BIGINT AS q
+              FROM f JOIN t USING (lang)),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN (SELECT a.lang, a.source AS one, b.source AS other, sum(abs(a.p - b.p)) AS value
+                         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+                     ON s.lang = a.lang AND s.one = a.source AND s.other = b.source),
+        y AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM x UNION ALL FROM y))
+        WHERE part = 'pair' OR rank <= 50
+    """,
+    "op13_importance": r"""
+        WITH RECURSIVE step AS (SELECT i AS byte, i::UINTEGER AS c, 0 AS n FROM range(256) r(i)
+                                UNION ALL SELECT byte, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UINTEGER ELSE 0::UINTEGER END), n + 1 FROM step WHERE n < 8),
+        crc AS (SELECT list(c::BIGINT ORDER BY byte) AS tab FROM step WHERE n = 8),
+        d AS (SELECT row_number() OVER () AS row, doc_id, true AS own, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, false, text FROM benchmark),
+        w AS (SELECT row, own, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM d),
+        h AS (SELECT term, hex(encode(term)) AS x FROM (SELECT DISTINCT term FROM w)),
+        b AS (SELECT term, xor(4294967295, list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+                                   lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1]), 4294967295::BIGINT)) % 10000 AS bucket
+              FROM h, crc),
+        f AS (SELECT row, own, bucket FROM w JOIN b USING (term)),
+        n AS (SELECT bucket, (count(*) FILTER (own))::DOUBLE AS s, (count(*) FILTER (NOT own))::DOUBLE AS t FROM f GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((sum(s) OVER ()) + 10000) / ((s + 1) * ((sum(t) OVER ()) + 10000))))::BIGINT AS gain FROM n),
+        z AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE own GROUP BY row),
+        e AS (SELECT d.row, d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                     ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS noise
+              FROM d LEFT JOIN z USING (row) WHERE own),
+        r AS (SELECT *, weight + floor(-1000 * ln(-ln((noise + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+        q AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM r WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM r LEFT JOIN q USING (row)
+    """,
 }
