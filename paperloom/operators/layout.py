@@ -20,6 +20,57 @@ def box_columns(words: DataFrame) -> DataFrame:
     return words.withColumns({"xc": (F.col("x0") + F.col("x1")) / 2.0, "yc": (F.col("y0") + F.col("y1")) / 2.0, "h": F.greatest(F.col("y1") - F.col("y0"), F.lit(1))})
 
 
+# ---- fixed values: degrees between which a page is turned upright -----------------------------
+MIN_ANGLE, MAX_ANGLE = 0.3, 12.0
+# ---------------------------------------------------------------------------------------------
+
+
+def skew(words: DataFrame) -> DataFrame:
+    """(doc_id, page_no, slope, cx, cy): how steeply the lines of a page fall, and the middle of its words.
+
+    Words are followed in their order (``word_idx``) as long as each stands to the right of the one before, near it and not far above or below. Every such run has a
+    regression slope; runs within a degree or so of the median (by words) are pooled, each about its own mean, so that many short runs say as much as
+    a long one and strays say nothing. A page without a run of two words has slope 0."""
+    order = Window.partitionBy(*PAGE).orderBy("word_idx")
+    w = box_columns(words)
+    dx, dy = F.col("xc") - F.lag("xc").over(order), F.col("yc") - F.lag("yc").over(order)
+    gap, height = F.col("x0") - F.lag("x1").over(order), F.greatest("h", F.lag("h").over(order))
+    follows = (dx > 0) & (F.abs(dy) <= 0.27 * dx) & (gap < 5 * height)
+    w = w.withColumn("_run", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order))
+    n, mx, my = F.count("*"), F.avg("xc"), F.avg("yc")
+    runs = w.groupBy(*PAGE, "_run").agg(
+        n.alias("n"), (F.covar_pop("xc", "yc") * n).alias("sxy"), (F.var_pop("xc") * n).alias("sxx"), (mx * n).alias("x"), (my * n).alias("y"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+    )
+    some = F.col("sxx") > 0
+    slope = F.when(some, F.col("sxy") / F.col("sxx"))
+    pages = runs.groupBy(*PAGE).agg(
+        F.expr("percentile(if(sxx > 0, sxy / sxx, null), 0.5, n)").alias("middle"), F.collect_list(F.when(some, F.struct(slope.alias("slope"), "sxy", "sxx"))).alias("runs"),
+        ((F.min("x0") + F.max("x1")) / 2).alias("cx"), ((F.min("y0") + F.max("y1")) / 2).alias("cy"),
+    )
+    near = F.filter("runs", lambda r: F.abs(r["slope"] - F.col("middle")) <= 0.02)
+    zero = F.lit(0.0)
+    sums = [F.aggregate(near.getField(c), zero, lambda a, x: a + x) for c in ("sxy", "sxx")]
+    return pages.select(*PAGE, F.when(sums[1] > 0, sums[0] / sums[1]).otherwise(zero).alias("slope"), "cx", "cy")
+
+
+def upright(words: DataFrame) -> DataFrame:
+    """``words`` of pages that are turned by more than ``MIN_ANGLE`` and less than ``MAX_ANGLE`` degrees, turned back about the middle of the page; other pages as they are.
+
+    A box around a turned word is wider and higher than the word; the word's own width and height are computed back from it. Pages without words have no rows; a page of one word stays."""
+    angle = F.degrees(F.atan("slope"))
+    turned = words.join(skew(words), PAGE).withColumn("_on", (F.abs(angle) > MIN_ANGLE) & (F.abs(angle) < MAX_ANGLE))
+    c, s = F.cos(F.atan("slope")), F.sin(F.atan("slope"))
+    x, y = (F.col("x0") + F.col("x1")) / 2 - F.col("cx"), (F.col("y0") + F.col("y1")) / 2 - F.col("cy")
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    both = c * c - s * s
+    w, h = F.greatest((wide * c - high * F.abs(s)) / both, F.lit(1.0)), F.greatest((high * c - wide * F.abs(s)) / both, F.lit(1.0))
+    xc, yc = c * x + s * y + F.col("cx"), c * y - s * x + F.col("cy")
+    kinds = dict(words.dtypes)
+    placed = {"x0": xc - w / 2, "y0": yc - h / 2, "x1": xc + w / 2, "y1": yc + h / 2}
+    return turned.select(*(F.when(F.col("_on"), F.round(placed[k]).cast(kinds[k])).otherwise(F.col(k)).alias(k) if k in placed else F.col(k) for k in words.columns))
+
+
 def page_lines(words: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, y, h, x0, text, words): lines in order of their mean height, words from
     left to right.

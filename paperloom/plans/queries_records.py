@@ -143,6 +143,28 @@ def lines_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_lines(boxes).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "text", F.size("words").cast("long").alias("n_words"))
 
 
+@_query(r"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]'), lambda x: x <> '') AS ws FROM documents),
+    u AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w)
+    SELECT doc_id, (i // 12)::BIGINT AS line_no, string_agg(word, ' ' ORDER BY i) AS text, count(*)::BIGINT AS n_words FROM u GROUP BY ALL
+""")
+def lines_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as pages of twelve words a line, each page turned by up to eleven degrees, turned back by their words' boxes and clustered into lines."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.filter(F.split("text", "[ \n]"), lambda x: x != "")).alias("i", "text"))
+    angle = F.radians(F.pmod(F.col("doc_id").cast("long"), F.lit(23)) - 11)
+    column, line = F.col("i") % 12, F.floor(F.col("i") / 12).cast("int")
+    # a word is 90 wide and 24 high; its box after the turn about the origin
+    x, y, c, s = column * 100 + 45.0, line * 40 + 12.0, F.cos(angle), F.sin(angle)
+    xc, yc = c * x - s * y, s * x + c * y
+    wide, high = (90 * c + 24 * F.abs(s)) / 2, (24 * c + 90 * F.abs(s)) / 2
+    boxes = docs.select(
+        "doc_id", F.lit(1).alias("page_no"), F.col("i").alias("word_idx"), "text", *(F.round(v).cast("int").alias(k) for k, v in (("x0", xc - wide), ("y0", yc - high), ("x1", xc + wide), ("y1", yc + high))),
+        F.lit(100.0).alias("conf"),
+    )
+    lines = layout.page_lines(layout.upright(boxes))
+    return lines.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "text", F.size("words").cast("long").alias("n_words"))
+
+
 @_query(r"""
     WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]'), lambda x: x <> '') AS ws FROM documents),
     u AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w),

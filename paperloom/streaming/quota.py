@@ -1,8 +1,8 @@
 """A request quota: at most ``per_minute`` admitted calls in any rolling minute and ``per_day`` per calendar day in
 a time zone; a new day starts afresh. Refused calls do not count, so admission is a fold in time order.
 
-``admitted`` judges a table; days are independent, so each (key, day) is one pass over its ordered calls. ``admitted_stream`` is the
-same as a stateful stream operator. Both keep the last minute's admitted calls only.
+``admitted`` judges a table in rounds over all days at once; ``admitted_stream`` is the same as a stateful stream operator, which keeps the
+last minute's admitted calls only.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import fresh_name, quoted, stored, with_small
+
 PER_MINUTE, PER_DAY = 10, 20
 ZONE = "America/Los_Angeles"
 WINDOW_MICROS = 60_000_000
@@ -24,31 +25,83 @@ def quota_day(ts: Column, zone: str = ZONE) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone))
 
 
+#: Minutes of a day that one round of ``admitted`` looks ahead, and calls of a segment that it looks at, as a multiple of the calls of a minute.
+AHEAD, DEPTH = 32, 4
+
+
 def admitted(requests: DataFrame, per_minute: int = PER_MINUTE, per_day: int = PER_DAY, key: str | None = None, zone: str = ZONE) -> DataFrame:
-    """``requests`` (request_id, ts timestamp, ...) with ``admitted``, in time order, ties by id. Rows are judged one by one,
-    also where they share an id. Each (key, day) streams through one task in order, which remembers the last minute's
-    admitted calls only: name a ``key`` where there is more than one quota. A null ts is refused."""
-    own = ["_quota_day", "_quota_at", "_quota_key"]
-    rows = requests.withColumns({own[0]: quota_day(F.col("ts"), zone), own[1]: F.unix_micros("ts"), own[2]: F.col(key).cast("string") if key else F.lit("")})
-    dealt = rows.repartition(own[2], own[0]).sortWithinPartitions(own[2], own[0], own[1], "request_id")
-    kept = len(requests.columns)
-
-    def run(batches):
-        group, recent, count = None, [], 0
-        for b in batches:
-            verdicts = []
-            for day, at, name in zip(*(b.column(kept + k).to_pylist() for k in range(3)), strict=True):
-                if (name, day) != group:
-                    group, recent, count = (name, day), [], 0
-                recent = [t for t in recent if at - t < WINDOW_MICROS] if recent else recent
-                yes = at is not None and len(recent) < per_minute and count < per_day
-                if yes:
-                    recent.append(at)
-                    count += 1
-                verdicts.append(yes)
-            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(verdicts, pa.bool_())], names=[*b.schema.names[:kept], "admitted"])
-
-    return dealt.mapInArrow(run, T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())]))
+    """``requests`` (request_id, ts timestamp, ...) with ``admitted``. Calls count in the order of time, ties by id; rows are judged one by one, also where they
+    share both, in any order. Name a ``key`` where there is more than one quota; null keys share one. A null ts is refused. Columns may have any names.
+
+    No day is one task's. While a quota is used up, the time at which it frees is known, and at which it frees after that nearly: it is a minute after an
+    admitted call. So a day is cut into segments at these times and a minute, two ... ``AHEAD - 1`` minutes after them, and only the first calls of every segment are of interest, which
+    Spark finds in each task before it exchanges any. They are judged in order by one pass over an array as long as segments allow,
+    up to the first place where a call that was not looked at could have been admitted; the next round goes on from there. A round covers ``AHEAD`` minutes of a crowded
+    day, all of a quiet one, and at least ``DEPTH`` times ``per_minute`` calls. The requests, and each round's states and admitted rows, are stored; this runs at the call."""
+    day, at, group, row, yes = (fresh_name(requests, n) for n in ("day", "at", "group", "row", "yes"))
+    name = F.coalesce(F.col(quoted(key)).cast("string"), F.lit("")) if key else F.lit("")
+    rows = requests.withColumns({day: quota_day(F.col("ts"), zone), at: F.unix_micros("ts"), row: F.monotonically_increasing_id()})
+    rows = stored(rows.withColumn(group, F.concat_ws(" ", F.col(day).cast("string"), name)), "requests")
+    calls = rows.where(F.col(at).isNotNull()).select(F.col(group).alias("group"), F.col(at).alias("at"), F.col("request_id").alias("id"), F.col(row).alias("row"))
+    found = _rounds(calls, per_minute, per_day) if min(per_minute, per_day) > 0 else calls.select("row").limit(0)
+    found = stored(found.select(F.col("row").alias(row), F.lit(True).alias(yes)), "admitted")
+    judged = with_small(rows, found, row, row)  # a row's number is no common key
+    return judged.select(*(F.col(quoted(c)) for c in requests.columns), F.coalesce(yes, F.lit(False)).alias("admitted"))
+
+
+def _rounds(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
+    """(row) of the admitted ones of ``calls`` (group, at, id, row)."""
+    number = T.StructType([f for f in calls.schema if f.name in ("at", "id", "row")])
+    order = F.struct("at", "id", "row")
+    nothing = F.expr("cast(array() as array<bigint>)")
+    firsts = calls.groupBy("group").agg(F.min("at").alias("first"))
+    state = stored(firsts.select("group", F.array("first").alias("anchors"), nothing.alias("recent"), F.lit(0).alias("n"), F.lit(None).cast(number).alias("upto")), "quota")
+    done = None
+    while True:
+        least = _candidates(with_small(calls, state, "group", "row"), order, DEPTH * per_minute + 1)
+        ordered = F.array_sort(F.collect_list(F.struct(order.alias("call"), "edge")))
+        judged = least.groupBy("group").agg(ordered.alias("calls"), *(F.first(c).alias(c) for c in ("recent", "n")))
+        judged = stored(judged.select("group", _judge("calls", per_minute, per_day).alias("s")), "judged")
+        some = judged.select(F.explode("s.got").alias("row"))
+        done = some if done is None else done.unionByName(some)
+        anchors = F.when(F.size("recent") >= per_minute, F.transform("recent", lambda t: t + WINDOW_MICROS)).otherwise(F.array("upto.at"))
+        state = judged.where("s.stopped").select("group", "s.*").select("group", anchors.alias("anchors"), "recent", "n", "upto")
+        if state.isEmpty():
+            return done
+
+
+def _candidates(rows: DataFrame, order: Column, most: int) -> DataFrame:
+    """The first ``most`` calls of every segment that are still to be judged; the last of so many has the ``edge`` at which its segment ends."""
+    at, anchors = F.col("at"), F.col("anchors")
+    # anchors are in order and less than a window apart; only calls from the first on can be admitted
+    todo = rows.where(anchors.isNotNull() & (at >= anchors[0]) & (F.col("upto").isNull() | (order > F.col("upto"))))
+    minute = F.least(F.call_function("div", at - anchors[0], F.lit(WINDOW_MICROS)), F.lit(AHEAD - 1))
+    todo = todo.withColumn("minute", minute)
+    todo = todo.withColumn("phase", F.size(F.filter(anchors, lambda a: a + F.col("minute") * WINDOW_MICROS <= at)))
+    turn = F.coalesce(F.get(anchors, F.col("phase")), anchors[0] + WINDOW_MICROS) + F.col("minute") * WINDOW_MICROS
+    last = (F.col("minute") == AHEAD - 1) & (F.col("phase") == F.size(anchors))
+    place = F.row_number().over(Window.partitionBy("group", "minute", "phase").orderBy("at", "id", "row"))
+    ends = F.when(last, F.lit(9223372036854775807)).otherwise(turn)
+    return todo.withColumns({"place": place, "ends": ends}).where(F.col("place") <= most).withColumn("edge", F.when(F.col("place") == most, F.col("ends")))
+
+
+def _judge(calls: str, per_minute: int, per_day: int) -> Column:
+    """The fold: (recent, n, upto, got, stopped) after the calls in order, from the columns recent and n."""
+    text = f"""
+        aggregate({calls},
+          named_struct('recent', recent, 'n', n, 'upto', {calls}[0].call, 'got', cast(array() as array<bigint>), 'stopped', false),
+          (a, c) -> if(a.stopped, a,
+            transform(array(filter(a.recent, t -> c.call.at - t < {WINDOW_MICROS})), live ->
+              transform(array(size(live) < {per_minute} and a.n < {per_day}), yes ->
+                transform(array(if(yes, concat(live, array(c.call.at)), live)), now -> named_struct(
+                  'recent', now,
+                  'n', if(yes, a.n + 1, a.n),
+                  'upto', c.call,
+                  'got', if(yes, concat(a.got, array(c.call.row)), a.got),
+                  'stopped', coalesce(if(yes, a.n + 1, a.n) < {per_day} and (size(now) < {per_minute} or now[0] + {WINDOW_MICROS} < c.edge), false) and c.edge is not null
+                ))[0])[0])[0]))
+    """
+    return F.expr(text)
 
 
 def first_of_day(requests: DataFrame, per_day: int = PER_DAY, zone: str = ZONE) -> DataFrame:
