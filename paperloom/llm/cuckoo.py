@@ -186,12 +186,16 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of every text, with all their columns."""
+    """The rows of ``docs`` that stay, one of every text, with all their columns. Of rows that share text and id one whose text isn't null stays, of several such
+    the least as JSON."""
     own, content, keep, rows = (fresh_name(docs, n) for n in ("own", "content", "keep", "rows"))
     text = F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")
     key = F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")))
     kept = classes(digests(docs, id_col, text_col)).select(F.col("content").alias(content), F.col("keep_id").alias(keep), F.col("keep_rows").alias(rows))
     # copies have ids of their own, so that a common text is no common key
     met = docs.withColumn(own, key).join(kept, (F.col(own) == F.col(content)) & F.col(quoted(id_col)).cast("long").eqNullSafe(F.col(keep)))
-    once, often = met.where(F.col(rows) == 1), met.where(F.col(rows) > 1).dropDuplicates([own])
-    return once.unionByName(often).select(*(quoted(c) for c in docs.columns))
+    every = F.struct(*(F.col(quoted(c)) for c in docs.columns))
+    # a text that isn't null first, then the least row as JSON: a rerun keeps the same
+    least = F.min_by(every, F.struct(F.col(quoted(text_col)).isNull(), F.to_json(every)))
+    once, often = met.where(F.col(rows) == 1), met.where(F.col(rows) > 1).groupBy(own).agg(least.alias(keep)).select(f"{quoted(keep)}.*")
+    return once.select(*(F.col(quoted(c)) for c in docs.columns)).unionByName(often)

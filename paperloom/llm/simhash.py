@@ -10,11 +10,12 @@ outside, and a visitor goes on to every side that its bound allows: each near pa
 its own points and to its visitors. A shard sends on a spanning forest of its links, at most one row per point, never its
 pairs. Forests of all shards join in ``components``.
 
-``deduplicate`` with ``share`` links documents by their estimated Jaccard similarity instead (0.8 in the pipeline). Its radius, 38 of
-256 bits, is wider than the distance between random points differs, so that no ball prunes anything; there shards are the
-documents that have one of their ``LEAST`` least shingles in common. Shingles that a bounded sample shows in many documents are no
-shard's key, except for documents that consist of them, so that a common line brings no unrelated documents together. Trees, forests and
-components are the same. Which pairs meet and link is a matter of chance near the share asked for; the README has figures.
+``deduplicate`` with ``share`` links documents whose sets of shingles have at least that Jaccard similarity (0.8 in the pipeline), exactly. Such sets
+are found in two steps. Candidates are documents that agree in one of ``BANDS`` keys of ``ROWS`` minimum hashes each and
+whose 256-bit fingerprints of distinct shingles differ in no more than ``LOOSE`` bits; at a similarity of 0.8 a pair misses all
+keys with a chance of 2 in 10,000 and the fingerprints with one below 1 in 10 million. Components of candidates are loose groups: each brings its sets together once, dealt
+out as pairs of blocks of bounded size, and only pairs whose sets, compared in full, reach the share are links (``confirmed``). So no document goes that isn't
+that similar to another one of its component. Sets are known by 64-bit hashes of shingles.
 
 Null texts are empty; a document without words has fingerprint 0 and is linked like any other. Documents of
 fewer than ``width`` words are one shingle. Repeated rows fall on one point. Rows without an id are linked too, but name a component only
@@ -25,7 +26,7 @@ names. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, byte_texts, fresh_name, lower_ascii, mix64, quoted, ready, shuffle_parts, stored, tidy, words_of
+from .common import BROADCAST_ROWS, batch, byte_texts, fresh_name, lower_ascii, mix64, quoted, ready, shuffle_parts, stored, tidy, with_small, words_of
 from .components import components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: Points compared outright; home points of a shard; sampled points per shard; least and most shards; rows of a shard that one task takes.
 LEAF, SHARD, PER_SHARD, LEAST_SHARDS, MOST_SHARDS, BLOCK = 256, 1 << 15, 32, 32, 1 << 14, 1 << 20
-#: Linking by similarity: words of a fingerprint, least shingles; documents sampled for common shingles, in how many of these a shingle
-#: is common, and how many such are kept.
-WIDE, LEAST, SAMPLE, OFTEN, COMMON = 4, 4, 5000, 5, 100_000
+#: Linking by similarity: 64-bit words of a fingerprint; keys, and minimum hashes of each; bits that candidates differ in at most (the distance at a similarity
+#: of 0.8 has mean 39 and deviation 6); sets of fewer shingles are candidates by their keys alone, as their fingerprints are too coarse.
+WIDE, BANDS, ROWS, LOOSE, FEW = 4, 12, 3, 70, 80
+#: Candidates of a key that one task takes; bytes of sets of a block; sets of a tile, and columns of the matrix that compares two tiles.
+KEY_BLOCK, SET_BYTES, TILE, COLUMNS = 1 << 14, 32 << 20, 256, 4096
 
 
 # ---- fingerprints -------------------------------------------------------------------------
@@ -94,11 +97,6 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
     return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
-def similarity_radius(share: float, bits: int = 64 * WIDE) -> int:
-    """The distance of two fingerprints whose sets, equally large, have Jaccard similarity ``share``."""
-    return math.floor(bits * math.acos(2 * share / (1 + share)) / math.pi)
-
-
 # ---- links within a shard -----------------------------------------------------------------
 
 
@@ -388,62 +386,183 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _common(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that at least ``OFTEN`` documents of a sample have, sorted: ``COMMON`` at most."""
-    every = max(1, docs.count() // SAMPLE)
-    schema = pa.schema([("h", pa.int64())])
+# ---- groups of documents by the similarity of their sets ----------------------------------
+
+_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set of hashes, each of ``ROWS`` minimum hashes; none for no shingle."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[k : k + 4096, None] * _FACTORS).min(0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) ^ row)
+    return keys
+
+
+def _tagged(docs: DataFrame, width: int, exact: bool, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` with the key of their content (the fingerprint, or with ``exact`` a hash of the set of shingles), the fingerprint, the number of distinct shingles and the
+    keys of ``band_keys`` (none without ``exact``)."""
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            for t in byte_texts(b.column(0)):
-                yield batch(schema, np.unique(shingle_hashes(t, width)).view(np.int64))
+            rows = []
+            for t in byte_texts(b.column(at)):
+                h = shingle_hashes(t, width)
+                if exact:
+                    h = np.unique(h)
+                    rows.append((xxhash.xxh3_128_digest(h.tobytes()), wide_fingerprint(h), len(h), band_keys(h).view(np.int64)))
+                else:
+                    m = majority(h)
+                    rows.append((m, m, len(h), []))
+            key, fp, n, keys = zip(*rows, strict=True) if rows else ((),) * 4
+            more = pa.array(key, pa.binary()), pa.array(fp, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    counts = sample.mapInArrow(tidy(run), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
-    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    added = zip(names, (T.BinaryType(), T.BinaryType(), T.LongType(), T.ArrayType(T.LongType())), strict=True)
+    return ready(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added)]))
 
 
-def least_shingles(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The ``LEAST`` least distinct shingles that are not common and, if these are fewer than three in five, the least of all
-    too; [0] for a text without words."""
-    s = np.unique(hashes)
-    if not len(s):
-        return np.zeros(1, np.uint64)
-    rare = s[~np.isin(s, common)] if len(common) else s
-    out = rare[:LEAST]
-    return out if 5 * len(rare) >= 3 * len(s) else np.union1d(out, s[:LEAST])
+_SETS = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("fp", pa.binary()), ("members", pa.binary())])
+_SETS_DDL = "label long, node long, fp binary, members binary"
 
 
-def _tagged(docs: DataFrame, width: int, wide: bool, names: tuple[str, str, str]) -> DataFrame:
-    """``docs`` with a node (the fingerprint as a long, of wide ones its hash), the fingerprint and, of wide ones, least shingles."""
-    at = docs.columns.index("text")
-    common = _common(ready(docs), width) if wide else np.zeros(0, np.uint64)
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(label, node, fp, members) of (label, node, fp, text): the sorted set, packed."""
 
     def run(batches):
         for b in batches:
-            hashes = [shingle_hashes(t, width) for t in byte_texts(b.column(at))]
-            prints = [wide_fingerprint(h) if wide else majority(h) for h in hashes]
-            nodes = [xxhash.xxh64_intdigest(x, SEED) if wide else int.from_bytes(x, "big") for x in prints]
-            firsts = [least_shingles(h, common).view(np.int64) if wide else [] for h in hashes]
-            more = pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
-
-    added = zip(names, (T.LongType(), T.BinaryType(), T.ArrayType(T.LongType())), strict=True)
-    return ready(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+            yield batch(_SETS, b.column(0), b.column(1), b.column(2), [np.unique(shingle_hashes(t, width)).tobytes() for t in byte_texts(b.column(3))])
+
+    return texts.mapInArrow(tidy(run), _SETS_DDL)
+
+
+def similar_pairs(fps: np.ndarray, sets: list[np.ndarray], first: np.ndarray, share: Fraction, forest: Forest) -> None:
+    """Link all sets that share ``share`` of what either has: of pairs with one ``first`` and one other, or of all pairs where ``first`` is true everywhere. Pairs that are
+    linked already, or whose sizes or fingerprints rule it out, are not compared. Tiles with many pairs are compared by one product of incidence matrices."""
+    top, base = share.numerator, share.denominator
+    size = np.array([len(x) for x in sets], np.int64)
+    every, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a shingle of one set only is in no intersection
+    number = np.cumsum(often > 1) - 1
+    edges = np.concatenate([[0], np.cumsum(size)])
+    columns = [number[c[often[c] > 1]] for c in (column[a:b] for a, b in zip(edges, edges[1:], strict=False))]
+    total = int((often > 1).sum())
+    del every, column, number
+    one, other = np.flatnonzero(first), np.flatnonzero(~first)
+    within = not len(other)
+    other = one if within else other
+    one, other = one[np.argsort(size[one], kind="stable")], other[np.argsort(size[other], kind="stable")]
+
+    def dense(rows: np.ndarray, low: int, wide: int) -> np.ndarray:
+        out = np.zeros((len(rows), wide), np.float32)
+        for k, r in enumerate(rows.tolist()):
+            a, b = np.searchsorted(columns[r], [low, low + wide])
+            out[k, columns[r][a:b] - low] = 1
+        return out
+
+    for k in range(0, len(one), TILE):
+        for m in range(k if within else 0, len(other), TILE):
+            i, j = one[k : k + TILE], other[m : m + TILE]
+            maybe = forest.roots(i)[:, None] != forest.roots(j)[None, :]
+            maybe &= (np.minimum(size[i][:, None], size[j]) * base >= np.maximum(size[i][:, None], size[j]) * top) & (size[i] > 0)[:, None]
+            if not maybe.any():
+                continue
+            far = np.zeros(maybe.shape, np.uint16)
+            for w in range(fps.shape[1]):
+                far += np.bitwise_count(fps[i, w][:, None] ^ fps[j, w][None, :])
+            maybe &= (far <= LOOSE) | (np.minimum(size[i][:, None], size[j]) < FEW)
+            rows, cols = maybe.any(1), maybe.any(0)
+            i, j, maybe = i[rows], j[cols], maybe[np.ix_(rows, cols)]
+            if maybe.sum() <= 4 * (len(i) + len(j)):
+                for x, y in np.argwhere(maybe).tolist():
+                    x, y = int(i[x]), int(j[y])
+                    if forest._root(x) != forest._root(y):
+                        both = len(np.intersect1d(columns[x], columns[y], assume_unique=True))
+                        if both * base >= top * (size[x] + size[y] - both):
+                            forest._join(x, y)
+                continue
+            both = np.zeros(maybe.shape, np.float64)
+            for low in range(0, total, COLUMNS):
+                both += dense(i, low, min(COLUMNS, total - low)) @ dense(j, low, min(COLUMNS, total - low)).T
+            both = np.rint(both).astype(np.int64)
+            forest.link(i, j, maybe & (both * base >= top * (size[i][:, None] + size[j] - both)))
+
+
+def confirmed(sets: DataFrame, share: Fraction, set_bytes: int = SET_BYTES) -> DataFrame:
+    """(u, v) links between nodes of ``sets`` (label, node, fp, members; stored) that span, within each label, the components of sets with at least ``share`` in common."""
+    sizes = sets.groupBy("label").agg(F.sum(F.octet_length("members")).alias("bytes")).where(F.col("bytes") > set_bytes)
+    split = stored(sizes.select("label", F.ceil(F.col("bytes") / set_bytes).cast("int").alias("s")), "large")
+    mine = with_small(sets, split, "label", "node").withColumn("s", F.coalesce("s", F.lit(1)))
+    mine = mine.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.select("label", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "mine", "fp", "members")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def group(key: tuple, rows: list[tuple]):
+        if len(rows) < 2:
+            return
+        rows.sort(key=lambda r: r[0])
+        nodes, first = np.array([r[0] for r in rows], np.int64), np.array([r[1] == key[1] for r in rows])
+        if key[1] != key[2] and first.all():
+            return
+        forest = Forest(len(rows))
+        similar_pairs(np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1), [np.frombuffer(r[3], np.uint64) for r in rows], first, share, forest)
+        root = forest.roots(np.arange(len(rows)))
+        moved = np.flatnonzero(root != np.arange(len(rows)))
+        yield batch(schema, nodes[moved], nodes[root[moved]])
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, share: float | None = None, block: int = BLOCK) -> DataFrame:
+    def run(batches):
+        key, rows = None, []
+        for b in batches:
+            for label, a, c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if key != (label, a, c):
+                    yield from group(key, rows)
+                    key, rows = (label, a, c), []
+                rows.append(row)
+        yield from group(key, rows)
+
+    parts = dealt.repartition(2 * shuffle_parts(sets.sparkSession), "label", "a", "b").sortWithinPartitions("label", "a", "b")
+    return parts.mapInArrow(tidy(run), "u long, v long")
+
+
+def _similar(tagged: DataFrame, points: DataFrame, names: tuple[str, ...], row: str, width: int, share: float, key_block: int, set_bytes: int) -> DataFrame:
+    """(u, v) confirmed links between ``points`` (node, fp, n, keys)."""
+    few = F.col("n") < FEW
+    keyed = points.select(F.explode("keys").alias("key"), "node", "fp", few.alias("few"))
+    zero = F.unhex(F.lit("00" * 8 * WIDE))
+    # few shingles: also under a key of their own, where fingerprints don't count
+    alike = keyed.where("few").select(F.bitwise_not("key").alias("key"), F.lit(True).alias("own"), "node", zero.alias("fp"))
+    rows = stored(keyed.select("key", F.lit(True).alias("own"), "node", "fp").unionByName(alike), "keys")
+    loose = stored(components(meet(rows, LOOSE, key_block)).select("id", F.col("component_id").alias("label")), "loose")
+    # every id but the least of a component has a row
+    members = loose.unionByName(loose.select(F.col("label").alias("id"), "label").distinct()).distinct()
+    text = tagged.select(F.col(row).alias("node"), F.col(names[1]).alias("fp"), "text")
+    met = text.join(F.broadcast(members) if loose.count() <= BROADCAST_ROWS // 2 else members, F.col("node") == F.col("id"))
+    sets = stored(_sets(met.select("label", "node", "fp", "text"), width), "sets")
+    return confirmed(sets, Fraction(share).limit_denominator(1000), set_bytes)
+
+
+def deduplicate(
+    docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, share: float | None = None, block: int = BLOCK, key_block: int = KEY_BLOCK, set_bytes: int = SET_BYTES
+) -> DataFrame:
     """One row of ``docs`` for every component, with all its columns: components of fingerprints within ``radius`` or, if ``share`` is
-    given, of documents whose shingle sets have about that Jaccard similarity or more."""
-    node, fp, least, row, keep = (fresh_name(docs, n) for n in ("node", "fp", "least", "row", "keep"))
-    tagged = stored(_tagged(docs, width, share is not None, (node, fp, least)).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    given, of documents whose sets of shingles have that Jaccard similarity or more."""
+    row, keep, *names = (fresh_name(docs, n) for n in ("row", "keep", "key", "fp", "n", "keys"))
+    tagged = stored(_tagged(docs, width, share is not None, tuple(names)).withColumn(row, F.monotonically_increasing_id()), "tagged")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row")).alias("rank")
-    points = stored(tagged.groupBy(F.col(node).alias("node")).agg(F.min(rank).alias("rank"), F.min(fp).alias("fp"), F.min(least).alias("least")), "points")
+    firsts = tagged.groupBy(names[0]).agg(F.min(rank).alias("rank"), *(F.first(n).alias(c) for n, c in zip(names[1:], ("fp", "n", "keys"), strict=True)))
     if share is None:
+        fp = F.conv(F.hex(names[0]), 16, -10).cast("long")
+        points = stored(firsts.select(fp.alias("node"), "rank"), "points")
         found = links(points.select(F.col("node").alias("fp")), radius, block=block)
     else:
-        met = points.select(F.explode("least").alias("key"), F.lit(True).alias("own"), "node", "fp")
-        found = meet(stored(met, "shards"), similarity_radius(share, 64 * WIDE), block)
-    kept = _named(points, found, "node", "rank").where(F.col("rank") == F.col("_least")).select(F.col("rank.row").alias(keep))
+        points = stored(firsts.select(F.col("rank.row").alias("node"), "rank", "fp", "n", "keys"), "points")
+        found = _similar(tagged, points, tuple(names), row, width, share, key_block, set_bytes)
+    kept = _named(points.select("node", "rank"), found, "node", "rank").where(F.col("rank") == F.col("_least")).select(F.col("rank.row").alias(keep))
     return tagged.join(kept, F.col(row) == F.col(keep), "left_semi").select(*(F.col(quoted(c)) for c in docs.columns))

@@ -10,6 +10,7 @@ from zlib import crc32
 
 import pytest
 
+from paperloom import shared
 from paperloom.llm import common, divergence, importance, mixing
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,7 +68,7 @@ def size_of(text):
 
 @pytest.mark.parametrize("weights, most, broadcast", [((1, 2, 3), 3, 50_000), ((5, 1), 2, 0), ((1,), 1, 50_000)])
 def test_mix_meets_its_targets(docs, rows, weights, most, broadcast, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     got = mixing.mixed(docs, weights, most).collect()
     assert sorted(map(repr, [(r.doc_id, r.source, r["size"]) for r in got])) == sorted(map(repr, [(i, s, size_of(t)) for i, t, _, s, *_ in rows]))
     sizes, longest = Counter(), Counter()
@@ -166,7 +167,7 @@ def brute_audit(rows, least, top):
 def test_divergence(docs, rows, least, top, block, slices, held, broadcast, monkeypatch):
     """Also with blocks of two groups, small slices, and tasks that empty their counts again and again."""
     monkeypatch.setattr(divergence, "HELD", held)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     got = sorted(tuple(r) for r in divergence.audit(docs, least, top, block, slices).select("lang", "source", "part", "item", "value", "rank").collect())
     assert got == brute_audit(rows, least, top)
 
