@@ -19,7 +19,8 @@ every repeat, with about one suffix in 27 bytes, and every start of a string bel
 
 A hash collision cannot make different strings equal, as classes compare bytes. Null texts are empty;
 texts shorter than ``LENGTH`` lose nothing; matches never cross documents. Overlapping repeats within a text count.
-Rows repeated with one doc_id: equal rows are judged as one document, each is cut alike. An empty table gives an empty
+Rows of one doc_id with equal texts are judged as one document, each is cut alike; with different texts they are documents of their own, in the order
+of a hash of their texts (``apart``). Rows without an id are neither cut nor a reason to cut. An empty table gives an empty
 result. ``deduplicate`` carries other columns along; a text cut within a character loses that character's other bytes too,
 so that it stays valid UTF-8.
 """
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Pieces, batch, by_bucket, byte_texts, discard, met, mix64, parted, planes, ready, shuffle_parts, stored, tidy, unplanes, with_bucket
+from .common import Pieces, batch, by_bucket, byte_texts, discard, fresh_name, met, mix64, parted, planes, quoted, ranked, ready, shuffle_parts, stored, tidy, unplanes, with_bucket
 from .windows import BASE, INVERSE, _power, compressed, expand
 
 LENGTH, ANCHOR = 100, 48
@@ -460,8 +461,31 @@ def cut(text: bytes, removed: np.ndarray) -> bytes:
     return b"".join(kept)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs``, and None where no two different texts share an id. Else ``docs`` with other ids in the same order, one for every id and
+    text, and a table (own, old) of these ids."""
+    own, mark, same = (fresh_name(docs, n) for n in ("own", "mark", "same"))
+    of_text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    known = docs.where("doc_id is not null").select(F.col("doc_id").alias(same), of_text.alias(mark))
+    if known.groupBy(same).agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").isEmpty():
+        return docs, None
+    placed = stored(ranked(known.distinct(), own, same, mark), "apart")
+    met_ = docs.withColumn(mark, of_text).join(placed.withColumnRenamed(mark, own + "_mark"), (F.col("doc_id") == F.col(same)) & (F.col(mark) == F.col(own + "_mark")), "left")
+    return met_.select(*(F.col(own).alias(c) if c == "doc_id" else F.col(quoted(c)) for c in docs.columns)), placed.select(F.col(own).alias("own"), F.col(same).alias("old"))
+
+
+def _with_old(result: DataFrame, back: DataFrame | None) -> DataFrame:
+    """``result`` with the ids that ``apart`` replaced."""
+    if back is None:
+        return result
+    own, old = fresh_name(result, "own"), fresh_name(result, "old")
+    met_ = result.join(back.toDF(own, old), F.col("doc_id") == F.col(own), "left")
+    return met_.select(*(F.col(old).alias(c) if c == "doc_id" else F.col(quoted(c)) for c in result.columns))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
+    docs, back = apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
@@ -479,12 +503,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
     parts = shuffle_parts(docs.sparkSession)
     joined = met(with_bucket(compressed(docs), parts), lost_starts(docs, parts), parts)
-    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_old(joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), back)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated strings cut out of their texts; all columns stay, n_chars follows the text."""
     names = docs.columns
+    docs, back = apart(docs)
     parts = shuffle_parts(docs.sparkSession)
     joined = met(with_bucket(docs, parts), lost_starts(docs, parts), parts)
     at, own = names.index("text"), names.index("doc_id")
@@ -504,5 +529,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 out.append(cut(text, removed).decode("utf-8", "ignore") if valid else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, column.type), *b.columns[at + 1 : len(names)]], names=names)
 
-    cut_docs = joined.mapInArrow(tidy(run), docs.schema)
+    cut_docs = _with_old(joined.mapInArrow(tidy(run), docs.schema), back)
     return cut_docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else cut_docs

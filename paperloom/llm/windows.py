@@ -13,8 +13,9 @@ hashes, and merge all repeated windows into maximal removal intervals.
 Two windows are taken as equal when both hashes are equal, 96 bits; the chance that any two of n different
 windows agree is about n^2 / 2^97 (below 0.002 for the 10^13 windows of 100 TB).
 
-Null and empty texts have no words. Documents shorter than the window lose nothing. Repeated rows of one
-doc_id never remove each other's words, as only smaller ids count. An empty table gives an
+Null and empty texts have no words. Documents shorter than the window lose nothing. Rows that share a
+doc_id, whether their texts are equal or not, never remove each other's words, as only smaller ids count, and each loses the words of its own windows: what
+a block settles carries a hash of its text. Rows without an id neither lose words nor cause a loss. An empty table gives an
 empty result. Other columns are ignored, whatever their names.
 """
 
@@ -117,6 +118,11 @@ def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[last] + window
 
 
+def mark_of(text: bytes) -> int:
+    """What tells rows that share an id apart."""
+    return xxhash.xxh3_64_intdigest(text)
+
+
 def squeezed(values: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
     """Byte planes as a zstandard frame: few bits of a sorted hash or of a document's id are news."""
     return press.compress(planes(values))
@@ -124,12 +130,12 @@ def squeezed(values: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
 
 def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> DataFrame:
     """(part, settled, a, b): a run of a block's entries for one range of hashes (a: hashes, b: documents), or, if
-    settled, what a block settles for a bucket of documents (a: documents, b: first and last covered word). c: second hashes."""
+    settled, what a block settles for a bucket of documents (a: documents, b: first and last covered word, mark of the text). c: second hashes."""
     schema = pa.schema([("part", pa.int32()), ("settled", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
-    def block(ids: list[int], hashes: list[tuple[np.ndarray, np.ndarray]], press: zstandard.ZstdCompressor):
+    def block(ids: list[int], marks: list[int], hashes: list[tuple[np.ndarray, np.ndarray]], press: zstandard.ZstdCompressor):
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        ids_sorted = np.array([ids[k] for k in order], np.int64)
+        ids_sorted, marks_sorted = np.array([ids[k] for k in order], np.int64), np.array([marks[k] for k in order], np.uint64).view(np.int64)
         sizes = np.array([len(hashes[k][0]) for k in order])
         flat, second = (np.concatenate([hashes[k][x] for k in order]) for x in (0, 1))
         begin = np.cumsum(sizes) - sizes
@@ -144,8 +150,8 @@ def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> D
             gap = (np.diff(lost) > window) | (np.diff(row[lost]) != 0)
             first, last = lost[np.concatenate([[True], gap])], lost[np.concatenate([gap, [True]])]
             doc = ids_sorted[row[first]]
-            spans = by_bucket(doc, doc_buckets, first - begin[row[first]], last - begin[row[first]] + window)
-            rows += [(k, True, planes(i), planes(np.concatenate([a, b])), None) for k, i, a, b in spans]
+            spans = by_bucket(doc, doc_buckets, first - begin[row[first]], last - begin[row[first]] + window, marks_sorted[row[first]])
+            rows += [(k, True, planes(i), planes(np.concatenate([a, b, m])), None) for k, i, a, b, m in spans]
         h, d, s = flat_s[new], doc_s[new], second_s[new]
         bounds = np.searchsorted(h, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)))
         edges = [0, *bounds.tolist(), len(h)]
@@ -154,19 +160,20 @@ def _candidates(docs: DataFrame, window: int, parts: int, doc_buckets: int) -> D
 
     def run(batches):
         known, press = WordHashes(), zstandard.ZstdCompressor(level=1, write_content_size=True)
-        ids, hashes, size = [], [], 0
+        ids, marks, hashes, size = [], [], [], 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
                 got = window_hashes(known.of(words_of(text)), window)
                 if len(got[0]) and i is not None:
                     ids.append(i)
+                    marks.append(mark_of(text))
                     hashes.append(got)
                     size += len(got[0])
                 if size >= BLOCK_WINDOWS:
-                    yield block(ids, hashes, press)
-                    ids, hashes, size = [], [], 0
+                    yield block(ids, marks, hashes, press)
+                    ids, marks, hashes, size = [], [], [], 0
         if ids:
-            yield block(ids, hashes, press)
+            yield block(ids, marks, hashes, press)
 
     return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "part int, settled boolean, a binary, b binary, c binary")
 
@@ -234,7 +241,10 @@ def expand(frame: bytes, press: zstandard.ZstdDecompressor) -> bytes:
 def removed_words(text: bytes, spans: tuple | None, hashes: tuple | None, known: WordHashes, window: int = WINDOW) -> tuple[list[bytes], np.ndarray]:
     """The words of a document and its maximal removal intervals, as rows (from, to)."""
     words = words_of(text)
-    a, b = spans or (np.zeros(0, np.int64),) * 2
+    a, b = np.zeros((2, 0), np.int64)
+    if spans:
+        own = spans[2] == np.uint64(mark_of(text)).view(np.int64)
+        a, b = spans[0][own], spans[1][own]
     if hashes:
         h, s = window_hashes(known.of(words), window)
         lost = np.flatnonzero(np.isin(h, hashes[0]))
@@ -258,7 +268,7 @@ def _cut(batches, window: int):
         docs, packed = parted(b)
         for ids, x, h, s in packed:
             if x is not None:
-                spans.add(unplanes(ids, np.int64), *unplanes(x, np.int64).reshape(2, -1))
+                spans.add(unplanes(ids, np.int64), *unplanes(x, np.int64).reshape(3, -1))
             else:
                 hashes.add(unplanes(ids, np.int64), unplanes(h, np.uint64), unplanes(s, np.uint32))
         for i, text in zip(*(c.to_pylist() for c in docs.columns), strict=True):
