@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..options import Options
 
 # ---- fixed values: leading bytes, limits, messages ------------------------------------------
-MAX_UPLOAD_BYTES = 15 << 20
 MAX_UNPACKED_BYTES = 200 << 20
-MAX_PAGES, MIN_TEXT_WORDS, MAX_BATCH_FILES = 10, 15, 10
+MIN_TEXT_WORDS = 15
 LEADING = [("pdf", "255044462D"), ("jpeg", "FFD8FF"), ("png", "89504E470D0A1A0A"), ("tiff", "49492A00"), ("tiff", "4D4D002A")]
 UNSUPPORTED = "Unsupported file type (expected JPEG, PNG, TIFF, WEBP, PDF or DOCX)"
 TOO_LARGE_UNPACKED = "DOCX is too large when decompressed"
@@ -62,15 +62,17 @@ def sniffed(files: DataFrame) -> DataFrame:
     return both.withColumns({"error": error, "kind": F.when(error.isNull(), F.col("kind"))})
 
 
-def uploads(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+def uploads(spark: SparkSession, path: str, max_bytes: int | None = None, options: Options = Options()) -> DataFrame:
     """(doc_id, filename, length, content, kind, error_code, error) of the files under a path. Sizes are judged before any
     content is looked at."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.col("path").alias("doc_id"), S.safe_name(F.col("path")).alias("filename"), "length", "content")
-    return judged(files, max_bytes)
+    return judged(files, max_bytes, options)
 
 
-def judged(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+def judged(files: DataFrame, max_bytes: int | None = None, options: Options = Options()) -> DataFrame:
+    """``files`` (length, content, ...) with kind, error_code and error; the bound is ``max_upload_mb`` of ``options`` unless given."""
+    max_bytes = options.max_upload_mb << 20 if max_bytes is None else max_bytes
     size_code = F.when(F.col("length") > max_bytes, 413).when(F.col("length") == 0, 400)
     rows = files.withColumn("error_code", size_code)
     # sizes and types do not change by trying again
@@ -81,11 +83,12 @@ def judged(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     return bad.unionByName(good)
 
 
-def batch(files: DataFrame, ordinal: str, max_files: int = MAX_BATCH_FILES, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """``judged`` rows of one batch in the order of ``ordinal``; a batch of too many files is refused as a whole."""
+def batch(files: DataFrame, ordinal: str, max_files: int | None = None, max_bytes: int | None = None, options: Options = Options()) -> DataFrame:
+    """``judged`` rows of one batch in the order of ``ordinal``; a batch of more than ``max_batch_files`` files is refused as a whole."""
+    max_files = options.max_batch_files if max_files is None else max_files
     if len(files.select(ordinal).head(max_files + 1)) > max_files:
         raise ValueError(f"413: at most {max_files} files a batch")
-    return judged(files, max_bytes).orderBy(ordinal)
+    return judged(files, max_bytes, options).orderBy(ordinal)
 
 
 class Unavailable(RuntimeError):
@@ -100,10 +103,11 @@ def libreoffice_available() -> bool:
 WordReader = Callable[[bytes, str, int], Iterator[tuple[int, int, list[tuple], str]]]
 
 
-def words_by(files: DataFrame, reader: WordReader | None, max_pages: int = MAX_PAGES) -> DataFrame:
+def words_by(files: DataFrame, reader: WordReader | None, max_pages: int | None = None, options: Options = Options()) -> DataFrame:
     """(doc_id, page_no, width, source, word_idx, text, x0, y0, x1, y1, conf, error) of files (doc_id, content, kind) by a plug-in that reads
     text layers or recognises characters. A reader's error is its file's row; other files go on. error_kind is transient for a TimeoutError, for
     which trying again may help, else permanent."""
+    max_pages = options.max_pdf_pages if max_pages is None else max_pages
     if reader is None:
         raise Unavailable("reading words from PDF, DOCX or images needs a reader plug-in; none is installed")
     columns = ["doc_id", "page_no", "width", "source", "word_idx", "text", "x0", "y0", "x1", "y1", "conf", "error", "error_kind"]
@@ -131,9 +135,9 @@ def recognised(raw: DataFrame) -> DataFrame:
     ).drop("left", "top", "width", "height")
 
 
-def page_source(pages: DataFrame, min_words: int = MIN_TEXT_WORDS) -> DataFrame:
+def page_source(pages: DataFrame, min_words: int = MIN_TEXT_WORDS, options: Options = Options()) -> DataFrame:
     """Pages (n_words) with ``source``: the text layer if it has enough words, else recognition; pages past the cap go."""
-    return pages.where(F.col("page_no") < MAX_PAGES).withColumn("source", F.when(F.col("n_words") >= min_words, "text").otherwise("ocr"))
+    return pages.where(F.col("page_no") < options.max_pdf_pages).withColumn("source", F.when(F.col("n_words") >= min_words, "text").otherwise("ocr"))
 
 
 def truth_file(spark: SparkSession, path: str) -> DataFrame:

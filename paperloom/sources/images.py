@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..options import Options
 from ..ship import ship
 from .ranges import opened, read_at
 
 # ---- fixed values ---------------------------------------------------------------------------
-MAX_PIXELS, MAX_FRAMES = 60_000_000, 10
-#: Images are refused above this many times ``MAX_PIXELS``; up to it they are only large.
+#: Images are refused above this many times ``max_image_pixels``; up to it they are only large.
 REFUSED_ABOVE = 2
 PNG, TIFF_LITTLE, TIFF_BIG = b"\x89PNG\r\n\x1a\n", b"II*\0", b"MM\0*"
 #: Samples of a pixel by PNG colour type: grey, RGB, palette, grey with opacity, RGB with opacity.
@@ -120,7 +120,7 @@ def tiff_headers(f, most: int):
         }
 
 
-def headers(f, max_frames: int = MAX_FRAMES) -> list[tuple[str, dict]]:
+def headers(f, max_frames: int = 10) -> list[tuple[str, dict]]:
     """(kind, header) of the first frames of an opened file."""
     head = read_at(f, 0, 12)
     if head.startswith(PNG):
@@ -132,8 +132,10 @@ def headers(f, max_frames: int = MAX_FRAMES) -> list[tuple[str, dict]]:
     raise ValueError("no image")
 
 
-def frames(files: DataFrame, max_pixels: int = MAX_PIXELS, max_frames: int = MAX_FRAMES, opener=opened) -> DataFrame:
-    """(path, frame, kind, width, height, orientation, layout, error) of image files (path, length); frames from 0. ``max_pixels`` judges sizes before anything is decoded."""
+def frames(files: DataFrame, max_pixels: int | None = None, max_frames: int | None = None, opener=opened, options: Options = Options()) -> DataFrame:
+    """(path, frame, kind, width, height, orientation, layout, error) of image files (path, length); frames from 0. Sizes are judged before anything is decoded. The
+    bounds are ``max_image_pixels`` and ``max_pdf_pages`` of ``options`` unless given."""
+    max_pixels, max_frames = options.max_image_pixels if max_pixels is None else max_pixels, options.max_pdf_pages if max_frames is None else max_frames
     ship(files.sparkSession)
 
     def run(batches):

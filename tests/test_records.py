@@ -234,27 +234,6 @@ def test_latency(spark):
     assert evaluate.latency(rows.limit(1)).first().p95_ms == 1
 
 
-def test_opinions(spark, tmp_path):
-    from paperloom.plans import opinions
-
-    rows = [(f"d{k}", bytearray(f"c{k % 4}".encode()), START + dt.timedelta(seconds=k)) for k in range(8)]
-    requests = spark.createDataFrame(rows, "doc_id string, content binary, ts timestamp")
-    none = spark.createDataFrame([], f"content_key string, answer {ANSWER}")
-
-    def provider(content):
-        if content == b"c1":
-            raise TimeoutError
-        return "no json" if content == b"c2" else json.dumps({"invoice_number": content.decode(), "items": []})
-
-    first = opinions.opinions(requests, none, provider, "m", per_minute=6).persist()
-    got = {r.doc_id: (r.answer.invoice_number if r.answer else None, r.code) for r in first.collect()}
-    assert got["d0"] == ("c0", None) and got["d1"] == (None, "llm_failed") and got["d2"] == (None, "llm_failed") and got["d3"] == ("c3", None)
-    assert [got[f"d{k}"][1] for k in (6, 7)] == ["llm_quota_exhausted"] * 2
-    opinions.remember(first, str(tmp_path / "answers"))
-    again = opinions.opinions(requests, spark.read.parquet(str(tmp_path / "answers")), None, "m").collect()
-    assert {r.doc_id: r.code for r in again} == {f"d{k}": None if k % 4 in (0, 3) else "llm_not_configured" for k in range(8)}
-
-
 def test_options(monkeypatch, spark):
     from paperloom.options import Options, engine_info
 
