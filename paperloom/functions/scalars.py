@@ -91,9 +91,37 @@ def currency_of(c: Column) -> Column:
     return F.coalesce(named, bracketed, prefixed, adjacent, hinted, symbol)
 
 
-#: Spelled-out dates that are understood; anything else with letters is null. Parts that a text leaves out are never
-#: filled from today's date.
-MONTH_FORMATS = ["MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy MMM d", "yyyy MMMM d"]
+# ---- fixed values: names in spelled-out dates -------------------------------------------------
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH_NAMES = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+#: Two digits of a year up to this are of this century, as years are within 50 of today's.
+LATEST_SHORT_YEAR = 75
+# ---------------------------------------------------------------------------------------------
+
+
+def _spelled(s: Column) -> Column:
+    """ISO date of a text with one month's name, a day and a year in any order, whatever stands between them; null if a part is missing, is there twice, or can't be told.
+
+    Of two numbers the one of three digits and more, above 31 or behind an apostrophe is the year; else the day is the one beside the month that comes first: what stands before the
+    month, or of two after it the first. Times of day, ordinal endings and other words say nothing. Parts that a text leaves out are never filled from today's date."""
+    plain = F.regexp_replace(F.lower(s), r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?\s*(?:[ap]\.?m\.?)?|(?<=[0-9])(?:st|nd|rd|th)\b", " ")
+    tokens = F.regexp_extract_all(plain, F.lit(rf"\b{MONTH_NAMES}\b|'?[0-9]+"), F.lit(0))
+    names = F.filter(tokens, lambda t: t.rlike("^[a-z]"))
+    numbers = F.filter(tokens, lambda t: ~t.rlike("^[a-z]"))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.get(names, 0), 1, 3)).cast("int")
+    place = F.array_position(F.transform(tokens, lambda t: t.rlike("^[a-z]")), True)
+
+    def year_like(t: Column) -> Column:
+        return t.startswith("'") | (F.length(t) > 2) | (F.regexp_replace(t, "'", "").try_cast("int") > 31)
+
+    first, second = F.get(numbers, 0), F.get(numbers, 1)
+    # one before the month and one after it, or two after: the first is the day; two before: a year, then a day
+    year_first = F.when(year_like(first) != year_like(second), year_like(first)).otherwise(place == 3)
+    digits = [F.regexp_replace(F.when(year_first, a).otherwise(b), "'", "") for a, b in ((first, second), (second, first))]
+    year, day = digits[0].try_cast("int"), digits[1].try_cast("int")
+    full = F.when(F.length(digits[0]) > 2, year).when(year <= LATEST_SHORT_YEAR, year + 2000).otherwise(year + 1900)
+    fits = (F.size(names) == 1) & (F.size(numbers) == 2) & (F.length(digits[0]) <= 4) & (F.length(digits[1]) <= 2)
+    return F.when(fits, _date(full, month, day))
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -115,17 +143,10 @@ def _parsed_date(s: Column, order: str) -> Column:
     a, b, y = (part(short, k) for k in (1, 2, 3))
     year = F.when(y < 100, y + 2000).otherwise(y)
     day_first = F.when(a > 12, True).when(b > 12, False).otherwise(order != "MDY")
-    words = F.regexp_extract(
-        F.regexp_replace(F.regexp_replace(s, r"(?i)(\d)(st|nd|rd|th)\b", "$1"), "[,.]", " "),
-        r"(?i)([a-z]{3,9}\s+[0-9]{1,2}\s+[0-9]{4}|[0-9]{1,2}\s+[a-z]{3,9}\s+[0-9]{4}|[0-9]{4}\s+[a-z]{3,9}\s+[0-9]{1,2})",
-        1,
-    )
-    spelled = F.initcap(F.regexp_replace(words, r"\s+", " "))
-    by_name = F.coalesce(*[F.date_format(F.try_to_date(spelled, f), "yyyy-MM-dd") for f in MONTH_FORMATS])
     return (
         F.when(s.rlike(iso), _date(*(part(iso, k) for k in (1, 2, 3))))
         .when(s.rlike(short), F.when(day_first, _date(year, b, a)).otherwise(_date(year, a, b)))
-        .when(s.rlike("[A-Za-z]{3}"), by_name)
+        .when(s.rlike("[A-Za-z]{3}"), _spelled(s))
     )
 
 

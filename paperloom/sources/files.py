@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..options import Options
+from ..ship import ship
+from .ranges import listed, opened, read_at
 
 # ---- fixed values: leading bytes, limits, messages ------------------------------------------
 MAX_UNPACKED_BYTES = 200 << 20
@@ -62,6 +64,61 @@ def sniffed(files: DataFrame) -> DataFrame:
     return both.withColumns({"error": error, "kind": F.when(error.isNull(), F.col("kind"))})
 
 
+def kind_at(f) -> str | None:
+    """The kind of an opened file, or None, by its leading bytes and, of a ZIP file, its directory at the end: nothing else is read, however long the file is. A DOCX that is too
+    large unpacked is ``large``. The same as ``sniffed`` says of whole contents."""
+    head = read_at(f, 0, 12).hex().upper()
+    if head.startswith(LEADING[0][1]):
+        return LEADING[0][0]
+    if head.startswith("504B0304"):
+        try:
+            with zipfile.ZipFile(f) as z:
+                if not {"word/document.xml", "[Content_Types].xml"} <= set(z.namelist()):
+                    return None
+                return "docx" if sum(i.file_size for i in z.infolist()) <= MAX_UNPACKED_BYTES else "large"
+        except Exception:  # noqa: BLE001  a damaged archive is an unknown file, whatever the fault
+            return None
+    for kind, start in LEADING[1:]:
+        if head.startswith(start):
+            return kind
+    return "webp" if head.startswith("52494646") and head[16:] == "57454250" else None
+
+
+def scanned(spark: SparkSession, path: str, options: Options = Options(), opener=opened) -> DataFrame:
+    """``uploads`` without contents: (doc_id, filename, length, kind, error_code, error) of the files under a path, whose sizes come from the listing and whose
+    kinds from a few bytes read in place. For file systems that Arrow knows; a file that can't be opened has error_code 400 and its fault as error."""
+    ship(spark)
+    files = listed(spark, path)
+    length = F.col("length")
+    code = F.when(length > options.max_upload_mb << 20, 413).when(length == 0, 400)
+    rows = files.select("path", "length", code.alias("error_code"))
+
+    def run(frames):
+        for frame in frames:
+            kinds, faults = [], []
+            for at, bad in zip(frame["path"], frame["error_code"].notna(), strict=True):
+                kind = fault = None
+                if not bad:
+                    try:
+                        with opener(at) as f:
+                            kind = kind_at(f)
+                    except Exception as e:  # noqa: BLE001  one file's failure is its own row
+                        fault = f"Could not open file: {e}"
+                kinds.append(kind)
+                faults.append(fault)
+            out = frame[["path", "length"]].assign(kind=kinds, fault=faults, error_code=frame["error_code"].astype("Int64"))
+            yield out
+
+    judged_ = rows.mapInPandas(run, "path string, length long, kind string, fault string, error_code int")
+    found, kind = F.col("error_code"), F.col("kind")
+    error = (
+        F.when(found == 413, "File is too large").when(found == 400, "File is empty").when(F.col("fault").isNotNull(), F.col("fault"))
+        .when(kind == "large", TOO_LARGE_UNPACKED).when(kind.isNull(), UNSUPPORTED)
+    )
+    all_codes = F.coalesce(found, F.when(F.col("fault").isNotNull(), 400), F.when(error.isNotNull(), 415))
+    return judged_.select(F.col("path").alias("doc_id"), S.safe_name(F.col("path")).alias("filename"), "length", F.when(error.isNull(), kind).alias("kind"), all_codes.alias("error_code"), error.alias("error"))
+
+
 def uploads(spark: SparkSession, path: str, max_bytes: int | None = None, options: Options = Options()) -> DataFrame:
     """(doc_id, filename, length, content, kind, error_code, error) of the files under a path. Sizes are judged before any
     content is looked at."""
