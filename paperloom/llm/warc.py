@@ -27,6 +27,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -82,9 +83,23 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
+_OWN_ID = re.compile(r"<urn:page:(-?[0-9]{1,19})>")
+
+
 def _page(uri: str | None) -> int | None:
-    number = (uri or "").removeprefix("<urn:page:").rstrip(">")
-    return int(number) if number else None
+    """The page of an id that ``write`` gave; null for ids of other archives."""
+    found = _OWN_ID.fullmatch(uri or "")
+    return int(found[1]) if found else None
+
+
+def _same_digest(stated: str, payload: bytes) -> bool:
+    """Whether a digest header (algorithm:value, base32 or hexadecimal) is that of a payload; true for algorithms that aren't known here."""
+    algorithm, _, value = stated.rpartition(":")
+    name = algorithm.lower().replace("-", "") or "sha1"
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return True
+    raw = hashlib.new(name, payload).digest()
+    return value.rstrip("=").lower() in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower())
 
 
 # ---- packages -----------------------------------------------------------------------------
@@ -292,21 +307,35 @@ def write(pages: DataFrame, min_bytes: int = 0, package_bytes: int = PACKAGE_BYT
 
 _READ = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64())]
-    + [("payload_digest", pa.string()), ("payload", pa.binary())]
+    + [("payload_digest", pa.string()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())]
 )
-_READ_DDL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_READ_DDL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, refers_to_id string"
+
+
+def _row(headers: dict[str, str], block: bytes) -> tuple:
+    """One record as a row of ``read``."""
+    kind, own = headers.get("warc-type"), headers.get("warc-record-id")
+    # a block without a type that is a response or a revisit is an HTTP message too
+    is_http = headers.get("content-type", "application/http" if kind in ("response", "revisit") else "").startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
+    stated, length = headers.get("warc-payload-digest"), fields.get(b"content-length", b"")
+    if kind == "revisit":
+        size, payload = int(length) if length.isdigit() else None, None
+    else:
+        # a digest of a chunked body may be that of the body put together again
+        if stated and b"chunked" not in fields.get(b"transfer-encoding", b"").lower() and "warc-truncated" not in headers and not _same_digest(stated, payload):
+            raise ValueError(f"{own}: the payload doesn't match its digest")
+        size = len(payload)
+    bare = stated if stated and not stated.lower().startswith("sha1:") else stated and stated[5:]
+    refers = headers.get("warc-refers-to")
+    return _page(own), headers.get("warc-target-uri"), kind, _page(refers), size, bare, payload, own, refers
 
 
 def _rows(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
     for headers, block in records:
-        http, _, payload = block.partition(b"\r\n\r\n")
-        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-        length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        kind = headers["warc-type"]
-        if kind == "response" and (payload_digest(payload) != digest or len(payload) != length):
-            raise ValueError(f"{headers['warc-record-id']}: the payload doesn't match its digest")
-        rows.append((_page(headers["warc-record-id"]), headers["warc-target-uri"], kind, _page(headers.get("warc-refers-to")), length, digest, payload if kind == "response" else None))
+        rows.append(_row(headers, block))
         size += len(block)
         if size > 1 << 24:
             yield batch(_READ, *zip(*rows, strict=True))
@@ -316,9 +345,10 @@ def _rows(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.Record
 
 
 def read(packages: DataFrame) -> DataFrame:
-    """One row per record of (path, content) packages: page_id, url, record_type, refers_to,
-    payload_bytes and payload_digest of the full payload, and the payload itself (null in revisits).
-    A response whose payload doesn't match its digest raises an error."""
+    """One row per record of (path, content) packages, whatever its type and whoever wrote it: page_id, url, record_type, refers_to,
+    payload_bytes and payload_digest of the full payload, the payload itself (null in revisits), record_id and refers_to_id. page_id and refers_to are null
+    where ids are not those of ``write``; payload_digest is bare where it is a SHA-1, else with its algorithm; headers that a record lacks are null. The payload of a record that is no HTTP
+    message is its block. A payload that doesn't match the digest of its record raises an error."""
 
     def run(batches):
         for b in batches:

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small, awkward tables."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -109,6 +110,49 @@ def test_zip64_directory_and_scan_without_index():
         warc.PackageReader.of(b"no zip")
 
 
+def foreign(kind, own, block, **more):
+    """A record of another writer."""
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(block)}"]
+    return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    """Several archives, gzip, no index, records of all types, ids that are UUIDs, no digests or others, HTTP messages without a length."""
+    body = "<p>é</p>".encode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    b32 = lambda name: base64.b32encode(hashlib.new(name, body).digest()).decode()
+    plain = [
+        foreign("warcinfo", "<urn:uuid:1>", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("response", "<urn:uuid:2>", http, WARC_Target_URI="http://a/", Content_Type="application/http; msgtype=response"),
+        foreign("request", "<urn:uuid:3>", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        foreign("resource", "<urn:uuid:4>", body, WARC_Target_URI="http://b/", WARC_Payload_Digest=f"sha256:{hashlib.sha256(body).hexdigest()}", Content_Type="text/html"),
+        foreign("response", "<urn:page:-7>", http, WARC_Payload_Digest=f"sha1:{b32('sha1')}"),
+        foreign("revisit", "<urn:uuid:5>", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n", WARC_Refers_To="<urn:page:-7>", WARC_Payload_Digest=f"sha1:{b32('sha1')}"),
+        foreign("revisit", "<urn:uuid:6>", b"", WARC_Refers_To="<urn:uuid:2>"),
+        foreign("metadata", "<urn:uuid:7>", b"", WARC_Payload_Digest="blake9:abc"),
+        foreign("response", "<urn:uuid:8>", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nx\r\n0\r\n\r\n", WARC_Payload_Digest=f"sha1:{b32('sha1')}"),
+    ]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/a.warc", b"".join(plain))
+        z.writestr("archive/b.warc.gz", b"".join(gzip.compress(r) for r in plain[:4]))
+    packages = spark.createDataFrame([("p.wacz", bytearray(out.getvalue()))], "path string, content binary")
+    rows = warc.read(packages).collect()
+    assert len(rows) == 13 and [r.record_id for r in rows[9:]] == [f"<urn:uuid:{k}>" for k in range(1, 5)]
+    got = [(r.record_type, r.page_id, r.url, r.payload_bytes, r.payload_digest, r.payload, r.refers_to, r.refers_to_id) for r in rows[:9]]
+    assert got == [
+        ("warcinfo", None, None, 13, None, b"software: x\r\n", None, None), ("response", None, "http://a/", len(body), None, body, None, None), ("request", None, None, 0, None, b"", None, None),
+        ("resource", None, "http://b/", len(body), f"sha256:{hashlib.sha256(body).hexdigest()}", body, None, None), ("response", -7, None, len(body), b32("sha1"), body, None, None),
+        ("revisit", None, None, 9, b32("sha1"), None, -7, "<urn:page:-7>"), ("revisit", None, None, None, None, None, None, "<urn:uuid:2>"), ("metadata", None, None, 0, "blake9:abc", b"", None, None),
+        ("response", None, None, 11, b32("sha1"), b"1\r\nx\r\n0\r\n\r\n", None, None),
+    ]
+    bad = io.BytesIO()
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("archive/a.warc", foreign("response", "<urn:uuid:9>", http, WARC_Payload_Digest=f"md5:{'0' * 32}"))
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc.read(spark.createDataFrame([("p.wacz", bytearray(bad.getvalue()))], "path string, content binary")).collect()
+
+
 def gzipped_package(n):
     warcs, index = b"", []
     for k in range(n):
