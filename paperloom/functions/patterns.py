@@ -55,7 +55,6 @@ PAYMENT_LINE = r"^([A-Za-z /.]+?)(?U)\s*:\s*(.+)$"
 HEADER_NOUN = r"(?i)^(descr|item|product|article|particulars|service)"
 HEADER_KEY = r"(?i)^(qty|quantity|price|total|amount|net|gross|vat|tax|rate|um|uom|unit|units)"
 HEADER_WRAP = r"^[A-Za-z%\[\]./]+\z"
-DESCRIPTION_LABELS = ["item", "item name", "items", "product", "product name", "article", "particulars", "service", "details"]
 #: Column kinds in the order in which a label is tried.
 COLUMN_KINDS = [
     ("index", r"^(no\.?|#|pos\.?|nr\.?|sl\.?|sr\.?|item\s*(no\.?|#|code)|sku|code)$"),

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import fields, layout, totals
+from ..operators import fields, layout, table, totals
 from ..sources import files
 from . import evaluate, render
-from .queries import _query, _table
+from .queries import _items, _items_sql, _LINES, _parsed, _query, _table
 
 # ---- summary rows ---------------------------------------------------------------------------
 
@@ -72,6 +72,25 @@ def summary_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- tables that are not as they should be --------------------------------------------------
+
+
+@_query(_items_sql())
+def wrapped_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items below a header whose labels stand on two lines."""
+    return _items(_parsed(spark, sf_dir, render.Layout(wrap_header=True)))
+
+
+@_query(f"""
+    WITH {_LINES}
+    SELECT l_orderkey AS orderkey, line::BIGINT AS line, q::DOUBLE AS quantity, gross / 100.0::DOUBLE AS gross_amount, CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS conflicts FROM m
+""")
+def column_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with one number more than there are columns: the nearest column keeps the first, and the conflict is counted."""
+    found = table.items(table.page_rows(_parsed(spark, sf_dir, render.Layout(stray=True))))
+    return found.select(F.col("doc_id").cast("long").alias("orderkey"), F.col("line").cast("long").alias("line"), "quantity", "gross_amount", F.col("conflicts").cast("long").alias("conflicts"))
+
+
 # ---- currencies, kinds of files -------------------------------------------------------------
 
 #: Ways of printing an amount, and the currency that each names.

@@ -18,12 +18,15 @@ HEADER = [(100, "No."), (200, "Description"), (700, "Qty"), (800, "UM"), (900, "
 @dataclass(frozen=True)
 class Layout:
     """down: shift of the page's body; letterhead: the seller stands above the number, without a label; payment: a block
-    below the totals; wrap: every description has a second line; drop_unit: rows whose number is even lack their unit."""
+    below the totals; wrap: every description has a second line; drop_unit: rows whose number is even lack their unit; wrap_header: labels of
+    two words have the second one below the first; stray: rows whose number is even have one more number at their end."""
 
     letterhead: bool = False
     payment: bool = False
     wrap: bool = False
     drop_unit: bool = False
+    wrap_header: bool = False
+    stray: bool = False
 
     @property
     def down(self) -> int:
@@ -93,6 +96,8 @@ def invoices(spark: SparkSession, sf_dir: str, layout: Layout = Layout()) -> Dat
         unit = F.array(text_at(800, y, F.lit("each")))
         if layout.drop_unit:
             unit = F.when(F.pmod(r["line"], F.lit(2)) == 1, unit).otherwise(F.slice(unit, 1, 0))
+        if layout.stray:
+            unit = F.concat(unit, F.when(F.pmod(r["line"], F.lit(2)) == 0, F.array(text_at(1600, y, F.lit("7,77")))).otherwise(F.slice(unit, 1, 0)))
         if layout.wrap:
             texts.append(text_at(200, y + 30, F.concat(F.lit("lot "), r["line"].cast("string"))))
         return F.concat(F.array(*texts), unit)
@@ -109,7 +114,7 @@ def invoices(spark: SparkSession, sf_dir: str, layout: Layout = Layout()) -> Dat
         text_at(900, 224 + d, F.col("c_name")),
         text_at(900, 260 + d, F.col("c_nation")),
         text_at(900, 296 + d, F.concat(F.lit("Tax Id: "), F.col("o_custkey").cast("string"))),
-        *[text_at(x, 440 + d, F.lit(label)) for x, label in HEADER],
+        *[text_at(x, 440 + d + 30 * k, F.lit(word)) for x, label in HEADER for k, word in enumerate(label.split(" ") if layout.wrap_header else [label])],
         *[t for k, name in enumerate(("Subtotal", "Tax", "Total")) for t in (text_at(900, last + 108 + 36 * k, F.lit(name)), text_at(1100, last + 108 + 36 * k, amount(F.col(name.lower()))))],
     ]
     if not layout.letterhead:
