@@ -3,9 +3,12 @@ next one's documents.
 
 quality      documents that the classifier predicts as label 0 go
 exact        of equal texts the largest doc_id stays
-near         of each component of documents whose fingerprints say that they share 0.8 of their five-word shingles the smallest doc_id stays
+near         of each component of documents that share 0.8 or more of the five-word shingles that either has the smallest doc_id stays
 substrings   byte strings of 100 and more that also stand earlier are cut out of the texts
 packing      what is left is packed into sequences of at most 4096 tokens (the last stage's own columns)
+
+Null texts count as empty ones; of all empty texts one row stays. Rows without an id stay unless their text goes; they are last where the smallest id stays and first to go
+where the largest does. Other columns pass through. Empty tables give empty results.
 """
 
 from __future__ import annotations
