@@ -3,13 +3,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks
 from . import patterns as P
 
 DECIMAL = "decimal(38,10)"
@@ -204,5 +203,5 @@ def truth_close(a: Column, b: Column, tolerance: float = 0.015) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two texts (already normalised)."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """Ratio of matching blocks of two texts (already normalised), whatever their lengths; null counts as empty."""
+    return pd.Series([blocks.ratio(x, y) for x, y in zip(a, b, strict=True)])

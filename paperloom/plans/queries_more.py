@@ -162,3 +162,28 @@ def latency_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and 95th percentile of doubles that are nearly all different."""
     rows = _table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") * (1 + F.col("l_discount")) / F.col("l_quantity")).alias("ms"))
     return evaluate.latency(rows).select("n", F.round("mean_ms", 6).alias("mean_ms"), "p95_ms")
+
+
+# ---- similarity of near texts ---------------------------------------------------------------
+
+#: Words of a shingle, and texts of a group that one copy of its first text serves.
+SHINGLE, SERVED = 5, 256
+
+
+@_query()
+def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching blocks' ratio (TXT6) of every document with the first of those that share its least hash of five words: no SQL counterpart; a test holds it against difflib.
+
+    (doc_id, near_id, ratio) over whole normalised texts, without a row for the first of a group itself. Of equal texts the smallest doc_id takes part; texts without words and rows without
+    an id don't. A text of fewer than five words is one shingle. Pairs are one row each whatever the size of a group, and a large group's first text is dealt out in copies."""
+    rows = _table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", S.truth_text(F.col("text")).alias("t")).where("t <> ''")
+    texts = rows.groupBy(F.sha2("t", 256).alias("_d")).agg(F.min(F.struct("doc_id", "t")).alias("r")).select("r.*")
+    words = F.split("t", " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
+    least = F.array_min(F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice(words, k, SHINGLE), " "))))
+    keys = texts.select("doc_id", least.alias("_key"))
+    groups = keys.groupBy("_key").agg(F.min("doc_id").alias("near_id"), F.ceil(F.count("*") / SERVED).cast("int").alias("_copies"), F.count("*").alias("_n")).where("_n > 1")
+    pairs = keys.join(groups, "_key").where("doc_id <> near_id").select("doc_id", "near_id", F.pmod(F.xxhash64("doc_id"), F.col("_copies")).cast("int").alias("_copy"))
+    first = groups.join(texts, F.col("near_id") == F.col("doc_id")).select("near_id", F.col("t").alias("u"), F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    met = pairs.join(texts, "doc_id").join(first, ["near_id", "_copy"])
+    return met.select("doc_id", "near_id", F.round(S.similarity("u", "t"), 6).alias("ratio"))

@@ -1,11 +1,16 @@
 import math
+import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from paperloom.functions import blocks
 from paperloom.functions import scalars as S
 from paperloom.operators import table
+from paperloom.plans import queries_more
 from paperloom.ship import ship
 
 
@@ -73,3 +78,53 @@ def test_similarity(spark):
 )
 def test_column_kind(spark, label, kind):
     assert spark.range(1).select(table.column_kind(F.lit(label))).first()[0] == kind
+
+
+def test_similarity_of_long_and_random_texts():
+    """The same ratio as a scan over all pairs of equal characters, with and without common characters, also where blocks tie."""
+    pick = random.Random(11)
+    for k in range(1500):
+        letters = ("ab", "abcd ", "abcdefghijklmnopqrstuvwxyz ")[k % 3]
+        a = "".join(pick.choices(letters, k=pick.choice([0, 1, 9, 60, 199, 200, 420])))
+        b = list(a) if k % 2 else pick.choices(letters, k=pick.choice([0, 1, 9, 60, 199, 200, 420]))
+        for _ in range(min(len(b), pick.randrange(9))):
+            at = pick.randrange(len(b))
+            b[at : at + pick.randrange(4)] = pick.choice(letters + "é#")
+        b = "".join(b)
+        assert blocks.ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+    words = [f"w{pick.randrange(4000)}" for _ in range(20_000)]
+    changed = words[:7000] + ["new", "words"] + words[7003:15_000] + words[15_500:]
+    assert blocks.ratio(" ".join(words), " ".join(changed)) == SequenceMatcher(None, " ".join(words), " ".join(changed)).ratio()
+
+
+def test_document_similarity(spark, tmp_path):
+    pick = random.Random(3)
+    base = [" ".join(f"{pick.choice('abcdefgh')}{pick.randrange(60)}" for _ in range(pick.choice([3, 40, 400]))) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i, t in enumerate(base * 4):
+        w = t.split()
+        w[pick.randrange(len(w))] = "Other;"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(900, base[4]), (901, ""), (902, None), (903, " -- "), (None, base[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {}
+    for i, t in rows:
+        plain = re.sub(r"\W+", " ", t or "").strip().lower()
+        if plain and i is not None:
+            texts[plain] = min(i, texts.get(plain, i))
+    groups = {}
+    for t, i in texts.items():
+        w = t.split(" ")
+        hashes = [xxhash.xxh64(" ".join(w[k : k + 5]), seed=42).intdigest() for k in range(max(len(w) - 4, 1))]
+        groups.setdefault(min(h - (1 << 64) if h >> 63 else h for h in hashes), []).append((i, t))
+    want = []
+    for g in groups.values():
+        near, u = min(g)
+        want += [(i, near, round(SequenceMatcher(None, u, t).ratio(), 6)) for i, t in g if i != near]
+    for served in (queries_more.SERVED, 1):
+        before, queries_more.SERVED = queries_more.SERVED, served
+        try:
+            got = [tuple(r) for r in queries_more.document_similarity(spark, str(tmp_path)).collect()]
+        finally:
+            queries_more.SERVED = before
+        assert sorted(got) == sorted(want) and len(want) > 30
