@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +29,11 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: written out, it would be computed in each place that names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def empty_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -38,8 +45,14 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Decimal value of a printed number, else null: '1 394,67', '$5,640.17', '(12.00)', '10%', '1,000'."""
-    s = strip(c)
-    kept = F.regexp_replace(s, "[^0-9.,]", "")
+    return let(strip(c), lambda s: F.when(~s.rlike("[A-Za-z]") & s.rlike("[0-9]"), let(F.regexp_replace(s, "[^0-9.,]", ""), lambda kept: _signed(s, _decimal(kept)))))
+
+
+def _signed(s: Column, value: Column) -> Column:
+    return F.when(s.startswith("-") | (s.startswith("(") & s.endswith(")")), -value).otherwise(value)
+
+
+def _decimal(kept: Column) -> Column:
     fraction = F.regexp_extract(kept, "[.,]([^.,]*)$", 1)
     whole = F.regexp_replace(F.regexp_extract(kept, "^(.*)[.,][^.,]*$", 1), "[.,]", "")
     separated = kept.rlike("[.,]")
@@ -48,9 +61,7 @@ def parse_number(c: Column) -> Column:
         .when(F.length(fraction) == 3, F.regexp_replace(kept, "[.,]", ""))
         .otherwise(F.concat(whole, F.lit("."), fraction))
     )
-    value = digits.try_cast(DECIMAL)
-    negative = s.startswith("-") | (s.startswith("(") & s.endswith(")"))
-    return F.when(~s.rlike("[A-Za-z]") & s.rlike("[0-9]"), F.when(negative, -value).otherwise(value))
+    return digits.try_cast(DECIMAL)
 
 
 def is_number_token(c: Column) -> Column:
@@ -129,8 +140,7 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(c: Column, order: str = "MDY") -> Column:
     """ISO date of a text, else null. The first form that matches decides, even if its date is invalid."""
-    # a lambda's variable holds the stripped text: as a plain expression it would be repeated in every branch
-    return F.get(F.transform(F.array(strip_chars(strip(c), ".,:;")), lambda s: _parsed_date(s, order)), 0)
+    return let(strip_chars(strip(c), ".,:;"), lambda s: _parsed_date(s, order))
 
 
 def _parsed_date(s: Column, order: str) -> Column:

@@ -86,14 +86,16 @@ def page_lines(words: DataFrame) -> DataFrame:
     w = w.withColumn("_gap", F.coalesce(F.col("yc") - F.lag("yc").over(by_height) > F.col("tol"), F.lit(False)).cast("int"))
     w = w.withColumn("_run", F.sum("_gap").over(by_height))
     word = F.struct("yc", "word_idx", "text", "x0", "y0", "x1", "y1", "conf", "h")
-    runs = w.groupBy(*PAGE, "_run").agg(F.first("tol").alias("tol"), F.array_sort(F.collect_list(word)).alias("ws"))
-    folded = runs.withColumn("placed", F.expr(_FOLD))
-    placed = folded.select(*PAGE, "_run", F.posexplode("placed.line_of").alias("_k", "_line"), "ws").withColumn("w", F.expr("ws[_k]"))
+    runs = w.groupBy(*PAGE, "_run").agg(F.first("tol").alias("tol"), F.sort_array(F.collect_list(word)).alias("ws"))
+    # words that all lie within the tolerance share the run's first line, whatever their order
+    near = F.element_at("ws", -1)["yc"] - F.element_at("ws", 1)["yc"] <= F.col("tol")
+    line_of = F.when(near, F.array_repeat(F.lit(0), F.size("ws"))).otherwise(F.expr(_FOLD)["line_of"])
+    placed = runs.select(*PAGE, "_run", F.inline(F.arrays_zip(line_of.alias("_line"), F.col("ws").alias("w"))))
     lines = placed.groupBy(*PAGE, "_run", "_line").agg(
         F.avg("w.yc").alias("y"),
         F.median("w.h").alias("h"),
         F.min("w.x0").alias("x0"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct(F.col("w.x0").alias("x0"), F.col("w.yc").alias("yc"), F.col("w.word_idx").alias("word_idx"), *(F.col(f"w.{c}").alias(c) for c in ("text", "y0", "x1", "y1", "conf"))))
         ).alias("words"),
     )
@@ -164,9 +166,10 @@ def merge_numbers(words: Column) -> Column:
     def height(w: Column) -> Column:
         return F.greatest(w["y1"] - w["y0"], F.lit(1))
 
-    def step(out: Column, w: Column) -> Column:
-        p = F.get(out, F.size(out) - 1)
-        fits = (w["x0"] - p["x1"] < 1.4 * F.greatest(height(p), height(w))) & p["text"].rlike(P.NUMBER_HEAD) & w["text"].rlike(P.NUMBER_TAIL)
+    def fits(p: Column, w: Column) -> Column:
+        return p["text"].rlike(P.NUMBER_HEAD) & (w["x0"] - p["x1"] < 1.4 * F.greatest(height(p), height(w)))
+
+    def taken(out: Column, p: Column, w: Column) -> Column:
         both = F.struct(
             F.concat(p["text"], w["text"]).alias("text"),
             p["x0"].alias("x0"),
@@ -175,9 +178,15 @@ def merge_numbers(words: Column) -> Column:
             F.greatest(p["y1"], w["y1"]).alias("y1"),
             F.least(p["conf"], w["conf"]).alias("conf"),
         ).cast(_NUMBER_PART)
-        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(out, F.array(w)))
+        return F.when(F.coalesce(fits(p, w), F.lit(False)), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(out, F.array(w)))
+
+    def step(out: Column, w: Column) -> Column:
+        joins = F.coalesce(w["text"].rlike(P.NUMBER_TAIL), F.lit(False))
+        return F.when(joins, S.let(F.get(out, F.size(out) - 1), lambda p: taken(out, p, w))).otherwise(F.concat(out, F.array(w)))
 
-    return F.aggregate(plain, F.expr(f"cast(array() as array<{_NUMBER_PART}>)"), step)
+    # lines without a group that could join stay as they are
+    start = F.expr(f"cast(array() as array<{_NUMBER_PART}>)")
+    return S.let(plain, lambda ws: F.when(F.exists(ws, lambda w: w["text"].rlike(P.NUMBER_TAIL)), F.aggregate(ws, start, step)).otherwise(ws))
 
 
 def number_words(words: Column) -> Column:

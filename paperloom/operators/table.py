@@ -19,11 +19,16 @@ _SLOT = "array<struct<label: string, x0: int, x1: int, kind: string>>"
 
 def column_kind(label: Column) -> Column:
     """What a column holds, by its printed label; null if the label is not known."""
-    text = S.strip(F.lower(label))
-    chain = None
-    for kind, pattern in P.COLUMN_KINDS:
-        chain = F.when(text.rlike(pattern), kind) if chain is None else chain.when(text.rlike(pattern), kind)
-    return chain
+    kinds = iter(P.COLUMN_KINDS)
+
+    def first(text: Column) -> Column:
+        kind, pattern = next(kinds)
+        chain = F.when(text.rlike(pattern), kind)
+        for kind, pattern in kinds:
+            chain = chain.when(text.rlike(pattern), kind)
+        return chain
+
+    return S.let(S.strip(F.lower(label)), first)
 
 
 def is_header(words: Column) -> Column:
@@ -81,15 +86,19 @@ def zoned(lines: DataFrame) -> DataFrame:
     )
     here = F.col("line_no") == F.col("header_line")
     own = header_cells(F.col("words"), F.col("y"), F.col("h"), F.col("_next.words"), F.col("_next.y"))
-    rows = rows.withColumn("_head", F.when(here, own)).withColumn("_head", F.max(F.when(here, F.struct(F.col("_head.cells").alias("cells"), F.col("_head.bottom").alias("bottom"), F.col("y").alias("y"), F.col("h").alias("h")))).over(page))
-    described = F.get(F.filter(F.col("_head.cells"), lambda c: c["kind"] == "description"), 0)
-    rows = rows.withColumn("_desc", described)
-    rows = rows.withColumn("slots", F.filter(F.col("_head.cells"), lambda c: c["x0"] > F.col("_desc.x1") - 1))
-    mapped = F.exists("slots", lambda c: c["kind"].isNotNull() & ~c["kind"].isin("description", "index"))
-    rows = rows.withColumn("table_found", F.coalesce(F.col("_desc").isNotNull() & mapped, F.lit(False)))
-    rows = rows.withColumn("slots", F.when(F.col("table_found"), F.col("slots"))).withColumns(
-        {"zone_x": F.col("slots")[0]["x0"] - 0.05 * F.col("width"), "desc_x": F.col("_desc.x0") - 0.02 * F.col("width")}
-    )
+
+    def columns(head: Column, described: Column) -> Column:
+        """What a header row says of its page: its slots if it is recognised, edges, heights."""
+        after = F.filter(head["cells"], lambda c: c["x0"] > described["x1"] - 1)
+        known = F.exists(after, lambda c: c["kind"].isNotNull() & ~c["kind"].isin("description", "index"))
+        edges = (head["bottom"].alias("bottom"), F.col("y").alias("y"), F.col("h").alias("h"), described["x0"].alias("desc"))
+        return F.struct(F.when(described.isNotNull() & known, after).alias("slots"), *edges)
+
+    # worked out on the header's own line, then handed to the page's others
+    said = S.let(own, lambda head: S.let(F.get(F.filter(head["cells"], lambda c: c["kind"] == "description"), 0), lambda described: columns(head, described)))
+    rows = rows.withColumn("_head", F.when(here, said)).withColumn("_head", F.max("_head").over(page))
+    rows = rows.withColumns({"slots": F.col("_head.slots"), "table_found": F.col("_head.slots").isNotNull()})
+    rows = rows.withColumns({"zone_x": F.col("slots")[0]["x0"] - 0.05 * F.col("width"), "desc_x": F.col("_head.desc") - 0.02 * F.col("width")})
     below_header = F.col("table_found") & (F.col("line_no") > F.col("header_line")) & (F.col("y") > F.col("_head.bottom") + 0.3 * F.col("h"))
     ends = below_header & is_table_end(F.col("text"), F.col("words"), F.col("zone_x"), F.size("slots"))
     last = F.max("line_no").over(page) + 1
@@ -105,7 +114,7 @@ def zoned(lines: DataFrame) -> DataFrame:
     )
     return rows.withColumns(
         {"zone": zone, "body": F.col("_below") & (F.col("line_no") < F.col("end_line")), "stop_y": F.col("_head.y") - 0.5 * F.col("_head.h")}
-    ).drop("_next", "_head", "_desc", "_below")
+    ).drop("_next", "_head", "_below")
 
 
 def with_rereads(rows: DataFrame, rereads: DataFrame) -> DataFrame:
@@ -145,18 +154,23 @@ def nearest_slot(w: Column, slots: Column) -> Column:
 def row_blocks(described: Column, n_anchors: Column) -> Column:
     """Places (from 0) of every description line's block under the first gap that gives as many blocks as there are
     anchors; null if none does."""
-    n = F.size(described)
-    heights = F.array_sort(F.transform(described, lambda d: d["h"]))
-    middle = (heights[F.floor((n - 1) / 2).cast("int")] + heights[F.floor(n / 2).cast("int")]) / 2.0
 
-    gaps = F.transform(described, lambda d, i: F.when(i > 0, d["y"] - F.get(described, i - 1)["y"]).otherwise(0.0))
+    def limit(gaps: Column, middle: Column) -> Column:
+        """The least width of a gap between blocks: one count per try, up to the first that fits."""
+        return F.coalesce(*[F.when(F.size(F.filter(gaps, lambda g: g > k * middle)) + 1 == n_anchors, k * middle) for k in P.ROW_GAPS])
+
+    def counted(gaps: Column, least: Column) -> Column:
+        start = F.expr("cast(array() as array<int>)")
+        return F.aggregate(gaps, start, lambda out, g: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + (g > least).cast("int"))))
 
-    def wide(k: float) -> Column:
-        return F.size(F.filter(gaps, lambda g: g > k * middle))
+    def middle(heights: Column) -> Column:
+        n = F.size(heights)
+        return (heights[F.floor((n - 1) / 2).cast("int")] + heights[F.floor(n / 2).cast("int")]) / 2.0
 
-    # one count per gap, up to the first that fits; places are worked out for that one alone
-    fits = F.coalesce(*[F.when(wide(k) + 1 == n_anchors, F.lit(k)) for k in P.ROW_GAPS])
-    return F.when(fits.isNotNull(), F.transform(gaps, lambda _, i: F.size(F.filter(F.slice(gaps, 1, i + 1), lambda g: g > fits * middle))))
+    gaps = F.transform(described, lambda d, i: F.when(i > 0, d["y"] - F.get(described, i - 1)["y"]).otherwise(0.0))
+    heights = F.sort_array(F.transform(described, lambda d: d["h"].cast("double")))
+    # each of these is read in several places, so each is bound once
+    return S.let(gaps, lambda g: S.let(S.let(S.let(heights, middle), lambda m: limit(g, m)), lambda least: F.when(least.isNotNull(), counted(g, least))))
 
 
 def page_rows(rows: DataFrame) -> DataFrame:
@@ -171,7 +185,7 @@ def page_rows(rows: DataFrame) -> DataFrame:
     line = F.when(described, F.struct("line_no", "y", F.col("desc").alias("text"), "h"))
     # the header's slots stand on every line of its page
     pages = body.groupBy(*PAGE).agg(
-        F.first("slots").alias("slots"), F.array_sort(F.collect_list(anchor)).alias("anchors"), F.array_sort(F.collect_list(line)).alias("described")
+        F.first("slots").alias("slots"), F.sort_array(F.collect_list(anchor)).alias("anchors"), F.sort_array(F.collect_list(line)).alias("described")
     )
     none = F.size("described") == 0
     first = F.when(~none, row_blocks(F.col("described"), F.size("anchors")))
@@ -184,9 +198,9 @@ def page_rows(rows: DataFrame) -> DataFrame:
     block_of = F.when(fallback, F.transform("described", nearest)).otherwise(first)
     pages = pages.withColumns({"_blocks": block_of, "_fallback": fallback, "_none": none})
     n_blocks = F.when(F.col("_none"), 0).when(F.col("_fallback"), F.size("anchors")).otherwise(F.size("anchors"))
-    texts = F.transform(
-        F.col("anchors"),
-        lambda _, i: F.array_join(F.transform(F.filter(F.arrays_zip(F.col("described"), F.col("_blocks").alias("b")), lambda z: z["b"] == i), lambda z: z["described"]["text"]), " "),
+    texts = S.let(
+        F.arrays_zip(F.col("described.text").alias("text"), F.col("_blocks").alias("b")),
+        lambda lines: F.transform("anchors", lambda _, i: F.array_join(F.transform(F.filter(lines, lambda z: z["b"] == i), lambda z: z["text"]), " ")),
     )
     return pages.select(
         *PAGE, "slots", "anchors", n_blocks.alias("n_blocks"), F.when(~F.col("_none"), texts).alias("texts"),
@@ -206,8 +220,9 @@ def items(pages: DataFrame) -> DataFrame:
         F.transform(toks, lambda t, i: F.struct(nearest_slot(t, F.col("slots"))["k"].alias("k"), i.alias("t"), t["text"].alias("text")))
     )
     rows = rows.select(*PAGE, (F.col("_k") + 1).alias("line"), F.col("texts")[F.col("_k")].alias("description"), "slots", placed.alias("placed"))
-    first = F.filter("placed", lambda p: F.size(F.filter("placed", lambda q: (q["k"] == p["k"]) & (q["t"] < p["t"]))) == 0)
-    rows = rows.withColumns({"_kept": first, "conflicts": F.size("placed") - F.size(first)})
+    first = F.filter("placed", lambda p: ~F.exists("placed", lambda q: (q["k"] == p["k"]) & (q["t"] < p["t"])))
+    alone = F.size(F.array_distinct(F.transform("placed", lambda p: p["k"]))) == F.size("placed")
+    rows = rows.withColumn("_kept", F.when(alone, F.col("placed")).otherwise(first)).withColumn("conflicts", F.size("placed") - F.size("_kept"))
 
     # every token is tested and parsed once; then the last of a kind is picked
     read = F.transform(
@@ -217,7 +232,7 @@ def items(pages: DataFrame) -> DataFrame:
             F.when(S.is_number_token(p["text"]), S.parse_number(p["text"])).alias("number"),
         ),
     )
-    rows = rows.withColumn("_read", F.array_sort(read))
+    rows = rows.withColumn("_read", F.sort_array(read))
 
     def last_of(kind: str, field: str) -> Column:
         hits = F.filter("_read", lambda p: (p["kind"] == kind) & p[field].isNotNull())
