@@ -208,18 +208,18 @@ def page_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def items(pages: DataFrame) -> DataFrame:
+def items(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, page_no, line, description, quantity, unit, unit_price, vat_percent, net_amount, gross_amount, conflicts) of
     ``page_rows``. Tokens as many as slots go by position, others to the nearest slot, which keeps the first; of two slots
-    of one kind the last wins."""
-    rows = pages.where("n_blocks > 0").select(
-        *PAGE, "slots", F.posexplode(F.slice("anchors", 1, F.greatest(F.col("n_blocks"), F.lit(1)))).alias("_k", "_a"), "texts"
-    )
+    of one kind the last wins. Columns of ``pages`` named in ``keep`` go along; then a page without items has one row, whose line is null."""
+    some = F.col("n_blocks") > 0
+    anchors = F.when(some, F.slice("anchors", 1, F.greatest(F.col("n_blocks"), F.lit(1))))
+    rows = (pages if keep else pages.where(some)).select(*PAGE, *keep, "slots", F.posexplode_outer(anchors).alias("_k", "_a"), "texts")
     toks = F.col("_a.toks")
     placed = F.when(F.size(toks) == F.size("slots"), F.transform(toks, lambda t, i: F.struct(i.alias("k"), i.alias("t"), t["text"].alias("text")))).otherwise(
         F.transform(toks, lambda t, i: F.struct(nearest_slot(t, F.col("slots"))["k"].alias("k"), i.alias("t"), t["text"].alias("text")))
     )
-    rows = rows.select(*PAGE, (F.col("_k") + 1).alias("line"), F.col("texts")[F.col("_k")].alias("description"), "slots", placed.alias("placed"))
+    rows = rows.select(*PAGE, *keep, (F.col("_k") + 1).alias("line"), F.col("texts")[F.col("_k")].alias("description"), "slots", placed.alias("placed"))
     first = F.filter("placed", lambda p: ~F.exists("placed", lambda q: (q["k"] == p["k"]) & (q["t"] < p["t"])))
     alone = F.size(F.array_distinct(F.transform("placed", lambda p: p["k"]))) == F.size("placed")
     rows = rows.withColumn("_kept", F.when(alone, F.col("placed")).otherwise(first)).withColumn("conflicts", F.size("placed") - F.size("_kept"))
@@ -242,7 +242,7 @@ def items(pages: DataFrame) -> DataFrame:
         return last_of(kind, "number")
 
     return rows.select(
-        *PAGE, "line", "description", S.number(value("quantity")).alias("quantity"), last_of("unit", "text").alias("unit"),
+        *PAGE, *keep, "line", "description", S.number(value("quantity")).alias("quantity"), last_of("unit", "text").alias("unit"),
         S.money(value("unit_price")).alias("unit_price"), S.number(value("vat_percent")).alias("vat_percent"),
         S.money(value("net_amount")).alias("net_amount"), S.money(value("gross_amount")).alias("gross_amount"), "conflicts",
     )
