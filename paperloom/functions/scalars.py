@@ -53,13 +53,14 @@ def _signed(s: Column, value: Column) -> Column:
 
 
 def _decimal(kept: Column) -> Column:
-    fraction = F.regexp_extract(kept, "[.,]([^.,]*)$", 1)
-    whole = F.regexp_replace(F.regexp_extract(kept, "^(.*)[.,][^.,]*$", 1), "[.,]", "")
-    separated = kept.rlike("[.,]")
+    """Digits with one sign at most; ``kept`` holds digits, points and commas only, so that no pattern is needed."""
+    dotted = F.replace(kept, F.lit(","), F.lit("."))
+    fraction, plain = F.substring_index(dotted, ".", -1), F.replace(dotted, F.lit("."), F.lit(""))
+    n = F.length(plain) - F.length(fraction)
     digits = (
-        F.when(~separated, kept)
-        .when(F.length(fraction) == 3, F.regexp_replace(kept, "[.,]", ""))
-        .otherwise(F.concat(whole, F.lit("."), fraction))
+        F.when(~dotted.contains("."), kept)
+        .when(F.length(fraction) == 3, plain)
+        .otherwise(F.concat(F.substring(plain, F.lit(1), n), F.lit("."), fraction))
     )
     return digits.try_cast(DECIMAL)
 
@@ -116,22 +117,35 @@ def _spelled(s: Column) -> Column:
     month, or of two after it the first. Times of day, ordinal endings and other words say nothing. Parts that a text leaves out are never filled from today's date."""
     plain = F.regexp_replace(F.lower(s), r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?\s*(?:[ap]\.?m\.?)?|(?<=[0-9])(?:st|nd|rd|th)\b", " ")
     tokens = F.regexp_extract_all(plain, F.lit(rf"\b{MONTH_NAMES}\b|'?[0-9]+"), F.lit(0))
-    names = F.filter(tokens, lambda t: t.rlike("^[a-z]"))
-    numbers = F.filter(tokens, lambda t: ~t.rlike("^[a-z]"))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.get(names, 0), 1, 3)).cast("int")
-    place = F.array_position(F.transform(tokens, lambda t: t.rlike("^[a-z]")), True)
+
+    def is_name(t: Column) -> Column:
+        return t.rlike("^[a-z]")
 
     def year_like(t: Column) -> Column:
-        return t.startswith("'") | (F.length(t) > 2) | (F.regexp_replace(t, "'", "").try_cast("int") > 31)
+        return t.startswith("'") | (F.length(t) > 2) | (F.replace(t, F.lit("'"), F.lit("")).try_cast("int") > 31)
+
+    # what several places read is bound once: written out, a step would repeat all those before it in each place
+    def parts(t: Column) -> Column:
+        place = F.array_position(F.transform(t, is_name), True)
+        return F.struct(F.filter(t, is_name).alias("names"), F.filter(t, lambda x: ~is_name(x)).alias("numbers"), place.alias("place"))
+
+    def dated(p: Column) -> Column:
+        first, second = p["numbers"][0], p["numbers"][1]
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(p["names"][0], 1, 3)).cast("int")
+        # one before the month and one after it, or two after: the first is the day; two before: a year, then a day
+        likes = F.struct(year_like(first).alias("a"), year_like(second).alias("b"))
+        year_first = let(likes, lambda y: F.when(y["a"] != y["b"], y["a"]).otherwise(p["place"] == 3))
+
+        def digits(yes: Column) -> Column:
+            return F.struct(*(F.replace(F.when(yes, a).otherwise(b), F.lit("'"), F.lit("")).alias(c) for c, a, b in (("y", first, second), ("d", second, first))))
 
-    first, second = F.get(numbers, 0), F.get(numbers, 1)
-    # one before the month and one after it, or two after: the first is the day; two before: a year, then a day
-    year_first = F.when(year_like(first) != year_like(second), year_like(first)).otherwise(place == 3)
-    digits = [F.regexp_replace(F.when(year_first, a).otherwise(b), "'", "") for a, b in ((first, second), (second, first))]
-    year, day = digits[0].try_cast("int"), digits[1].try_cast("int")
-    full = F.when(F.length(digits[0]) > 2, year).when(year <= LATEST_SHORT_YEAR, year + 2000).otherwise(year + 1900)
-    fits = (F.size(names) == 1) & (F.size(numbers) == 2) & (F.length(digits[0]) <= 4) & (F.length(digits[1]) <= 2)
-    return F.when(fits, _date(full, month, day))
+        def read(d: Column) -> Column:
+            full = let(d["y"].try_cast("int"), lambda y: F.when(F.length(d["y"]) > 2, y).when(y <= LATEST_SHORT_YEAR, y + 2000).otherwise(y + 1900))
+            return F.when((F.length(d["y"]) <= 4) & (F.length(d["d"]) <= 2), _date(full, month, d["d"].try_cast("int")))
+
+        return F.when((F.size(p["names"]) == 1) & (F.size(p["numbers"]) == 2), let(let(year_first, digits), read))
+
+    return let(let(tokens, parts), dated)
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -149,12 +163,14 @@ def _parsed_date(s: Column, order: str) -> Column:
     def part(pattern: str, k: int) -> Column:
         return F.regexp_extract(s, pattern, k).try_cast("int")
 
-    a, b, y = (part(short, k) for k in (1, 2, 3))
-    year = F.when(y < 100, y + 2000).otherwise(y)
-    day_first = F.when(a > 12, True).when(b > 12, False).otherwise(order != "MDY")
+    def ordered(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        day_first = F.when(a > 12, True).when(b > 12, False).otherwise(order != "MDY")
+        return let(day_first, lambda first: _date(F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"]), F.when(first, b).otherwise(a), F.when(first, a).otherwise(b)))
+
     return (
         F.when(s.rlike(iso), _date(*(part(iso, k) for k in (1, 2, 3))))
-        .when(s.rlike(short), F.when(day_first, _date(year, b, a)).otherwise(_date(year, a, b)))
+        .when(s.rlike(short), let(F.struct(*(part(short, k).alias(c) for k, c in ((1, "a"), (2, "b"), (3, "y")))), ordered))
         .when(s.rlike("[A-Za-z]{3}"), _spelled(s))
     )
 

@@ -128,3 +128,10 @@ def test_document_similarity(spark, tmp_path):
         finally:
             queries_more.SERVED = before
         assert sorted(got) == sorted(want) and len(want) > 30
+
+
+def test_a_date_is_taken_apart_once(spark):
+    """Written out in each place that reads it, the search for names and numbers would run dozens of times a text."""
+    plan = spark.createDataFrame([("1 May 2020",)], "t string").select(S.parse_date(F.col("t")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sept?(?:ember)?") == 1
+    assert plan.count("[0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4}") == 4
