@@ -1,5 +1,6 @@
 """Costly expressions that stand in a plan once."""
 
+from paperloom.operators import fields, totals
 from paperloom.plans import queries_more  # noqa: F401  registers its queries
 from paperloom.plans.queries import QUERIES
 
@@ -10,3 +11,21 @@ def plan(df):
 
 def test_currency_lines_prints_once(spark, sf):
     assert plan(QUERIES["currency_lines"](spark, sf)).count("format_string") == 1
+
+
+def lines(spark):
+    words = "from_json(string(id), 'array<struct<text: string, x0: int, y0: int, x1: int, y1: int, conf: double>>') AS words"
+    return spark.range(2).selectExpr("string(id) AS doc_id", "1 AS page_no", "1 AS line_no", "24.0D AS h", "string(id) AS text", words)
+
+
+def words_in_filters(df):
+    """Filters that work out lists of words: what they test is worked out again behind them."""
+    return [line for line in plan(df).splitlines() if "Filter" in line and "lambda" in line]
+
+
+def test_payments_read_cells_once(spark):
+    assert not words_in_filters(fields.payments(lines(spark)))
+
+
+def test_summary_rows_merge_numbers_once(spark):
+    assert not words_in_filters(totals.summary_rows(lines(spark)))
