@@ -1,7 +1,9 @@
 """Costly expressions that stand in a plan once."""
 
-from paperloom.operators import fields, totals
-from paperloom.plans import queries_more  # noqa: F401  registers its queries
+from pyspark.sql import functions as F
+
+from paperloom.operators import fields, layout, table, totals
+from paperloom.plans import queries_more, render  # noqa: F401  registers its queries
 from paperloom.plans.queries import QUERIES
 
 
@@ -29,3 +31,10 @@ def test_payments_read_cells_once(spark):
 
 def test_summary_rows_merge_numbers_once(spark):
     assert not words_in_filters(totals.summary_rows(lines(spark)))
+
+
+def test_words_and_lines_are_sorted_once(spark, sf):
+    """Rendered words are numbered without a sort, and lines aren't sorted again by their number."""
+    found = table.zoned(layout.page_lines(render.rendered(spark, sf).drop("width")).withColumn("width", F.lit(render.WIDTH)))
+    sorts = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [doc_id" in line]
+    assert sum("yc#" in line for line in sorts) == 1 and not any("text#" in line or "line_no#" in line for line in sorts)
