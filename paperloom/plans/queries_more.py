@@ -179,9 +179,13 @@ def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     an id don't. A text of fewer than five words is one shingle. Pairs are one row each whatever the size of a group, and a large group's first text is dealt out in copies."""
     rows = _table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", S.truth_text(F.col("text")).alias("t")).where("t <> ''")
     texts = rows.groupBy(F.sha2("t", 256).alias("_d")).agg(F.min(F.struct("doc_id", "t")).alias("r")).select("r.*")
-    words = F.split("t", " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
-    least = F.array_min(F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice(words, k, SHINGLE), " "))))
+
+    def shingles(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
+        return F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice(words, k, SHINGLE), " ")))
+
+    # bound once: else a text would be split again at each of its shingles
+    least = F.array_min(S.let(F.split("t", " "), shingles))
     keys = texts.select("doc_id", least.alias("_key"))
     groups = keys.groupBy("_key").agg(F.min("doc_id").alias("near_id"), F.ceil(F.count("*") / SERVED).cast("int").alias("_copies"), F.count("*").alias("_n")).where("_n > 1")
     pairs = keys.join(groups, "_key").where("doc_id <> near_id").select("doc_id", "near_id", F.pmod(F.xxhash64("doc_id"), F.col("_copies")).cast("int").alias("_copy"))

@@ -15,6 +15,12 @@ def test_currency_lines_prints_once(spark, sf):
     assert plan(QUERIES["currency_lines"](spark, sf)).count("format_string") == 1
 
 
+def test_similarity_splits_a_text_once(spark, sf):
+    """Its words are bound before the shingles are made of them, not split again at each."""
+    made = [line for line in plan(QUERIES["document_similarity"](spark, sf)).splitlines() if "slice(" in line]
+    assert made and all(line.count("split(") == line.count("slice(") for line in made)
+
+
 def lines(spark):
     words = "from_json(string(id), 'array<struct<text: string, x0: int, y0: int, x1: int, y1: int, conf: double>>') AS words"
     return spark.range(2).selectExpr("string(id) AS doc_id", "1 AS page_no", "1 AS line_no", "24.0D AS h", "string(id) AS text", words)
