@@ -44,3 +44,8 @@ def test_words_and_lines_are_sorted_once(spark, sf):
     found = table.zoned(layout.page_lines(render.rendered(spark, sf).drop("width")).withColumn("width", F.lit(render.WIDTH)))
     sorts = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [doc_id" in line]
     assert sum("yc#" in line for line in sorts) == 1 and not any("text#" in line or "line_no#" in line for line in sorts)
+
+
+def test_letterhead_reads_lines_once(spark, sf):
+    """Pages with a seller's label are told by a window, not by a join with lines that are worked out again."""
+    assert plan(QUERIES["letterhead_extract"](spark, sf)).count("Relation [l_orderkey") == 1
