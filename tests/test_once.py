@@ -49,3 +49,9 @@ def test_words_and_lines_are_sorted_once(spark, sf):
 def test_letterhead_reads_lines_once(spark, sf):
     """Pages with a seller's label are told by a window, not by a join with lines that are worked out again."""
     assert plan(QUERIES["letterhead_extract"](spark, sf)).count("Relation [l_orderkey") == 1
+
+
+def test_records_keep_nothing(spark, sf):
+    """Words and lines are gone through once: they are not persisted, and not read again for each part of a record."""
+    found = plan(QUERIES["extraction_metrics"](spark, sf))
+    assert "InMemoryRelation" not in found and found.count("Generate posexplode(split(") == 1
