@@ -55,3 +55,9 @@ def test_records_keep_nothing(spark, sf):
     """Words and lines are gone through once: they are not persisted, and not read again for each part of a record."""
     found = plan(QUERIES["extraction_metrics"](spark, sf))
     assert "InMemoryRelation" not in found and found.count("Generate posexplode(split(") == 1
+
+
+def test_reconciled_items_are_repaired_once(spark, sf):
+    """Each side's items are a column, repaired before they are held against both summaries."""
+    found = plan(QUERIES["reconcile_items"](spark, sf))
+    assert "AS _own#" in found and "AS _theirs#" in found
