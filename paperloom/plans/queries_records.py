@@ -124,6 +124,17 @@ def canon_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- layout ---------------------------------------------------------------------------------
 
 
+#: Characters of a part at most, so that a task sorts the words of its part in memory.
+CHARS_A_PART = 2_000_000
+
+
+def _dealt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id string, text) of documents dealt out by ``doc_id``: words are made where their text lies and are never shuffled."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS_A_PART)), "doc_id")
+
+
 @_query(r"""
     WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
     l AS (SELECT doc_id, unnest(range(len(lines))) AS k, unnest(lines) AS line FROM d),
@@ -133,7 +144,7 @@ def canon_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def lines_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents placed by line with jitter, in scrambled order, and clustered into lines again."""
-    lines = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    lines = _dealt_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
     words = lines.select("doc_id", "k", F.posexplode(F.filter(F.split("line", " "), lambda x: x != "")).alias("i", "text"))
     y = F.col("k") * 40 + F.pmod(F.xxhash64("doc_id", "k", "i"), F.lit(7)).cast("int")
     boxes = words.select(

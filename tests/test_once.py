@@ -61,3 +61,9 @@ def test_reconciled_items_are_repaired_once(spark, sf):
     """Each side's items are a column, repaired before they are held against both summaries."""
     found = plan(QUERIES["reconcile_items"](spark, sf))
     assert "AS _own#" in found and "AS _theirs#" in found
+
+
+def test_words_of_documents_and_lines_stay_in_place(spark, sf):
+    """Texts and lines are dealt out before words are made of them; no later step deals out words."""
+    for name in ("lines_cluster",):
+        assert "ENSURE_REQUIREMENTS" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
