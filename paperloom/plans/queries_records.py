@@ -161,7 +161,7 @@ def lines_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def lines_upright(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as pages of twelve words a line, each page turned by up to eleven degrees, turned back by their words' boxes and clustered into lines."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.filter(F.split("text", "[ \n]"), lambda x: x != "")).alias("i", "text"))
+    docs = _dealt_texts(spark, sf_dir).select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]"), lambda x: x != "")).alias("i", "text"))
     angle = F.radians(F.pmod(F.col("doc_id").cast("long"), F.lit(23)) - 11)
     column, line = F.col("i") % 12, F.floor(F.col("i") / 12).cast("int")
     # a word is 90 wide and 24 high; its box after the turn about the origin
