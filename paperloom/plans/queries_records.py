@@ -223,7 +223,7 @@ def numbers_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def nearest_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice as many evenly spaced description lines as rows: no gap groups them, and each goes to the nearest row, the upper one of two."""
-    rows = render.priced_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("line", "quantity", "net"))).alias("rows"))
+    rows = render.dealt_lines(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "quantity", "net"))).alias("rows"))
     piece = render.text_at
     header = F.array(*[piece(x, F.lit(440), F.lit(label)) for x, label in ((200, "Description"), (700, "Qty"), (1100, "Net worth"))])
     amounts = F.flatten(
@@ -232,9 +232,9 @@ def nearest_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     described = F.transform(F.sequence(F.lit(0), 2 * F.size("rows") - 1), lambda j: piece(200, F.lit(500) + 30 * j, F.concat(F.lit("text"), j.cast("string"))))
-    words = render.words_of(rows.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.concat(header, amounts, described).alias("texts")))
+    words = render.words_of(rows.select("doc_id", F.concat(header, amounts, described).alias("texts")))
     pages = table.page_rows(table.zoned(layout.page_lines(words).withColumn("width", F.lit(render.WIDTH))))
-    found = table.items(pages).join(pages.select(*layout.PAGE, "fallback"), layout.PAGE)
+    found = table.items(pages, ("fallback",)).where("line is not null")
     return found.select(F.col("doc_id").cast("long").alias("orderkey"), F.col("line").cast("long").alias("line"), "description", "quantity", "net_amount", "fallback")
 
 

@@ -65,5 +65,5 @@ def test_reconciled_items_are_repaired_once(spark, sf):
 
 def test_words_of_documents_and_lines_stay_in_place(spark, sf):
     """Texts and lines are dealt out before words are made of them; no later step deals out words."""
-    for name in ("lines_cluster", "lines_upright"):
+    for name in ("lines_cluster", "lines_upright", "nearest_fallback"):
         assert "ENSURE_REQUIREMENTS" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
