@@ -123,23 +123,18 @@ def zoned(lines: DataFrame) -> DataFrame:
 
 def with_rereads(rows: DataFrame, rereads: DataFrame) -> DataFrame:
     """Body lines with doubtful words of the numeric zone replaced by a second reading (doc_id, page_no, word_idx, text), where
-    that is another number: single glyphs and words that are no number, whose nearest column is known and not the unit."""
-    by_line = F.transform("words", lambda w: w["word_idx"])
-    second = (
-        rows.where("body").select(*PAGE, "line_no", F.explode(by_line).alias("word_idx"))
-        .join(rereads.withColumnRenamed("text", "_again"), [*PAGE, "word_idx"])
-        .groupBy(*PAGE, "line_no")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word_idx", "_again"))).alias("_again"))
-    )
+    that is another number: single glyphs and words that are no number, whose nearest column is known and not the unit. Of several readings of a word the least counts."""
+    # a page's readings are one list, which its lines look into: no word and no line is dealt out for them
+    second = rereads.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("word_idx", "text"))).alias("_again"))
 
     def fixed(w: Column) -> Column:
-        again = F.try_element_at(F.col("_again"), w["word_idx"])
+        again = F.get(F.filter("_again", lambda r: r["word_idx"] == w["word_idx"]), 0)["text"]
         doubtful = (w["x0"] >= F.col("zone_x")) & ((F.length(w["text"]) == 1) | ~S.is_number_token(w["text"]))
         kind = nearest_slot(w, F.col("slots"))["kind"]
         use = doubtful & kind.isNotNull() & (kind != "unit") & S.is_number_token(again) & (again != w["text"])
         return F.when(F.coalesce(use, F.lit(False)), w.withField("text", again).withField("conf", F.lit(95.0))).otherwise(w)
 
-    joined_rows = rows.join(second, [*PAGE, "line_no"], "left")
+    joined_rows = rows.join(second, PAGE, "left")
     return joined_rows.withColumn("words", F.when(F.col("body") & F.col("_again").isNotNull(), F.transform("words", fixed)).otherwise(F.col("words"))).drop("_again")
 
 

@@ -1,9 +1,10 @@
 """Costly expressions that stand in a plan once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import fields, layout, table, totals
-from paperloom.plans import queries_more, render  # noqa: F401  registers its queries
+from paperloom.plans import queries_more, queries_records, render  # noqa: F401  register their queries
 from paperloom.plans.queries import QUERIES
 
 
@@ -67,3 +68,29 @@ def test_words_of_documents_and_lines_stay_in_place(spark, sf):
     """Texts and lines are dealt out before words are made of them; no later step deals out words."""
     for name in ("lines_cluster", "lines_upright", "nearest_fallback"):
         assert "ENSURE_REQUIREMENTS" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def dealt_above_words(df):
+    """Exchanges of words or of what is made of them."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    words = next(k for k, line in enumerate(lines) if "Generate posexplode(split(" in line)
+    return [line for line in lines[:words] if "Exchange" in line]
+
+
+@pytest.mark.parametrize("broadcast", [render.BROADCAST_SUPPLIERS, 0])
+def test_suppliers_do_not_deal_out_words(spark, sf, monkeypatch, broadcast):
+    """However many suppliers there are: their join leaves lines where they lie by document, and so all words of these."""
+    monkeypatch.setattr(render, "BROADCAST_SUPPLIERS", broadcast)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = QUERIES["payment_extract"](spark, sf)
+        assert not dealt_above_words(found)
+        assert found.count() == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_rereads_leave_words_in_place(spark, sf):
+    """Second readings are a list beside their page: lines and words aren't dealt out for them, nor worked out twice."""
+    assert not dealt_above_words(QUERIES["numeric_reread"](spark, sf))
