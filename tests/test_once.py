@@ -94,3 +94,9 @@ def test_suppliers_do_not_deal_out_words(spark, sf, monkeypatch, broadcast):
 def test_rereads_leave_words_in_place(spark, sf):
     """Second readings are a list beside their page: lines and words aren't dealt out for them, nor worked out twice."""
     assert not dealt_above_words(QUERIES["numeric_reread"](spark, sf))
+
+
+def test_pages_are_put_together_once(spark, sf):
+    """Words come in the order of their pages: one aggregate makes a page of them as they come, without a second one over hashed and sorted parts."""
+    found = QUERIES["items_extract"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert found.count("SortAggregate(key=[doc_id") == 2 and "HashAggregate" not in found

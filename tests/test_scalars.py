@@ -135,3 +135,12 @@ def test_a_date_is_taken_apart_once(spark):
     plan = spark.createDataFrame([("1 May 2020",)], "t string").select(S.parse_date(F.col("t")).alias("d"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("sept?(?:ember)?") == 1
     assert plan.count("[0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4}") == 4
+
+
+def test_token_digits_read_as_the_whole_text(spark):
+    """A number token's digits give the amounts and numbers that parsing the token gives."""
+    tokens = ["1.", "7", "1,000", "1394,67", "$5,640.17", "(12.00)", "-3,5", "10%", "0,125", "2.675", "1.2.3.4", "12345678901234,56", "1234567890123456789,5", "-0", "0,005", "(-7,77)", "€9"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string")
+    d, parsed = S.token_digits(F.col("t")), S.parse_number(F.col("t"))
+    got = rows.select("t", S.is_number_token(F.col("t")).alias("token"), S.digits_money(d).alias("a"), S.money(parsed).alias("b"), S.digits_number(d).alias("c"), S.number(parsed).alias("d")).collect()
+    assert [r for r in got if not r.token or (repr(r.a), repr(r.c)) != (repr(r.b), repr(r.d))] == []
